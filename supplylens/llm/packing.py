@@ -250,7 +250,7 @@ def _placer(level: int, capacity: int):
         pdf = pdf.sort_values(["row_id", "doc_id", "piece"], kind="stable").reset_index(drop=True)
         bin_of, offset, fill = pack_sizes(pdf["length"].to_numpy(), capacity)
         # level, group and bin in one number; a group never has 2 ** 32 bins.
-        pdf["sequence_id"] = (np.int64(level) << 56) + (pdf["group"].astype("int64") << 32) + bin_of
+        pdf["sequence_id"] = (level << 56) + pdf["group"].to_numpy(dtype="int64") * (1 << 32) + bin_of
         pdf["offset"], pdf["fill"] = offset, fill
         pdf["doc_id"] = pdf["doc_id"].astype("Int64")
         return pdf.drop(columns="group")
