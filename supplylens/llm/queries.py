@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from supplylens.llm import exact_dedup, mixing, packing
-from supplylens.llm.common import table
+from supplylens.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from supplylens.llm.common import is_training, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +18,22 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumn("held_out", ~is_training())
+    # Evidence as text keeps the result's schema flat.
+    return scored.select("doc_id", "held_out", "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_source_mixing, op7_exact_dedup)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_source_mixing, op5_toxicity, op7_exact_dedup, op9_minhash_near_dedup)}
 
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
