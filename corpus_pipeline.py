@@ -1,14 +1,54 @@
-"""A corpus pipeline: documents to packed training sequences."""
+"""A corpus pipeline: from documents to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before it kept:
+
+1. toxicity: documents scored at 0.7 or more by their nearest labelled examples go;
+2. exact dedup: of equal texts the one with the smallest id stays;
+3. near-dedup: one document of each group of near copies stays (five-word shingles, similarity 0.8);
+4. mixing: sources are repeated or drawn to their targets, so a document can be there several times;
+5. packing: the mixed documents become sequences of at most 4096 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from supplylens.llm import exact_dedup as exact
+from supplylens.llm import mixing as mixes
+from supplylens.llm import near_dedup as near
+from supplylens.llm import packing as packs
+from supplylens.llm import toxicity as toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxic.drop_toxic(docs, toxic.fit(docs, labels))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.drop_near_duplicates(docs, k=5, threshold=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixes.mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packs.pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: Nearest neighbours, similarity components and token packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from supplylens.llm import exact_dedup, flac, language_id, mixing, near_dedup, packing, toxicity
 from supplylens.llm.common import is_training, table
 
 
@@ -13,6 +13,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", (~is_training()).alias("held_out"), "lang_pred", "score")
+
+
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_media(flac.write_media(table(spark, sf_dir, "documents")))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +44,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_source_mixing, op5_toxicity, op7_exact_dedup, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_flac_media, op4_source_mixing, op5_toxicity, op7_exact_dedup, op9_minhash_near_dedup)}
 
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
