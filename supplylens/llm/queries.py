@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.llm import chat_format, exact_dedup, flac, language_id, mixing, near_dedup, packing, toxicity, url_filter
+from supplylens.llm import chat_format, exact_dedup, flac, language_id, mixing, near_dedup, packing, pii, toxicity, url_filter
 from supplylens.llm.common import is_training, table
 
 
@@ -52,6 +52,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -60,6 +65,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_flac_media, op4_source_mixing, op5_toxicity, op6_chat_windows, op7_exact_dedup, op9_minhash_near_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_flac_media, op4_source_mixing, op5_toxicity, op6_chat_windows, op7_exact_dedup, op8_pii_spans, op9_minhash_near_dedup, op10_url_filter)}
 
 ORACLES = {"op6_chat_windows": chat_format.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
