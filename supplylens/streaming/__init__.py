@@ -1 +1 @@
-
+"""Work-log folds, windows and incremental ingest."""
