@@ -23,6 +23,22 @@ def _text(c) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def keyed_ranges(ranges) -> Column:
+    """Ranges with the sort keys of their bounds and whether all bounds can be compared (``ok``), so that each key is worked out once."""
+    return F.transform(
+        F.coalesce(ranges, F.array().cast(f"array<{RANGE}>")),
+        lambda r: F.struct(
+            _text(r["introduced"]).alias("introduced"),
+            _text(r["fixed"]).alias("fixed"),
+            _text(r["last_affected"]).alias("last_affected"),
+            (is_comparable(r["fixed"]) & is_comparable(r["introduced"]) & is_comparable(r["last_affected"])).alias("ok"),
+            version_key(r["introduced"]).alias("k_introduced"),
+            version_key(r["fixed"]).alias("k_fixed"),
+            version_key(r["last_affected"]).alias("k_last"),
+        ),
+    )
+
+
 def comparable_ranges(ranges) -> Column:
     """Ranges of which every bound can be compared."""
     fit = lambda r: is_comparable(r["fixed"]) & is_comparable(r["introduced"]) & is_comparable(r["last_affected"])
@@ -37,39 +53,37 @@ def _open(r) -> Column:
     return (_text(r["introduced"]) != "") & (_text(r["fixed"]) == "") & (_text(r["last_affected"]) == "")
 
 
-def classify_range_quality(ranges) -> Column:
-    """high, all_versions, low or none, from the best kind of comparable range."""
-    kept = comparable_ranges(ranges)
+def _quality(kept) -> Column:
     return F.when(F.exists(kept, _bounded), "high").when(F.exists(kept, lambda r: _text(r["fixed"]) == "*"), "all_versions").when(F.exists(kept, _open), "low").otherwise("none")
 
 
-def _inside(version: Column, key: Column, r, skip_zero: bool) -> Column:
-    """Whether a bounded range holds the version: introduced and last_affected inclusive, fixed exclusive.
-
-    A ``*`` that stands beside a last_affected is compared as the version it isn't, so its range holds nothing.
-    """
-    intro, fixed, last = _text(r["introduced"]), _text(r["fixed"]), _text(r["last_affected"])
-    free = (intro == "") | (intro == "0") if skip_zero else intro == ""
-    after = free | (compare_versions(version, intro, key_a=key) >= 0)
-    before = F.when(fixed != "", compare_versions(version, fixed, key_a=key) < 0).otherwise(compare_versions(version, last, key_a=key) <= 0)
-    return after & before
+def classify_range_quality(ranges) -> Column:
+    """high, all_versions, low or none, from the best kind of comparable range."""
+    return _quality(comparable_ranges(ranges))
 
 
-def is_affected(version, ranges, policy: str = "production") -> Column:
-    """struct<affected, fixed_version, quality, flags> of a version against a list of ranges.
+def is_affected(version, ranges, policy: str = "production", key=None) -> Column:
+    """struct<affected, fixed_version, quality, flags> of a version against the list of :func:`keyed_ranges`.
 
-    ``production``: the first bounded range that holds the version decides, and if there are bounded ranges their "no" is final; then
-    ``*`` (``no-fix-available``), then a reached introduction (``no-fixed-version``). ``union`` puts ``*`` before the bounded
-    "no"; ``first`` does so too, compares all bounds, takes an introduction of ``0`` as none and reports the first bounded fix with a "no".
+    Introductions and last versions are inclusive, fixes exclusive. ``production``: the first bounded range that holds the version decides, and if
+    there are bounded ranges their "no" is final; then ``*`` (``no-fix-available``), then a reached introduction (``no-fixed-version``). ``union`` puts ``*``
+    before the bounded "no"; ``first`` does so too, compares all bounds, takes an introduction of ``0`` as none and reports the first bounded fix with a "no".
     """
     version = F.col(version) if isinstance(version, str) else version
     ranges = F.col(ranges) if isinstance(ranges, str) else ranges
-    key = version_key(version)
-    kept = F.coalesce(ranges, F.array().cast(f"array<{RANGE}>")) if policy == "first" else comparable_ranges(ranges)
+    key = version_key(version) if key is None else key
+    kept = ranges if policy == "first" else F.filter(ranges, lambda r: r["ok"])
     bounded = F.filter(kept, _bounded)
-    hit = F.get(F.filter(bounded, lambda r: _inside(version, key, r, policy == "first")), F.lit(0))
-    star = F.exists(kept, lambda r: _text(r["fixed"]) == "*")
-    reached = F.exists(F.filter(kept, _open), lambda r: compare_versions(version, r["introduced"], key_a=key) >= 0)
+
+    def inside(r):
+        free = r["introduced"].isin("", "0") if policy == "first" else r["introduced"] == ""
+        after = free | (compare_versions(version, r["introduced"], key, r["k_introduced"]) >= 0)
+        before = F.when(r["fixed"] != "", compare_versions(version, r["fixed"], key, r["k_fixed"]) < 0).otherwise(compare_versions(version, r["last_affected"], key, r["k_last"]) <= 0)
+        return after & before
+
+    hit = F.get(F.filter(bounded, inside), F.lit(0))
+    star = F.exists(kept, lambda r: r["fixed"] == "*")
+    reached = F.exists(F.filter(kept, _open), lambda r: compare_versions(version, r["introduced"], key, r["k_introduced"]) >= 0)
     answer = lambda yes, fixed, quality, *flags: F.struct(
         F.lit(yes).alias("affected"), fixed.alias("fixed_version"), F.lit(quality).alias("quality"), F.array(*map(F.lit, flags)).cast("array<string>").alias("flags")
     )
@@ -86,8 +100,23 @@ def is_affected(version, ranges, policy: str = "production") -> Column:
 
 
 def match_versions(candidates: DataFrame, policy: str = "production") -> DataFrame:
-    """Add affected, fixed_version, quality and flags to rows with upstream_version and ranges."""
-    return candidates.withColumn("__m", is_affected("upstream_version", "ranges", policy)).select("*", "__m.*").drop("__m")
+    """Add affected, fixed_version, quality and flags to rows with upstream_version and ranges.
+
+    Keys stand in columns of their own, which the optimizer keeps apart because they are used more than once. Where a join multiplies
+    rows, :func:`with_range_keys` and :func:`with_version_key` put them there before it.
+    """
+    rows = candidates if "__key" in candidates.columns else with_version_key(candidates)
+    rows = rows if "__ranges" in rows.columns else with_range_keys(rows)
+    rows = rows.withColumn("__m", is_affected("upstream_version", "__ranges", policy, F.col("__key")))
+    return rows.select(*[c for c in candidates.columns if c not in ("__key", "__ranges")], "__m.*")
+
+
+def with_range_keys(df: DataFrame) -> DataFrame:
+    return df.withColumn("__ranges", keyed_ranges(F.col("ranges")))
+
+
+def with_version_key(df: DataFrame) -> DataFrame:
+    return df.withColumn("__key", version_key("upstream_version"))
 
 
 # Names
@@ -282,7 +311,7 @@ def _candidate_names(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappi
 
 def bulk_match(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappings: DataFrame) -> DataFrame:
     """Prototype rule: affected pairs over the union of all candidate names; low confidence exactly when only an introduction is known."""
-    rows = _candidate_names(sources, index, cpe, mappings).join(index.withColumnRenamed("name", "vuln_name"), "vuln_name")
+    rows = with_version_key(_candidate_names(sources, index, cpe, mappings)).join(with_range_keys(index).withColumnRenamed("name", "vuln_name"), "vuln_name")
     hit = match_versions(rows, "union").filter("affected")
     hit = hit.withColumn("confidence", F.when(F.array_contains("flags", "no-fixed-version"), "low").otherwise("medium"))
     return dedupe_first(hit, ["source_package", "vuln_id"], ["rank", "vuln_name"]).select("source_package", "vuln_id", "vuln_name", "fixed_version", "confidence")
@@ -290,7 +319,7 @@ def bulk_match(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappings: D
 
 def bulk_advisories(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappings: DataFrame) -> DataFrame:
     """Generator rule: the first candidate name that lists a vulnerability decides it; entries without ranges are skipped."""
-    rows = _candidate_names(sources, index, cpe, mappings).join(index.withColumnRenamed("name", "vuln_name"), "vuln_name")
+    rows = with_version_key(_candidate_names(sources, index, cpe, mappings)).join(with_range_keys(index).withColumnRenamed("name", "vuln_name"), "vuln_name")
     first = dedupe_first(rows, ["source_package", "vuln_id"], ["rank", "vuln_name"]).filter(F.size("ranges") > 0)
     out = match_versions(first, "first")
     weak = F.array_contains("flags", "no-fixed-version") | F.array_contains("flags", "no-fix-available")
@@ -413,8 +442,8 @@ def scan_platforms(platform_packages: DataFrame, packages: DataFrame, affected:
 
     Packages are matched once each, then spread over their platforms. Several fixes are joined by a comma.
     """
-    rows = affected.select("vuln_id", F.col("purl").alias("a_purl"), F.lower("package_name").alias("a_name"), "ranges")
-    p = packages.select("package_id", "name", "version", F.col("version").alias("upstream_version"), "purl")
+    rows = with_range_keys(affected.select("vuln_id", F.col("purl").alias("a_purl"), F.lower("package_name").alias("a_name"), "ranges").distinct())
+    p = with_version_key(packages.select("package_id", "name", "version", F.col("version").alias("upstream_version"), "purl"))
     by_purl = p.join(rows.filter("a_purl != ''"), F.col("purl") == F.col("a_purl"))
     by_name = p.join(rows.filter("coalesce(a_purl, '') = ''"), F.lower("name") == F.col("a_name"))
     hit = match_versions(by_purl.unionByName(by_name)).filter("affected")

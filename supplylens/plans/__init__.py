@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from supplylens.plans import advisories, catalogue
+
+QUERIES = {**catalogue.QUERIES, **advisories.QUERIES}
+ORACLES = {**catalogue.ORACLES, **advisories.ORACLES}

@@ -67,7 +67,7 @@ def _fold_lifecycle(state, frame: pd.DataFrame):
 def _batch(events: DataFrame, fold, out: str) -> DataFrame:
     names = [c.split()[0] for c in out.split(", ")]
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         # One item's log, in order.
         return pd.DataFrame([(*key, *fold(None, frame.sort_values(["ts", "event_id"], kind="stable")))], columns=names)
 
