@@ -11,6 +11,7 @@ are still not nearly full are released and regrouped with those of other groups,
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,11 @@ from supplylens.llm.common import cut
 CAPACITY = 4096
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+#: Marks split off from the end of a word, all of them one piece. No apostrophe: it can start a piece with the letters after it.
+MARKS = ".,;:!?|#$%&*()[]{}<>=+/\\-\""
+#: A mark before a full stop or comma makes one piece with it, so such texts keep their words as they are.
+MARK_RUN = re.compile(rb"[^\w\s][.,](?=\s)")
 
 
 def default_tokenizer() -> str:
@@ -36,36 +41,76 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer drops white space and never joins what it separates, so
-    a text is encoded word by word and each different word only once. Texts that contain
-    a special token's string are encoded whole.
+    The vocabulary lower-cases, drops white space and never joins what it separates, so
+    a text is encoded word by word and each different word only once. A full stop or comma that ends a word is a
+    word of its own unless another mark stands before it. New words of letters, without the marks behind them, are encoded many at a time and told
+    apart by the ids that end a word. Texts with a special token's string, in any case, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._ids(text)
-        words = text.encode("utf-8", "surrogatepass").split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+    def _learn(self, new: set[bytes], chunk: int = 500) -> None:
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+        letters = []
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            if text.isalpha():
+                letters.append((w, text, b""))
+                continue
+            core = text.rstrip(MARKS)
+            if core.isalpha():
+                tail = text[len(core) :].encode()
+                if tail not in self.words:
+                    self.words[tail] = self._ids(tail.decode())
+                letters.append((w, core, self.words[tail]))
+            else:
+                self.words[w] = self._ids(text)
+        parts = [letters[i : i + chunk] for i in range(0, len(letters), chunk)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(t for _, t, _ in p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                data, at = ids.tobytes(), 0
+                for (w, _, tail), end in zip(part, (cuts * 4).tolist()):
+                    self.words[w] = data[at:end] + tail
+                    at = end
+            else:
+                for w, core, tail in part:
+                    self.words[w] = self._ids(core) + tail
+
+    def _split(self, text: str) -> list[bytes] | None:
+        b = text.encode("utf-8", "surrogatepass").lower()
+        if b"<|" in b and any(s in b for s in self.special):
+            return None
+        if not MARK_RUN.search(b):
+            for mark in (b".", b","):
+                for space in (b" ", b"\n"):
+                    b = b.replace(mark + space, b" " + mark + space)
+        return b.split()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
+        every = {w for ws in split if ws for w in ws}
+        new = {w for w in every if w not in self.words}
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            self._learn(new if len(self.words) + len(new) <= CACHE_WORDS else every)
+        ids = self.words.__getitem__
+        return [self._ids(t) if ws is None else b"".join(map(ids, ws)) for t, ws in zip(texts, split)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -86,11 +131,13 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: i
         step = 4 * capacity
         for batch in batches:
             out = []
-            for row, doc, text in zip(batch["row_id"], batch["doc_id"], batch["text"]):
-                ids = enc.encode(text or "") + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    out.append((row, doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: 7 if with_ids else 6])
+            for lo in range(0, len(batch), 200):
+                part = batch.iloc[lo : lo + 200]
+                for row, doc, data in zip(part["row_id"], part["doc_id"], enc.encode_all([t or "" for t in part["text"]])):
+                    ids = data + end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        piece = ids[at : at + step]
+                        out.append((row, doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece)[: 7 if with_ids else 6])
             names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
             frame = pd.DataFrame(out, columns=names)
             frame["doc_id"] = frame["doc_id"].astype("Int64")
