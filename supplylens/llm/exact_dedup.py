@@ -131,13 +131,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each different text, with all their columns.
 
-    Rows that repeat the kept id and text are reduced to one.
+    Rows that repeat the kept id and text are reduced to one. Rows travel as one struct, so no column name can clash.
     """
-    names = docs.columns
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")).distinct()
-    rows = docs.withColumn("__sha", F.sha2(normalise(F.col(text_col)), 256)).withColumn("__id", F.col(id_col))
-    joined = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    return joined.dropDuplicates(["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in names])
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalise(F.col(text_col)), 256).alias("sha"))
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return joined.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 ORACLE = r"""

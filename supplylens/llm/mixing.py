@@ -162,25 +162,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Extra columns are repeated unchanged. A cut copy keeps whole words; an ``n_chars`` column is set to its
     new length.
     """
-    names = docs.columns
+    row_hash, ident = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)), F.col(id_col).cast("string")
     plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    plan = plan.filter((F.col("whole") > 0) | (F.col("part_words") > 0)).groupBy(F.col("__row").alias("__plan_row"), F.col("doc_id").cast("string").alias("__plan_id")).agg(
-        F.collect_list(F.struct("whole", "part_words", "size")).alias("__plans")
+    plan = plan.filter((F.col("whole") > 0) | (F.col("part_words") > 0)).groupBy(F.col("__row").alias("plan_hash"), F.col("doc_id").cast("string").alias("plan_id")).agg(
+        F.collect_list(F.struct("whole", "part_words", "size")).alias("plans")
     )
-    rows = docs.withColumn("__row", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))).withColumn("__id", F.col(id_col).cast("string"))
-    # Rows equal in id and text share a list of plans; each takes one of them.
-    same = Window.partitionBy("__row", "__id").orderBy(F.lit(1))
-    rows = rows.withColumn("__n", F.row_number().over(same))
-    joined = rows.join(plan, (F.col("__row") == F.col("__plan_row")) & F.col("__id").eqNullSafe(F.col("__plan_id")))
-    joined = joined.withColumn("__plan", F.get("__plans", F.col("__n") - 1)).filter(F.col("__plan").isNotNull())
+    # Rows travel as one struct, so no column name can clash. Those equal in id and text share a list of plans; each takes one of them.
+    rows = docs.select(F.struct("*").alias("row"), row_hash.alias("hash"), ident.alias("ident"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("hash", "ident").orderBy(F.lit(1))))
+    joined = rows.join(plan, (F.col("hash") == F.col("plan_hash")) & F.col("ident").eqNullSafe(F.col("plan_id")))
+    joined = joined.withColumn("plan", F.get("plans", F.col("n") - 1)).filter(F.col("plan").isNotNull())
+    all_words = F.lit(-1).cast("long")
     copies = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), F.col("__plan.whole").cast("int")),
-        F.when(F.col("__plan.part_words") >= F.col("__plan.size"), F.array(F.lit(-1).cast("long")))
-        .when(F.col("__plan.part_words") > 0, F.array(F.col("__plan.part_words")))
+        F.array_repeat(all_words, F.col("plan.whole").cast("int")),
+        F.when(F.col("plan.part_words") >= F.col("plan.size"), F.array(all_words))
+        .when(F.col("plan.part_words") > 0, F.array(F.col("plan.part_words")))
         .otherwise(F.array().cast("array<bigint>")),
     )
-    out = joined.withColumn("__words", F.explode(copies))
-    out = out.withColumn(text_col, F.when(F.col("__words") >= 0, first_words(F.col(text_col), F.col("__words"))).otherwise(F.col(text_col)))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__words") >= 0, F.char_length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    out = joined.select("row", F.explode(copies).alias("words"))
+    short = first_words(F.col(f"row.{text_col}"), F.col("words"))
+    out = out.withColumn("short", F.when(F.col("words") >= 0, short))
+    fields = []
+    for c in docs.columns:
+        own = F.col("row").getField(c)
+        new = {text_col: F.col("short"), "n_chars": F.char_length("short").cast(docs.schema[c].dataType) if c == "n_chars" else None}.get(c)
+        fields.append((own if new is None else F.when(F.col("words") >= 0, new).otherwise(own)).alias(c))
+    return out.select(*fields)
