@@ -20,6 +20,9 @@ REFERENCE_TAGS = {
     "cve": {"vendor-advisory": "ADVISORY", "patch": "FIX", "exploit": "EVIDENCE"},
     "nvd": {"Vendor Advisory": "ADVISORY", "Patch": "FIX", "Exploit": "EVIDENCE"},
 }
+# Where a purl names its source package, and how that splits into name and version.
+UPSTREAM = r"upstream=([^&]+)"
+SOURCE_RPM = r"^(.+?)-(\d.*)\.src\.rpm$"
 # Severities from the most urgent.
 SEVERITIES = ("critical", "high", "medium", "low")
 
@@ -90,9 +93,9 @@ def cwe_list(weaknesses) -> Column:
 
 def parse_source_rpm(purl, name, version) -> Column:
     """struct<source, version> from the purl's ``upstream=`` source package, else the name and the version before its first ``-``."""
-    upstream = F.regexp_extract(F.coalesce(col(purl), F.lit("")), r"upstream=([^&]+)", 1)
-    source = F.regexp_extract(upstream, r"^(.+?)-(\d.*)\.src\.rpm$", 1)
-    full = F.regexp_extract(upstream, r"^(.+?)-(\d.*)\.src\.rpm$", 2)
+    upstream = F.regexp_extract(F.coalesce(col(purl), F.lit("")), UPSTREAM, 1)
+    source = F.regexp_extract(upstream, SOURCE_RPM, 1)
+    full = F.regexp_extract(upstream, SOURCE_RPM, 2)
     found = source != ""
     return F.struct(
         F.when(found, source).otherwise(col(name)).alias("source"),

@@ -365,6 +365,17 @@ def normalize_epss(df: DataFrame) -> DataFrame:
     return rows.select(F.col("s.cve").alias("cve_id"), F.col("s.epss").cast("float").alias("score"), F.col("s.percentile").cast("float").alias("percentile"), "model_version", "score_date")
 
 
+# Line forms of the Debian tracker's list.
+DEBIAN_FORMS = {
+    "head": r"^(CVE-\d{4}-\d+)\s*(.*)",
+    "note": r"^\s+NOTE:\s*(.+)",
+    "advisory": r"^\s+\{((?:DSA|DLA)-\d+-\d+)\}",
+    "release": r"^\s+\[(\S+)\]\s+-\s+(\S+)\s+(.*)",
+    "package": r"^\s+-\s+(\S+)\s+(.*)",
+    "tag": r"<([^>]+)>",
+}
+
+
 def normalize_debian_notes(lines: DataFrame) -> DataFrame:
     """(cve_id, vendor, description, notes, advisories, packages) from the lines (file, pos, line) of a tracker list.
 
@@ -372,24 +383,25 @@ def normalize_debian_notes(lines: DataFrame) -> DataFrame:
     release, package. A CVE listed twice keeps its last group. One file is one ordered document and is read as one window.
     """
     w = Window.partitionBy("file").orderBy("pos")
-    head = F.regexp_extract("line", r"^(CVE-\d{4}-\d+)", 1)
+    part = lambda form, i: F.regexp_extract("line", DEBIAN_FORMS[form], i)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"^\(", ""), r"\)$", "")
+    head = part("head", 1)
     indented = F.col("line").startswith("\t") | F.col("line").startswith("  ")
     rows = lines.withColumn("head", F.nullif(head, F.lit(""))).withColumn("edge", F.col("head").isNotNull() | ~indented)
     rows = rows.withColumn("group", F.sum(F.col("edge").cast("int")).over(w))
-    note = F.nullif(F.trim(F.regexp_extract("line", r"^\s+NOTE:\s*(.+)", 1)), F.lit(""))
-    advisory = F.nullif(F.regexp_extract("line", r"^\s+\{((?:DSA|DLA)-\d+-\d+)\}", 1), F.lit(""))
-    in_release, plain = r"^\s+\[(\S+)\]\s+-\s+(\S+)\s+(.*)", r"^\s+-\s+(\S+)\s+(.*)"
-    release = F.regexp_extract("line", in_release, 1)
-    name = F.when(release != "", F.regexp_extract("line", in_release, 2)).otherwise(F.regexp_extract("line", plain, 1))
-    rest = F.trim(F.when(release != "", F.regexp_extract("line", in_release, 3)).otherwise(F.regexp_extract("line", plain, 2)))
-    tag = F.regexp_extract(rest, "<([^>]+)>", 1)
-    told = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(rest, "<([^>]+)>", "")), r"^\(", ""), r"\)$", "")
+    note = F.nullif(F.trim(part("note", 1)), F.lit(""))
+    advisory = F.nullif(part("advisory", 1), F.lit(""))
+    release = part("release", 1)
+    name = F.when(release != "", part("release", 2)).otherwise(part("package", 1))
+    rest = F.trim(F.when(release != "", part("release", 3)).otherwise(part("package", 2)))
+    tag = F.regexp_extract(rest, DEBIAN_FORMS["tag"], 1)
+    told = bare(F.regexp_replace(rest, DEBIAN_FORMS["tag"], ""))
     package = F.struct(
         F.col("pos"), name.alias("package"), F.when(release != "", release).otherwise("unstable").alias("release"), F.when(tag == "", rest).otherwise("").alias("version"),
         F.when(tag == "", "fixed").otherwise(tag).alias("status"), F.when(tag == "", "").otherwise(told).alias("note"),
     )
     body = indented & F.col("head").isNull()
-    described = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract("line", r"^CVE-\d{4}-\d+\s*(.*)", 1)), r"^\(", ""), r"\)$", "")
+    described = bare(part("head", 2))
     rows = rows.select(
         "file", "group", "pos", "head",
         F.when(F.col("head").isNotNull(), described).alias("description"),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplylens import functions as fn
-from supplylens.operators import lookups, matching, normalize
+from supplylens.operators import catalog, lookups, matching, normalize
 from supplylens.plans.catalogue import Tables
 from supplylens.plans.standins import expand
+from supplylens.streaming import worklog
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -499,3 +500,87 @@ def fn_image_ref(spark, sf_dir):
     k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")
     ref = fn.image_ref(F.concat(F.when(k == 0, "app").when(k == 1, "quay.io/org/app").otherwise("localhost/org/app"), size, F.lit(":v"), size))
     return p.select("p_partkey", ref["registry"].alias("registry"), ref["repository"].alias("repository"), ref["tag"].alias("tag"))
+
+
+def _catalog(spark, sf_dir) -> dict[str, DataFrame]:
+    """Orders as images with one platform and one package each; a tag event for each order."""
+    o = Tables(spark, sf_dir).orders
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    entry = F.struct(F.concat(F.lit("d"), k.cast("string")).alias("digest"), F.struct(F.lit("linux").alias("os"), F.lit("arm64").alias("architecture")).alias("platform"))
+    manifests = o.filter("o_orderkey % 3 != 0").select(k.cast("string").alias("image_id"), _json(manifests=F.array(entry)).alias("content"))
+    tags = o.select(k.alias("event_id"), F.concat(F.lit("repo"), (k % 50).cast("string")).alias("repository"), F.when(k % 4 == 0, "v1.sig").otherwise("latest").alias("tag"), c.alias("image_id"), F.col("o_orderdate").alias("ts"))
+    pkg = F.struct(F.concat(F.lit("pkg"), c).alias("name"), F.lit("1").alias("versionInfo"))
+    sboms = o.select(F.concat(F.lit("d"), k.cast("string")).alias("platform_id"), _json(packages=F.array(pkg)).alias("content"))
+    return catalog.build_catalog(manifests, tags, sboms)
+
+
+@query("""
+SELECT 'd' || CAST(o_orderkey AS STRING) AS platform_id, 'pkg:unknown/pkg' || CAST(o_custkey AS STRING) || '@1' AS purl FROM orders WHERE o_orderkey % 3 <> 0
+""")
+def catalog_packages(spark, sf_dir):
+    return _catalog(spark, sf_dir)["platform_packages"]
+
+
+@query("""
+WITH e AS (SELECT o_orderkey AS id, 'repo' || CAST(o_orderkey % 50 AS STRING) AS repository, CAST(o_custkey AS STRING) AS image_id, o_orderdate AS ts FROM orders WHERE o_orderkey % 4 <> 0),
+k AS (SELECT * FROM (SELECT *, lag(image_id) OVER (PARTITION BY repository ORDER BY ts, id) AS before FROM e) WHERE before IS NULL OR before <> image_id)
+SELECT repository, image_id, ts AS valid_from, lead(ts) OVER (PARTITION BY repository ORDER BY ts, id) IS NULL AS current FROM k
+""")
+def catalog_tags(spark, sf_dir):
+    return _catalog(spark, sf_dir)["tags"].select("repository", "image_id", "valid_from", "current")
+
+
+@query("SELECT DISTINCT 'repo' || CAST(o_orderkey % 50 AS STRING) || ':latest' AS reference FROM orders WHERE o_orderkey % 4 <> 0")
+def tag_references(spark, sf_dir):
+    return _catalog(spark, sf_dir)["references"]
+
+
+@query("SELECT source_package, vuln_id, status FROM advisories WHERE status IN ('affected', 'fixed')")
+def feed_input(spark, sf_dir):
+    return lookups.feed_input(Tables(spark, sf_dir).advisories).select("source_package", "vuln_id", "status")
+
+
+@query("SELECT 's' || CAST(s_suppkey AS STRING) AS source, s_acctbal AS checkpoint_value FROM supplier ORDER BY 1")
+def source_status(spark, sf_dir):
+    s = Tables(spark, sf_dir).supplier
+    return lookups.source_status(s.select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.col("s_acctbal").alias("checkpoint_value")))
+
+
+@query("SELECT key FROM items WHERE created_at <= TIMESTAMP '1997-01-01 00:00:00'")
+def eligible_items(spark, sf_dir):
+    items = Tables(spark, sf_dir).items.withColumnRenamed("created_at", "not_before")
+    return worklog.eligible(items, F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00"))).select("key")
+
+
+@query("SELECT 'CVE-' || CAST(p_partkey AS STRING) AS cve_id, CAST(p_size AS DOUBLE) / 64 AS score, 'v' || CAST(p_size AS STRING) AS model_version FROM part")
+def epss_rows(spark, sf_dir):
+    p = Tables(spark, sf_dir).part
+    score = F.struct(F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve"), (F.col("p_size") / 64).alias("epss"), F.lit(0.5).alias("percentile"))
+    batch = _json(model_version=F.concat(F.lit("v"), F.col("p_size").cast("string")), score_date=F.lit("2024-01-01"), scores=F.array(score))
+    return normalize.normalize_epss(p.select(batch.alias("content"))).select("cve_id", F.col("score").cast("double").alias("score"), "model_version")
+
+
+@query("""
+SELECT 'CVE-' || CAST(p_partkey AS STRING) AS vuln_id, p_name AS summary, 'prod' AS package_name, '0:' || CAST(p_size AS STRING) AS ranges, 'http://x/' || CAST(p_partkey AS STRING) AS ref FROM part
+""")
+def normalize_override(spark, sf_dir):
+    p = Tables(spark, sf_dir).part
+    n = F.col("p_partkey").cast("string")
+    match = F.struct(F.lit(True).alias("vulnerable"), F.lit("cpe:2.3:a:v:prod:*:*").alias("criteria"), F.lit("0").alias("versionStartIncluding"), F.col("p_size").cast("string").alias("versionEndExcluding"))
+    note = F.struct(F.concat(F.lit("CVE-"), n).alias("cve_id"), F.col("p_name").alias("description"), F.array(F.concat(F.lit("http://x/"), n)).alias("references"))
+    record = _json(_annotation=note, cve=F.struct(F.array(F.struct(F.array(F.struct(F.array(match).alias("cpeMatch"))).alias("nodes"))).alias("configurations")))
+    v, a = normalize.normalize_nvd_override(p.select(record.alias("content")))
+    first = F.get("ranges", F.lit(0))
+    told = v.select(F.col("id").alias("vuln_id"), "summary", F.get("refs", F.lit(0))["url"].alias("ref"))
+    return a.join(told, "vuln_id").select("vuln_id", "summary", "package_name", F.concat_ws(":", first["introduced"], first["fixed"]).alias("ranges"), "ref")
+
+
+@query("""
+SELECT CAST(o_orderkey AS STRING) AS platform_id, 2 AS layer_count, CAST(o_orderkey + 7 AS BIGINT) AS compressed_size, '22/tcp,80/tcp' AS ports FROM orders
+""")
+def platform_config(spark, sf_dir):
+    o = Tables(spark, sf_dir).orders
+    ports = F.create_map(F.lit("80/tcp"), F.lit("x"), F.lit("22/tcp"), F.lit("y"))
+    content = _json(layers=F.array(F.struct(F.col("o_orderkey").alias("size")), F.struct(F.lit(7).cast("long").alias("size"))), config=F.struct(ports.alias("ExposedPorts")))
+    out = normalize.platform_config(o.select(F.col("o_orderkey").cast("string").alias("platform_id"), content.alias("content")))
+    return out.select("platform_id", "layer_count", "compressed_size", F.array_join("exposed_ports", ",").alias("ports"))
