@@ -25,10 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, rows: int | None = None, per_part: int = 100_000) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that lost executors cost no recomputation.
+
+    Where a bound on its ``rows`` is known, there are as many partitions as they fill, and not one for each shuffle
+    partition: iterations over small tables then neither write nor schedule thousands of empty files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(rows // per_part + 1)).checkpoint(eager=True)
 
 
 def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

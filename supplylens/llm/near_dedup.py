@@ -3,14 +3,14 @@
 A document's set is its distinct word shingles. ``BANDS * ROWS`` universal hash functions give one minimum each;
 the minima of a band hash to a bucket. Documents with equal sets are first reduced to one node. Then
 
-1. each bucket picks a centre (four different orders over the bands) and pairs it with its other members,
-   so a bucket of m documents costs m pairs;
-2. a pair is dropped where its signatures (a byte of each minimum) make a similarity near the threshold
-   impossible, and confirmed on the full sets otherwise;
-3. confirmed links become components by alternating large-star and small-star steps;
-4. buckets that still hold more than one component are searched for links between *different* components:
-   by further rounds of centres while their number is large, and then exactly, block against block. Two
-   documents of one component need no link of their own, so nothing is lost.
+1. nodes that share a bucket form families: components of the edges from each bucket's members to its centre, so a
+   bucket of m nodes costs m edges. No link leaves its family;
+2. in families larger than a few blocks, members are verified against the centres of their buckets (four different orders over
+   the bands) and verified links joined to components, since most of such a family is one group;
+3. every family that is not one component is searched exactly, block against block: pairs of nodes of different components are compared
+   by signature, and where that leaves the threshold possible, on their full sets. Nodes that are connected already need
+   no link of their own, so a block of copies costs one link each and nothing is lost;
+4. all links become components by alternating large-star and small-star steps.
 
 At 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
 """
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from supplylens.llm.common import cut, join_groups
 
 BANDS, ROWS = 32, 5
-#: Signature estimates this far below the threshold rule a pair out: over six standard deviations of 160 hashes.
-MARGIN = 0.22
-#: Rows of a bucket compared at once in the exact search.
-BLOCK = 1024
+#: Signature estimates this far below the threshold rule a pair out: 4.7 standard deviations of 160 hashes at 0.8.
+MARGIN = 0.15
+#: Nodes in a block of the exact search, and blocks from which a family is first thinned out by its centres.
+BLOCK, LARGE = 256, 4
 WORD_CACHE = 500_000
 
 _words: dict[bytes, int] = {}
@@ -49,14 +49,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(text: str | None, k: int) -> set:
-    """The set itself, for confirming links: k-word tuples, or all words where there are fewer."""
-    words = words_of(text)
-    if not words:
-        return set()
-    return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)}
-
-
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the set's shingles."""
     words = words_of(text)
@@ -98,7 +90,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig, bands for every document (the last two are null for empty sets)."""
+    """doc_id, n_shingles, set_key, bands for every document (bands are null for empty sets)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _hashes()
@@ -109,25 +101,25 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 for doc, text in zip(part["doc_id"], part["text"]):
                     h = shingle_hashes(text, k)
                     if len(h):
-                        sig = signature(h, a, b)
-                        rows.append((doc, len(h), xxhash.xxh128_digest(h.tobytes()), (sig & np.uint64(255)).astype(np.uint8).tobytes(), band_keys(sig)))
+                        rows.append((doc, len(h), xxhash.xxh128_digest(h.tobytes()), band_keys(signature(h, a, b))))
                     else:
-                        rows.append((doc, 0, b"", None, None))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "sig", "bands"])
+                        rows.append((doc, 0, b"", None))
+                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(work, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return rows.mapInPandas(work, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component) of every node of ``links`` (columns a, b) by alternating large-star and small-star.
 
     Ends when an iteration leaves the set of edges as it was. Each node's component is its smallest node.
+    ``most`` is a bound on the number of links, if one is known.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    edges = cut(edges)
+    edges = cut(edges, most)
     before = None
     while True:
         n, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -137,11 +129,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("m", "u"))
         large = join_groups(both, low, ["u"], "degree", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.filter("u > v").distinct())
+        large = cut(large.filter("u > v").distinct(), n)
         total = large.count()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         small = join_groups(large, low, ["u"], "degree", total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.u", "e.v").filter("u > v").distinct())
+        edges = cut(small.select("e.u", "e.v").filter("u > v").distinct(), total)
     # Every edge now leads from a node to the smallest of its component.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
@@ -154,113 +146,126 @@ def _salted(pairs: DataFrame, key: str, other: str, side: DataFrame, counted: Da
     """
     total = max(1, counted.count())
     counts = counted.groupBy(key).agg(F.count("*").alias("__n"))
-    parts = cut(counts.filter(F.col("__n") * share >= total).select(key, F.least("__n", F.floor(F.col("__n") * share / total) + 1).cast("int").alias("__parts")))
+    parts = cut(counts.filter(F.col("__n") * share >= total).select(key, F.least("__n", F.floor(F.col("__n") * share / total) + 1).cast("int").alias("__parts")), share)
     left = pairs.join(F.broadcast(parts), key, "left").withColumn("__salt", F.pmod(F.xxhash64(other), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
     right = side.join(F.broadcast(parts), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) whose set sizes and signatures allow the threshold (in percent)."""
-    small = nodes.select("node", "n_shingles", "sig")
-    named = lambda x: small.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    joined = _salted(pairs, "b", "a", named("b"), pairs).join(named("a"), "a")
-    joined = joined.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold)
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether 100 * |intersection| >= threshold * |union| for two sorted hash sets."""
+    common = int((x[np.minimum(x.searchsorted(y), len(x) - 1)] == y).sum()) if len(x) else 0
+    return common > 0 and 100 * common >= threshold * (len(x) + len(y) - common)
 
-    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        least = (threshold / 100 - MARGIN) * BANDS * ROWS
-        for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-                batch = batch[(x == y).sum(axis=1) >= least]
-            yield batch[["a", "b"]]
-
-    return joined.select("a", "b", "sig_a", "sig_b").mapInPandas(estimate, "a long, b long")
 
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * |intersection| >= threshold * |union|."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = _salted(joined, "b", "a", texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), pairs)
+def _centre_links(pairs: DataFrame, info: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold; b is a centre with possibly very many pairs."""
+    n_pairs = pairs.count()
+    joined = pairs.join(info.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    joined = _salted(joined, "b", "a", info.select(F.col("node").alias("b"), F.col("text").alias("text_b")), pairs)
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, set()
+        last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
             for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"]):
                 if b != last:  # rows of one centre follow each other
-                    last, held = b, shingles(text_b, k)
-                other = shingles(text_a, k)
-                common = len(held & other)
-                keep.append(common > 0 and 100 * common >= threshold * (len(held) + len(other) - common))
+                    last, held = b, shingle_hashes(text_b, k)
+                keep.append(similar(held, shingle_hashes(text_a, k), threshold))
             yield batch[np.array(keep, dtype=bool)][["a", "b"]]
 
-    return cut(joined.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a long, b long"))
-
+    return cut(joined.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a long, b long"), n_pairs, 10_000)
 
-def _star_pairs(rows: DataFrame, n_nodes: int, mask) -> DataFrame:
-    """Every member of a bucket with the bucket's centre; ``rows``: key, node. ``mask`` (a column) changes which node is first."""
-    stars = rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("first"), F.count("*").alias("members")).filter("members > 1")
-    stars = cut(stars.withColumn("centre", F.col("first").bitwiseXOR(mask)).select("key", "centre", "members"))
-    joined = join_groups(rows, stars, ["key"], "members", n_nodes)
-    return joined.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
+def search_unit(node: np.ndarray, component: np.ndarray, block: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between different components of one unit of work, enough to connect all that are connected.
 
-def _block_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Plausible pairs of different components within each bucket, all of them compared.
-
-    ``rows``: key, node, component, n_shingles, sig, members. A bucket is dealt into blocks of about ``BLOCK`` rows, and each pair
-    of blocks is a unit of work of its own, so that no task holds a whole bucket.
+    A unit of two blocks only compares across them; each block has a unit of its own.
+    """
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    size = np.array([len(s) for s in sets])
+    least = (threshold / 100 - MARGIN) * BANDS * ROWS
+    across = len(np.unique(block)) > 1
+    links = []
+    for r in range(len(node)):
+        ok = (component[r + 1 :] != component[r]) & (np.minimum(size[r], size[r + 1 :]) * 100 >= np.maximum(size[r], size[r + 1 :]) * threshold)
+        if across:
+            ok &= block[r + 1 :] != block[r]
+        at = np.flatnonzero(ok) + r + 1
+        if len(at):
+            at = at[(sigs[at] == sigs[r]).sum(axis=1) >= least]
+        for i in at.tolist():
+            x, y = find(component[r].item()), find(component[i].item())
+            if x != y and similar(sets[r], sets[i], threshold):
+                root[max(x, y)] = min(x, y)
+                links.append((int(node[r]), int(node[i])))
+    return links
+
+
+def _family_links(info: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links between components within each family. ``info``: node, text, family, component.
+
+    Components of a block or more have blocks of their own, the others of a family share blocks. Each pair of a family's
+    blocks is one unit, but for pairs within one component; a task holds one unit at a time.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = rows.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.withColumn("i", F.least("block", "unit")).withColumn("j", F.greatest("block", "unit"))
-    units = units.select("key", "i", "j", "block", "node", "component", "n_shingles", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(group), -1)
-        node, comp, n, block = (group[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
-        same_block = group["i"].iloc[0] == group["j"].iloc[0]
-        least = (threshold / 100 - MARGIN) * BANDS * ROWS
-        for r in range(len(group)):
-            ok = (comp[r + 1 :] != comp[r]) & (np.minimum(n[r], n[r + 1 :]) * 100 >= np.maximum(n[r], n[r + 1 :]) * threshold)
-            if not same_block:
-                ok &= block[r + 1 :] != block[r]
-            at = np.flatnonzero(ok) + r + 1
-            if len(at):
-                at = at[(sig[at] == sig[r]).sum(axis=1) >= least]
-                if len(at):
-                    yield np.full(len(at), node[r]), node[at]
+    total = info.count()
+    sizes = info.groupBy("family", "component").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("small", F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).withColumn("own", F.when(F.col("size") >= BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(0))
+    sizes = cut(sizes, total)
+    families = sizes.groupBy("family").agg(F.sum("small").alias("small"), F.sum("own").alias("all_own"), F.count("*").alias("components")).filter("components > 1")
+    shared = F.ceil(F.col("small") / BLOCK)
+    families = cut(families.select("family", shared.cast("int").alias("shared"), (shared + F.col("all_own")).alias("blocks"), "components"), total)
+    # Large components are numbered after the shared blocks; a family of n nodes has n / BLOCK of them at most.
+    before = Window.partitionBy("family").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.filter("own > 0").select("family", "component", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("at"))
+    placed = join_groups(sizes.select("family", "component", "size", "own"), families, ["family"], "components", max(1, total))
+    placed = placed.join(firsts, ["family", "component"], "left").withColumn("first", F.col("shared") + F.coalesce("at", F.lit(0)))
+    placed = cut(placed.select("family", "component", "size", "shared", "own", "first", "blocks"), total)
+    # A component with a large part of all nodes must not make a task of the join.
+    rows = join_groups(info, placed, ["family", "component"], "size", max(1, total))
+    block = F.when(F.col("own") > 0, F.col("first") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("component"), F.greatest("shared", F.lit(1))))
+    rows = rows.withColumn("block", block.cast("int"))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda u: (F.col("own") == 0) | (u < F.col("first")) | (u >= F.col("first") + F.col("own")))
+    units = rows.withColumn("unit", F.explode(other))
+    units = units.select("family", F.least("block", "unit").alias("i"), F.greatest("block", "unit").alias("j"), "block", "component", "node", "text")
+    units = units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        a, b = _hashes()
+        held: list[pd.DataFrame] = []
 
-        def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-            found = [p for _, g in frame.groupby(["key", "i", "j"], sort=False) if len(g) > 1 and g["component"].nunique() > 1 for p in compare(g)]
-            if not found:
-                return empty
-            x, y = (np.concatenate([p[s] for p in found]) for s in (0, 1))
-            return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
+        def links(frames: list[pd.DataFrame]) -> pd.DataFrame:
+            found: list[tuple[int, int]] = []
+            for _, g in pd.concat(frames, ignore_index=True).groupby(["family", "i", "j"], sort=False) if frames else ():
+                if g["component"].nunique() > 1:
+                    sets = [shingle_hashes(t, k) for t in g["text"]]
+                    sigs = np.stack([(signature(h, a, b) & np.uint64(255)).astype(np.uint8) for h in sets])
+                    found += search_unit(g["node"].to_numpy(), g["component"].to_numpy(), g["block"].to_numpy(), sets, sigs, threshold)
+            return pd.DataFrame(found or np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
 
         for batch in batches:
-            if not len(batch):
-                continue
-            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = frame.iloc[-1]
-            open_ = (frame["key"] == last["key"]) & (frame["i"] == last["i"]) & (frame["j"] == last["j"])
-            held = frame[open_]
-            yield pairs(frame[~open_])
-        if held is not None:
-            yield pairs(held)
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                last = part.iloc[-1][["family", "i", "j"]]
+                open_ = (part["family"] == last["family"]) & (part["i"] == last["i"]) & (part["j"] == last["j"])
+                if open_.all() and held and tuple(held[-1].iloc[-1][["family", "i", "j"]]) == tuple(last):
+                    held.append(part)
+                    continue
+                yield links([*held, part[~open_]])
+                held = [part[open_]]
+        yield links(held)
 
-    return units.mapInPandas(work, "a long, b long").distinct()
+    return cut(units.mapInPandas(work, "a long, b long"), total, 10_000)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", many_pairs_per_node: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     ``threshold`` is a Jaccard similarity in percent. Further:
@@ -276,39 +281,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     rows = cut(sketches(docs, k))
     n_rows = rows.count()
     real = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = cut(real.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
+    sets = cut(real.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), n_rows)
+    n_nodes = sets.count()
     firsts = sets.select("set_key", F.col("node").alias("doc_id"))
-    nodes = cut(real.join(firsts, ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "sig", "bands"))
-    n_nodes = nodes.count()
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return _confirmed(cut(_plausible(cut(pairs.distinct()), nodes, threshold)), docs, k, threshold)
-
-    # One order of nodes for each of four sets of bands.
-    links = confirm(_star_pairs(buckets, n_nodes, F.xxhash64(F.col("key").bitwiseAND(F.lit(3)))))
-    found = components(links)
-    turn, open_before = 0, None
-    while True:
-        turn += 1
-        labels = nodes.select("node", "n_shingles", "sig", "bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = labels.select("node", "component", F.explode("bands").alias("key"))
-        mixed = labelled.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-        mixed = cut(mixed.select("key", "members"))
-        open_pairs = mixed.agg(F.sum(F.col("members").cast("double") * (F.col("members") - 1) / 2)).first()[0] or 0.0
-        if open_pairs == 0:
-            break
-        if open_pairs <= many_pairs_per_node * n_nodes or (open_before is not None and open_pairs > 0.9 * open_before):
-            wide = labels.select("node", "component", "n_shingles", "sig", F.explode("bands").alias("key"))
-            more = _confirmed(cut(_block_pairs(join_groups(wide, mixed, ["key"], "members", n_nodes), threshold)), docs, k, threshold)
-            links = links.unionByName(more)
-            found = components(links)
-            break
-        open_before = open_pairs
-        rest = join_groups(labelled, mixed, ["key"], "members", n_nodes).select("key", "node")
-        pairs = _star_pairs(cut(rest), n_nodes, F.xxhash64("key", F.lit(turn)))
-        links = cut(links.unionByName(confirm(pairs)))
-        found = components(links)
+    buckets = real.select("doc_id", "set_key", "bands").join(firsts, ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    # The centre of a bucket is its first node in one of four orders, by band.
+    mask = F.xxhash64(F.col("key").bitwiseAND(F.lit(3)))
+    stars = buckets.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("first"), F.count("*").alias("members")).filter("members > 1")
+    stars = cut(stars.select("key", F.col("first").bitwiseXOR(mask).alias("centre"), "members"), BANDS * n_nodes)
+    spokes = cut(join_groups(buckets, stars, ["key"], "members", max(1, n_nodes)).filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), BANDS * n_nodes)
+    families = components(spokes, BANDS * n_nodes)
+    families = cut(families.unionByName(families.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "family"), n_nodes)
+    info = cut(docs.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node").join(families, "node"), families.count(), 2_000)
+    large = families.groupBy("family").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE * BLOCK)
+    links = None
+    if not large.isEmpty():
+        # At most one family in LARGE * BLOCK nodes is large.
+        within = join_groups(families, large, ["family"], "size", max(1, n_nodes)).select(F.col("node").alias("a"))
+        links = _centre_links(cut(spokes.join(within, "a", "left_semi"), BANDS * n_nodes), info, k, threshold)
+    known = info.withColumn("component", F.col("node"))
+    if links is not None:
+        known = info.join(components(links, BANDS * n_nodes), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = _family_links(known.select("node", "text", "family", "component"), k, threshold)
+    found = components(more if links is None else links.unionByName(more), BANDS * n_nodes)
 
     groups = sets.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"), "copies")
     full = join_groups(real.select("doc_id", "n_shingles", "set_key"), groups, ["set_key"], "copies", max(1, n_rows)).select("doc_id", "n_shingles", "component_id")
@@ -321,9 +316,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_co
 
     Rows that repeat the id and text of the one that stays are reduced to one.
     """
-    kept = near_duplicates(docs, k, threshold, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    unnamed = docs.filter(F.col(id_col).isNull())
-    named = docs.join(kept, docs[id_col].cast("long") == F.col("__kept"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    named = named.withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first")
-    return named.unionByName(unnamed)
+    kept = near_duplicates(docs, k, threshold, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    # Rows travel as one struct, so no column name can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    named = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+    named = named.withColumn("first", F.row_number().over(Window.partitionBy("id").orderBy("hash"))).filter("first = 1")
+    return named.select("row.*").unionByName(rows.filter("id is null").select("row.*"))
