@@ -133,10 +133,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat the kept id and text are reduced to one. Rows travel as one struct, so no column name can clash.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalise(F.col(text_col)), 256).alias("sha"))
-    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
-    return joined.dropDuplicates(["id", "sha"]).select("row.*")
+    # A key without nulls lets the semi-join and the last step share one shuffle of the rows.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(key("doc_id").alias("key"), F.col("text_sha256").alias("sha"))
+    rows = docs.select(F.struct("*").alias("row"), key(id_col).alias("key"), F.sha2(normalise(F.col(text_col)), 256).alias("sha"))
+    return rows.join(kept, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"]).select("row.*")
 
 
 ORACLE = r"""

@@ -162,15 +162,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Extra columns are repeated unchanged. A cut copy keeps whole words; an ``n_chars`` column is set to its
     new length.
     """
-    row_hash, ident = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)), F.col(id_col).cast("string")
+    # A key without nulls lets the numbering and the join share one shuffle of the rows.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    row_hash = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
     plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    plan = plan.filter((F.col("whole") > 0) | (F.col("part_words") > 0)).groupBy(F.col("__row").alias("plan_hash"), F.col("doc_id").cast("string").alias("plan_id")).agg(
+    plan = plan.filter((F.col("whole") > 0) | (F.col("part_words") > 0)).groupBy(F.col("__row").alias("hash"), key("doc_id").alias("ident")).agg(
         F.collect_list(F.struct("whole", "part_words", "size")).alias("plans")
     )
     # Rows travel as one struct, so no column name can clash. Those equal in id and text share a list of plans; each takes one of them.
-    rows = docs.select(F.struct("*").alias("row"), row_hash.alias("hash"), ident.alias("ident"))
+    rows = docs.select(F.struct("*").alias("row"), row_hash.alias("hash"), key(id_col).alias("ident"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("hash", "ident").orderBy(F.lit(1))))
-    joined = rows.join(plan, (F.col("hash") == F.col("plan_hash")) & F.col("ident").eqNullSafe(F.col("plan_id")))
+    joined = rows.join(plan, ["hash", "ident"])
     joined = joined.withColumn("plan", F.get("plans", F.col("n") - 1)).filter(F.col("plan").isNotNull())
     all_words = F.lit(-1).cast("long")
     copies = F.concat(
