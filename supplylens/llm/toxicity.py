@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ from supplylens.llm.common import cut, is_training
 TERM = re.compile(r"[^\W\d_]+")
 #: Longer runs of letters are not words; they are left out of the vocabulary and of no term's count.
 LONGEST_TERM = 64
+#: Answers that a worker keeps before it starts afresh.
+REMEMBERED = 50_000
 
 
 def term_counts(text: str | None) -> Counter:
@@ -104,6 +106,23 @@ class ToxicityModel:
     k: int
     prior: float
     curve: tuple[np.ndarray, np.ndarray] | None = None
+    #: Answers to vectors seen before; most texts have a few informative terms at most, so vectors recur.
+    seen: dict = field(default_factory=dict)
+
+    def __getstate__(self):
+        return {**self.__dict__, "seen": {}}
+
+    def answer(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
+        """Score and neighbours (example id, cosine) of a text."""
+        counts = term_counts(text)
+        terms, weights = self.vector({t: counts[t] for t in counts.keys() & self.terms.keys()})
+        key = (terms.tobytes(), weights.tobytes())
+        if key not in self.seen:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            share, near = self.vote(terms, weights)
+            self.seen[key] = (self.score(share), near)
+        return self.seen[key]
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
         found = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
@@ -243,13 +262,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, evidenc
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        known = m.terms.keys()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                counts = term_counts(text)
-                share, near = m.vote(*m.vector({t: counts[t] for t in counts.keys() & known}))
-                s = m.score(share)
+                s, near = m.answer(text)
                 rows.append((doc, s, int(s >= threshold), [{"doc_id": i, "cosine": c} for i, c in near[:evidence]]))
             out = pd.DataFrame(rows, columns=["doc_id", "score", "predicted", "evidence"])
             out["doc_id"] = out["doc_id"].astype("Int64")
@@ -266,12 +282,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
 
     def flag(texts: pd.Series) -> pd.Series:
         m = shared.value
-        known = m.terms.keys()
-        out = []
-        for t in texts:
-            counts = term_counts(t)
-            out.append(m.score(m.vote(*m.vector({x: counts[x] for x in counts.keys() & known}))[0]) < threshold)
-        return pd.Series(out, dtype=bool)
+        return pd.Series([m.answer(t)[0] < threshold for t in texts], dtype=bool)
 
     keep = F.pandas_udf(flag, "boolean")
     return docs.filter(keep(F.col("text"))).select(*[F.col(f"`{c}`") for c in names])
