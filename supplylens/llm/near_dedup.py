@@ -174,7 +174,7 @@ def _centre_links(pairs: DataFrame, info: DataFrame, k: int, threshold: int) ->
                 keep.append(similar(held, shingle_hashes(text_a, k), threshold))
             yield batch[np.array(keep, dtype=bool)][["a", "b"]]
 
-    return cut(joined.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a long, b long"), n_pairs, 10_000)
+    return cut(joined.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a long, b long"), n_pairs, 5_000)
 
 
 def search_unit(node: np.ndarray, component: np.ndarray, block: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -262,7 +262,7 @@ def _family_links(info: DataFrame, k: int, threshold: int) -> DataFrame:
                 held = [part[open_]]
         yield links(held)
 
-    return cut(units.mapInPandas(work, "a long, b long"), total, 10_000)
+    return cut(units.mapInPandas(work, "a long, b long"), total, 1_000)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
