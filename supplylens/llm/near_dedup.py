@@ -107,6 +107,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        _words.clear()  # workers go on to other stages, which need the memory
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(work, "doc_id long, n_shingles long, set_key binary, bands array<long>")

@@ -25,7 +25,7 @@ from supplylens.llm.common import cut
 CAPACITY = 4096
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 #: Marks split off from the end of a word, all of them one piece. No apostrophe: it can start a piece with the letters after it.
 MARKS = ".,;:!?|#$%&*()[]{}<>=+/\\-\""
 #: A mark before a full stop or comma makes one piece with it, so such texts keep their words as they are.
