@@ -49,10 +49,13 @@ def related(v: DataFrame) -> DataFrame:
     return both.join(v.select(F.col("id").alias("related_id")), "related_id", "left_semi").select("id", "related_id")
 
 
-def batch_get(v: DataFrame, affected: DataFrame, ids: DataFrame) -> DataFrame:
-    """Vulnerabilities with their nested affected rows, by ``pos`` of ``ids`` (pos, id); unknown ids drop out."""
+def batch_get(v: DataFrame, affected: DataFrame, ids: DataFrame, columns: Sequence[Column | str] = ("*",)) -> DataFrame:
+    """Vulnerabilities with their nested affected rows, by ``pos`` of ``ids`` (pos, id); unknown ids drop out.
+
+    ``columns`` (``pos`` among them) are taken before the rows are ordered, so that lists of which only a figure is wanted are not shuffled.
+    """
     nested = affected.groupBy("vuln_id").agg(F.sort_array(F.collect_list(F.struct("package_name", "source", "ecosystem"))).alias("affected"))
-    return ids.join(v, "id").join(nested, F.col("id") == F.col("vuln_id"), "left").drop("vuln_id").orderBy("pos")
+    return ids.join(v, "id").join(nested, F.col("id") == F.col("vuln_id"), "left").drop("vuln_id").select(*columns).orderBy("pos")
 
 
 def changelog(v: DataFrame, modified_since=None, updated_since=None, limit: int | None = None, offset: int = 0) -> DataFrame:

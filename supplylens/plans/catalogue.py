@@ -127,25 +127,25 @@ FROM q JOIN affected ON package_name = name AND (eco IS NULL OR eco = ecosystem)
 """)
 def affected_by_package(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    names = t.part.filter("p_partkey < 60").select(F.concat(F.lit("pkg"), "p_partkey").alias("package_name"), F.when(F.col("p_partkey") % 2 == 0, "npm").alias("ecosystem"))
+    names = t.part.select(F.concat(F.lit("pkg"), "p_partkey").alias("package_name"), F.when(F.col("p_partkey") % 2 == 0, "npm").alias("ecosystem"))
     return lookups.affected_by_package(t.affected, names)
 
 
 @query("SELECT DISTINCT purl, vuln_id FROM affected WHERE purl IN (SELECT 'pkg:rpm/p' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 3 = 0)")
 def affected_by_purl(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    purls = t.part.filter("p_partkey % 3 = 0").select(F.concat(F.lit("pkg:rpm/p"), "p_partkey").alias("purl"))
+    purls = t.part.select(F.concat(F.lit("pkg:rpm/p"), "p_partkey").alias("purl"))
     return lookups.affected_by_purl(t.affected, purls)
 
 
 ASKED = """
 SELECT CASE WHEN p_partkey % 5 = 0 THEN 'pkg:rpm/p' || CAST(p_partkey AS STRING) ELSE '' END AS purl, CASE WHEN p_partkey % 5 = 1 THEN 'vendor' || CAST(p_partkey % 4 AS STRING) ELSE '' END AS vendor,
-  CASE WHEN p_partkey % 5 = 2 THEN 'npm' ELSE '' END AS ecosystem, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE 'pkg' || CAST(p_partkey AS STRING) END AS name FROM {0} WHERE p_partkey < 150
-"""
+  CASE WHEN p_partkey % 5 = 2 THEN 'npm' ELSE '' END AS ecosystem, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE 'pkg' || CAST(p_partkey AS STRING) END AS name FROM {0}"""
 
 
 @query(f"""
-WITH q AS ({ASKED.format("part")}), h AS (
+WITH q AS ({ASKED.format("part")} WHERE p_partkey < 150
+), h AS (
   SELECT DISTINCT q.purl AS result_key, vuln_id FROM q JOIN affected a ON a.purl = q.purl WHERE q.purl <> ''
   UNION SELECT q.vendor || '/' || q.name, vuln_id FROM q JOIN affected a ON a.vendor = q.vendor AND a.package_name = q.name WHERE q.purl = '' AND q.vendor <> '' AND q.name <> ''
   UNION SELECT q.ecosystem || ':' || q.name, vuln_id FROM q JOIN affected a ON a.ecosystem = q.ecosystem AND a.package_name = q.name WHERE q.purl = '' AND q.vendor = '' AND q.ecosystem <> '' AND q.name <> ''
@@ -189,9 +189,9 @@ SELECT pos, ids.id AS id, summary, coalesce(n_affected, 0) AS n_affected FROM id
 """)
 def batch_get(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    ids = t.orders.filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("pos"), F.concat(F.lit("CVE-2024-"), (F.col("o_orderkey") % 500).cast("string")).alias("id"))
-    got = lookups.batch_get(vulnerabilities(t), t.affected, ids)
-    return got.select("pos", "id", "summary", F.greatest(F.coalesce(F.size("affected"), F.lit(0)), F.lit(0)).cast("long").alias("n_affected"))
+    ids = t.orders.select(F.col("o_custkey").alias("pos"), F.concat(F.lit("CVE-2024-"), (F.col("o_orderkey") % 500).cast("string")).alias("id"))
+    n_affected = F.greatest(F.coalesce(F.size("affected"), F.lit(0)), F.lit(0)).cast("long").alias("n_affected")
+    return lookups.batch_get(vulnerabilities(t), t.affected, ids, ["pos", "id", "summary", n_affected])
 
 
 @query("""
