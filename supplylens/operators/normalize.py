@@ -464,17 +464,23 @@ ASSESSMENTS = "array<struct<cve_id:string,status:string,confidence:string,reason
 def parse_assessments(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add cve_id, status, confidence and reasoning, a row for each assessment in a reviewer's answer.
 
-    Code fences are taken off; of a list that doesn't parse everything to the last complete object is kept. Unknown statuses become ``under-review``, unknown
-    confidences ``low``.
+    Code fences are taken off, but those inside a text stay; of a list that doesn't parse everything to the last complete object is kept. Unknown statuses become ``under-review``, unknown confidences ``low``.
     """
-    text = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"```(?:json)?\s*\n?", "")
-    rows = df.withColumn("__t", text).withColumn("__start", F.instr("__t", "["))
-    upto = lambda c: F.char_length("__t") - F.instr(F.reverse("__t"), c) + 1
-    inside = lambda end: F.substr("__t", F.col("__start"), end - F.col("__start") + 1)
-    whole = F.when((F.instr("__t", "]") > 0) & (upto("]") > F.col("__start")), inside(upto("]")))
-    saved = F.when((F.instr("__t", "}") > 0) & (upto("}") > F.col("__start")), F.concat(inside(upto("}")), F.lit("]")))
+    raw = F.coalesce(text_col, F.lit(""))
+    tail = F.substr(raw, F.instr(raw, "["))
+    bare = lambda c: F.regexp_replace(c, r"```(?:json)?\s*\n?", "")
+    # Strings lie between an odd quote and the next; escaped backslashes and quotes are control characters meanwhile, which JSON doesn't have in strings.
+    parts = F.split(F.replace(F.replace(tail, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02")), '"')
+    outside = lambda f, g: F.array_join(F.transform("__parts", lambda x, i: F.when(i % 2 == 1, g(x)).otherwise(f(x))), '"')
+    rows = df.filter(F.instr(raw, "[") > 0).withColumn("__all", bare(tail)).withColumn("__parts", parts)
+    shown = lambda c: F.replace(F.replace(c, F.lit("\x01"), F.lit("\\\\")), F.lit("\x02"), F.lit('\\"'))
+    rows = rows.withColumn("__t", outside(lambda x: shown(bare(x)), shown)).withColumn("__seen", outside(lambda x: shown(bare(x)), lambda x: F.repeat(F.lit(" "), F.char_length(shown(x)))))
+    upto = lambda t, c, seen: F.when(F.instr(seen, c) > 0, F.substr(t, F.lit(1), F.char_length(seen) - F.instr(F.reverse(seen), c) + 1))
+    whole = lambda t: upto(F.col(t), "]", F.col(t))
+    saved = lambda t, seen: F.concat(upto(F.col(t), "}", F.col(seen)), F.lit("]"))
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    rows = rows.filter("__start > 0").withColumn("__items", F.from_json(F.coalesce(valid(whole), valid(saved)), ASSESSMENTS)).withColumn("__i", F.explode("__items"))
+    found = F.coalesce(*map(valid, (whole("__t"), saved("__t", "__t"), saved("__t", "__seen"), whole("__all"), saved("__all", "__all"))))
+    rows = rows.withColumn("__items", F.from_json(found, ASSESSMENTS)).withColumn("__i", F.explode("__items"))
     rows = rows.filter("__i is not null")
     pick = lambda c, allowed, other: F.when(c.isin(*allowed), c).otherwise(other)
     return rows.withColumns(
@@ -484,7 +490,7 @@ def parse_assessments(df: DataFrame, text_col: str = "text") -> DataFrame:
             "confidence": pick(F.col("__i.confidence"), ("high", "medium", "low"), "low"),
             "reasoning": _t(F.col("__i.reasoning")),
         }
-    ).drop("__t", "__start", "__items", "__i")
+    ).drop("__all", "__parts", "__t", "__seen", "__items", "__i")
 
 
 # Ways in which reviewers state a name mapping.

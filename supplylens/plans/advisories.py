@@ -359,7 +359,7 @@ FROM conversations WHERE turn % 4 <> 3
 def parse_assessments(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations
     status = F.element_at(F.array(F.lit("affected"), F.lit("sure"), F.lit("not-affected")), (F.col("turn") % 3 + 1).cast("int"))
-    item = F.to_json(F.struct(F.concat(F.lit("CVE-"), F.col("conv_id").cast("string")).alias("cve_id"), status.alias("status"), F.when(F.col("turn") % 2 == 0, "high").otherwise("certain").alias("confidence"), F.substring("text", 1, 20).alias("reasoning")))
+    item = F.to_json(F.struct(F.concat(F.lit("CVE-"), F.col("conv_id").cast("string")).alias("cve_id"), status.alias("status"), F.when(F.col("turn") % 2 == 0, "high").otherwise("certain").alias("confidence"), F.col("text").alias("reasoning")))
     fence = F.lit("```json\n")
     answer = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Here: "), fence, F.lit("["), item, F.lit("]\n```"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("["), item, F.lit(', {"cve_id": "cut')))
     answer = answer.when(F.col("turn") % 4 == 2, F.concat(F.lit("["), item, F.lit("]"))).otherwise(F.lit("no list"))

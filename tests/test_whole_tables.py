@@ -1,8 +1,11 @@
 """Queries that answer for whole tables, where the SQL registered beside them asks for a part: held against that SQL without its filter."""
 
+import json
+
 import duckdb
 import pytest
 
+from supplylens.operators import normalize
 from supplylens.plans import ORACLES, QUERIES
 from supplylens.plans.standins import TABLES
 
@@ -34,3 +37,20 @@ def same_rows(spark, sf_dir, name, *cuts):
 )
 def test_all_keys_are_asked(spark, sf_dir, name, cut):
     same_rows(spark, sf_dir, name, (cut, ""))
+
+
+def test_whole_texts_are_parsed(spark, sf_dir):
+    got = same_rows(spark, sf_dir, "parse_assessments", ("substr(text, 1, 20)", "text"))
+    assert max(len(r[-1]) for r in got) > 1000
+
+
+TEXTS = ["a [1] and ]", "if (x) { y } else }", 'she said "no" \\ "', "```json\n[1]\n``` end", "x" * 200_000, "日本 [}] ü", '"}], [{"']
+
+
+@pytest.mark.parametrize("text", TEXTS, ids=range(len(TEXTS)))
+def test_texts_with_marks_of_json(spark, text):
+    item = json.dumps({"cve_id": "C", "status": "affected", "confidence": "high", "reasoning": text}, ensure_ascii=False)
+    cut = item[:-3] if not text.endswith(("\\", '"')) else item[:-5]
+    answers = [f"Here: ```json\n[{item}]\n```", f"[{item}, {cut}", f'[{item}, {{"cve_id": "cut', f"[{item},\n```\n{item}]"]
+    rows = normalize.parse_assessments(spark.createDataFrame(list(enumerate(answers)), "n int, text string")).collect()
+    assert sorted((r["n"], r["reasoning"]) for r in rows) == [(0, text), (1, text), (2, text)] + [(3, text)] * 2
