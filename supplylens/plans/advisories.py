@@ -205,7 +205,7 @@ def vendor_filter(spark, sf_dir):
 
 @query("SELECT name, cves FROM (SELECT lower(package_name) AS name, count(DISTINCT vuln_id) AS cves FROM affected WHERE package_name <> '' GROUP BY 1) WHERE cves >= 3 ORDER BY cves DESC, name LIMIT 100")
 def frequent_names(spark, sf_dir):
-    return matching.frequent_vuln_names(Tables(spark, sf_dir).affected, 3, 100)
+    return matching.frequent_vuln_names(Tables(spark, sf_dir).affected, 3)
 
 
 @query("""
@@ -346,7 +346,7 @@ def triage_merge(spark, sf_dir):
 SELECT source_package, vuln_id FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN status = 'detected' THEN 0 ELSE 1 END, CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 END, vuln_id, source_package) AS n FROM advisories) WHERE n <= 500
 """)
 def sorted_advisories(spark, sf_dir):
-    return lookups.sort_advisories(Tables(spark, sf_dir).advisories.withColumn("severity", F.col("confidence"))).limit(500).select("source_package", "vuln_id")
+    return lookups.sort_advisories(Tables(spark, sf_dir).advisories.withColumn("severity", F.col("confidence"))).select("source_package", "vuln_id")
 
 
 # Records

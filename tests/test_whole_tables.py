@@ -7,6 +7,7 @@ import pytest
 
 from supplylens.operators import normalize
 from supplylens.plans import ORACLES, QUERIES
+from supplylens.plans.catalogue import Tables
 from supplylens.plans.standins import TABLES
 
 
@@ -54,3 +55,15 @@ def test_texts_with_marks_of_json(spark, text):
     answers = [f"Here: ```json\n[{item}]\n```", f"[{item}, {cut}", f'[{item}, {{"cve_id": "cut', f"[{item},\n```\n{item}]"]
     rows = normalize.parse_assessments(spark.createDataFrame(list(enumerate(answers)), "n int, text string")).collect()
     assert sorted((r["n"], r["reasoning"]) for r in rows) == [(0, text), (1, text), (2, text)] + [(3, text)] * 2
+
+
+def test_all_advisories_are_sorted(spark, sf_dir):
+    got = same_rows(spark, sf_dir, "sorted_advisories", (" WHERE n <= 500", " ORDER BY n"))
+    by = {(r["source_package"], r["vuln_id"]): r for r in Tables(spark, sf_dir).advisories.collect()}
+    assert len(got) == len(by) > 500
+    rank = {"high": 1, "medium": 2, "low": 3}
+    assert got == sorted(got, key=lambda k: (by[k]["status"] != "detected", rank[by[k]["confidence"]], k[1], k[0]))
+
+
+def test_frequent_names_keeps_the_default_k(spark, sf_dir):
+    assert len(same_rows(spark, sf_dir, "frequent_names", ("LIMIT 100", "LIMIT 3000"))) > 100
