@@ -110,12 +110,12 @@ CANDIDATES = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "name": re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?"),
-    "secret": re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?[^\s,;]{4,128}"),
+    "secret": re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?[^\s,;]{4,}"),
     "street": re.compile(r"(?<![0-9])[0-9]{1,5}\x20[A-Z][a-z]{1,30}\x20(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr)(?![a-z])"),
 }
-#: A text without the group's strings has no candidate of the kind, so most texts are searched for few kinds.
+#: A text without the group's strings, or a match of its pattern, has no candidate of the kind, so most texts are searched for few kinds.
 NEEDS = {
-    "email_spelled": ("at]", "at)", "at )", "at ]"),
+    "email_spelled": re.compile(r"at\s?[\])]"),
     "iban": None,
     "phone_local": None,
     "ssn": None,
@@ -138,18 +138,35 @@ LABELERS = ("format", "checksum", "gazetteer", "cue", "counter_cue", "boundary")
 WORD = re.compile(r"[A-Za-z-]+")
 
 
+def secrets(text: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Secrets to their end, without the base spans in them: what lies before the first, if it is a secret itself, and what lies after each."""
+    b = 0
+    for m in CANDIDATES["secret"].finditer(text):
+        while b < len(base) and base[b][1] <= m.start():
+            b += 1
+        i, at, parts = b, m.start(), []
+        while i < len(base) and base[i][0] < m.end():
+            parts.append((at, base[i][0]))
+            at = max(at, base[i][1])
+            i += 1
+        parts.append((at, m.end()))
+        if CANDIDATES["secret"].fullmatch(text, *parts[0]):
+            yield parts[0]
+            yield from (p for p in parts[1:] if p[1] - p[0] >= 4)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of looser matches that touch no base span, non-overlapping within and between kinds (earlier, then earlier kind)."""
     found = []
+    taken = sorted((s, e) for s, _, e in base)
     digit = any(map(text.__contains__, "0123456789"))
     for kind, pattern in CANDIDATES.items():
         needs = NEEDS[kind]
-        if (digit if needs is None else any(n in text for n in needs)):
-            found += [(m.start(), KIND_AT[kind], m.end()) for m in pattern.finditer(text)]
+        if digit if needs is None else needs.search(text) if isinstance(needs, re.Pattern) else any(n in text for n in needs):
+            found += [(s, KIND_AT[kind], e) for s, e in (secrets(text, taken) if kind == "secret" else (m.span() for m in pattern.finditer(text)))]
     if not found:
         return []
     out, end, b = [], 0, 0
-    taken = sorted((s, e) for s, _, e in base)
     for s, k, e in sorted(found):
         while b < len(taken) and taken[b][1] <= s:
             b += 1
