@@ -11,12 +11,14 @@ are still not nearly full are released and regrouped with those of other groups,
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,14 @@ from supplylens.llm.common import cut
 
 CAPACITY = 4096
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 700_000
-#: Marks split off from the end of a word, all of them one piece. No apostrophe: it can start a piece with the letters after it.
+#: Words whose ids a Python worker remembers; beyond that it goes on with those of its last stretch of texts.
+KNOWN_WORDS = 800_000
+#: Bytes of text that are encoded at once; a longer text is taken alone.
+STRETCH = 8_000_000
+#: Marks split off from the end of a word. No apostrophe: it can start a piece with the letters after it.
 MARKS = ".,;:!?|#$%&*()[]{}<>=+/\\-\""
-#: A mark before a full stop or comma makes one piece with it, so such texts keep their words as they are.
-MARK_RUN = re.compile(rb"[^\w\s][.,](?=\s)")
+#: Letters that stay letters, one for one, when the vocabulary composes and lower-cases them; words of others are encoded whole.
+PLAIN = "a-z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c)
 
 
 def default_tokenizer() -> str:
@@ -38,79 +42,112 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows whose sizes sum to at most ``most``; a larger row is a range of its own."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(sizes):
+        yield start, len(sizes)
+
+
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary lower-cases, drops white space and never joins what it separates, so
-    a text is encoded word by word and each different word only once. A full stop or comma that ends a word is a
-    word of its own unless another mark stands before it. New words of letters, without the marks behind them, are encoded many at a time and told
-    apart by the ids that end a word. Texts with a special token's string, in any case, are encoded whole.
+    The vocabulary lower-cases, drops white space and never joins what it separates, so texts are split into words, and each different
+    word is encoded once. Splitting, telling words apart and putting ids together are Arrow operations on whole columns. Marks at
+    the end of a word of plain letters make pieces of their own and are looked up apart. Unknown words of plain letters are encoded many at
+    a time and told apart by the ids that end a word; other words are encoded whole. Texts with a special token's
+    string, in any case, never pass through words at all.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, new: set[bytes], chunk: int = 500) -> None:
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        letters = []
-        for w in new:
-            text = w.decode("utf-8", "replace")
-            if text.isalpha():
-                letters.append((w, text, b""))
-                continue
-            core = text.rstrip(MARKS)
-            if core.isalpha():
-                tail = text[len(core) :].encode()
-                if tail not in self.words:
-                    self.words[tail] = self._ids(tail.decode())
-                letters.append((w, core, self.words[tail]))
-            else:
-                self.words[w] = self._ids(text)
-        parts = [letters[i : i + chunk] for i in range(0, len(letters), chunk)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(t for _, t, _ in p) for p in parts], add_special_tokens=False)):
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, words: pa.Array, chunk: int = 500) -> pa.Array:
+        """Ids of words of plain letters."""
+        n = len(words)
+        at = pa.array(np.append(np.arange(0, n, chunk), n), pa.int32())
+        lines = pc.binary_join(pa.ListArray.from_arrays(at, words), " ").to_pylist()
+        out = []
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                data, at = ids.tobytes(), 0
-                for (w, _, tail), end in zip(part, (cuts * 4).tolist()):
-                    self.words[w] = data[at:end] + tail
-                    at = end
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            size = min(chunk, n - i * chunk)
+            if len(ends) == size:
+                offsets = np.concatenate([[0], ends * 4]).astype(np.int64)
+                out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]))
             else:
-                for w, core, tail in part:
-                    self.words[w] = self._ids(core) + tail
-
-    def _split(self, text: str) -> list[bytes] | None:
-        b = text.encode("utf-8", "surrogatepass").lower()
-        if b"<|" in b and any(s in b for s in self.special):
-            return None
-        if not MARK_RUN.search(b):
-            for mark in (b".", b","):
-                for space in (b" ", b"\n"):
-                    b = b.replace(mark + space, b" " + mark + space)
-        return b.split()
+                out.append(pa.array(self._whole(words.slice(i * chunk, size).to_pylist()), pa.large_binary()))
+        return pa.concat_arrays(out)
+
+    def _learn(self, new: pa.Array) -> tuple[pa.Array, pa.Array]:
+        plain = pc.match_substring_regex(new, f"^[{PLAIN}]+$")
+        some, other = new.filter(plain), new.filter(pc.invert(plain))
+        found = [self._plain(some)] if len(some) else []
+        if len(other):
+            found.append(pa.array(self._whole(other.to_pylist()), pa.large_binary()))
+        return pa.concat_arrays([some, other]), pa.concat_arrays(found)
+
+    def _look_up(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new, ids = self._learn(words.filter(pc.is_null(at)))
+            if len(self.words) + len(new) > KNOWN_WORDS:
+                kept = at.drop_null()
+                self.words, self.ids = self.words.take(kept), self.ids.take(kept)
+            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, ids])
+            at = pc.index_in(words, value_set=self.words)
+        return self.ids.take(at)
+
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words with the marks behind them."""
+        core = pc.ascii_rtrim(words, characters=MARKS)
+        apart = pc.match_substring_regex(core, f"^[{PLAIN}]+$")
+        cut_off = pc.and_(apart, pc.less(pc.binary_length(core), pc.binary_length(words)))
+        cores = pc.if_else(cut_off, core, words).dictionary_encode()
+        tails = pa.array([w[n:] if c else "" for w, n, c in zip(words.to_pylist(), pc.utf8_length(core).to_pylist(), cut_off.to_pylist())], pa.string()).dictionary_encode()
+        tail_ids = pa.array(self._whole(tails.dictionary.to_pylist()), pa.large_binary())
+        return pc.binary_join_element_wise(self._look_up(cores.dictionary).take(cores.indices), tail_ids.take(tails.indices), pa.scalar(b"", pa.large_binary()))
+
+    def encode_column(self, texts: pa.Array) -> list[memoryview | bytes]:
+        """Ids of each text of a column of strings without nulls."""
+        lower = pc.ascii_lower(texts)
+        odd = pc.match_substring(lower, "<|")
+        if pc.any(odd).as_py():
+            odd = pa.array([o and any(s in t for s in self.special) for o, t in zip(odd.to_pylist(), lower.to_pylist())], pa.bool_())
+            lower = pc.if_else(odd, "", lower)
+        words = pc.ascii_split_whitespace(lower)
+        first = np.asarray(words.offsets)
+        flat = words.flatten().dictionary_encode()
+        if not len(flat):
+            out: list = [b""] * len(texts)
+        else:
+            ids = self._distinct(flat.dictionary).take(flat.indices)
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1][first - first[0]].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            out = [data[a:b] for a, b in zip(at, at[1:])]
+        if pc.any(odd).as_py():
+            for i in np.flatnonzero(np.asarray(odd)).tolist():
+                out[i] = self._whole([texts[i].as_py()])[0]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        every = {w for ws in split if ws for w in ws}
-        new = {w for w in every if w not in self.words}
-        if new:
-            self._learn(new if len(self.words) + len(new) <= CACHE_WORDS else every)
-        ids = self.words.__getitem__
-        return [self._ids(t) if ws is None else b"".join(map(ids, ws)) for t, ws in zip(texts, split)]
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return [bytes(x) for x in self.encode_column(pa.array(texts, pa.string()))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -124,27 +161,31 @@ def encoder(path: str) -> WordEncoder:
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: row_id, doc_id, piece, start, length, ids_crc32 (and ids as binary where asked for)."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = pa.schema(list(zip([c.split()[0] for c in PIECES.split(", ")] + ["ids"], types))[: 7 if with_ids else 6])
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            out = []
-            for lo in range(0, len(batch), 200):
-                part = batch.iloc[lo : lo + 200]
-                for row, doc, data in zip(part["row_id"], part["doc_id"], enc.encode_all([t or "" for t in part["text"]])):
-                    ids = data + end
-                    for k, at in enumerate(range(0, len(ids), step)):
+            texts = pc.fill_null(batch["text"], "")
+            rows, docs_ = batch["row_id"].to_pylist(), batch["doc_id"].to_pylist()
+            for lo, hi in stretches(np.asarray(pc.binary_length(texts)), STRETCH):
+                out: list[tuple] = []
+                for row, doc, ids in zip(rows[lo:hi], docs_[lo:hi], enc.encode_column(texts.slice(lo, hi - lo))):
+                    n = len(ids) + 4
+                    for k, at in enumerate(range(0, n, step)):
                         piece = ids[at : at + step]
-                        out.append((row, doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece)[: 7 if with_ids else 6])
-            names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
-            frame = pd.DataFrame(out, columns=names)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                        crc, size, last = zlib.crc32(piece), len(piece), at + step >= n
+                        if last:  # the end token, which can be a piece of its own
+                            crc, size = zlib.crc32(end, crc), size + 4
+                        out.append((row, doc, k, at // 4, size // 4, crc, (bytes(piece) + end * last if with_ids else None)))
+                columns = list(zip(*out)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(cut_up, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(cut_up, PIECES + (", ids binary" if with_ids else ""))
 
 
 class Bins:

@@ -38,14 +38,19 @@ def docs(spark, sf_dir):
 # Packing
 
 
-def test_word_encoder_matches_the_tokenizer():
+def test_word_encoder_matches_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
-    plain, ours = Tokenizer.from_file(path), packing.encoder(path)
-    texts = ["", "a b.", "don't 'tis O'Neill's (abc) abc... Été. 'S! x_y 1a2b ,,, ... ''", "<|endoftext|> x", "<|EndOfText|>", "word*** word., x\x1cy İ ΣΑΣ é ́a ᄀ가", "日本語.\nthe, the. The"]
-    for t, got in zip(texts, ours.encode_all(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    plain, ours = Tokenizer.from_file(path), packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 3000)
+    parts = "a B the _ İ . , ,\n 's ' 'll 1 é É ß ŉ ǅ ǰ ſ Σ ς \u0301 \u0307 日本 ᄀ 가 <| |> <|endoftext|> <|EndOfText|> - \x1c ! ?) 😀 ª ² Ⅷ \x00 _, _. ŀ snake_case_, O'Neill's".split(" ") + [" ", "\n", "\u00a0", "\u2003", "\u0085", "\r\n", "\x0b", ". ", ", "]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(20_000)]
+    for lo in range(0, len(texts), 2000):
+        some = texts[lo : lo + 2000]
+        for t, got, want in zip(some, ours.encode_all(some), plain.encode_batch_fast(some, add_special_tokens=False)):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, t
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -87,6 +92,14 @@ def test_pack_places_every_token(spark, odd):
     ids = plain.encode("hello world", add_special_tokens=False).ids + [1]
     assert rows[rows["doc_id"] == 1]["ids_crc32"].tolist() == [zlib.crc32(np.array(ids, "<u4").tobytes())] * 2
     assert packing.pack(odd.limit(0)).count() == 0
+    with_ids = packing.pack(odd, capacity=64, with_ids=True).filter("doc_id = 4").orderBy("piece").collect()
+    assert b"".join(r["ids"] for r in with_ids) == np.array(plain.encode(ODD[5][1], add_special_tokens=False).ids + [1], "<u4").tobytes()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in with_ids)
+
+
+def test_pack_uses_as_few_sequences_as_tokens_allow(docs):
+    rows = packing.pack(docs).toPandas()
+    assert rows["sequence_id"].nunique() == -(-rows["length"].sum() // 4096)
 
 
 # Mixing
