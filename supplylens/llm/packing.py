@@ -11,7 +11,6 @@ are still not nearly full are released and regrouped with those of other groups,
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,18 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from supplylens.llm.columns import PLAIN, distinct_words, text_stretches
 from supplylens.llm.common import cut
 
 CAPACITY = 4096
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a Python worker remembers; beyond that it goes on with those of its last stretch of texts.
 KNOWN_WORDS = 800_000
-#: Bytes of text that are encoded at once; a longer text is taken alone.
-STRETCH = 8_000_000
 #: Marks split off from the end of a word. No apostrophe: it can start a piece with the letters after it.
 MARKS = ".,;:!?|#$%&*()[]{}<>=+/\\-\""
-#: Letters that stay letters, one for one, when the vocabulary composes and lower-cases them; words of others are encoded whole.
-PLAIN = "a-z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c)
 
 
 def default_tokenizer() -> str:
@@ -42,18 +38,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of rows whose sizes sum to at most ``most``; a larger row is a range of its own."""
-    start, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if len(sizes):
-        yield start, len(sizes)
-
-
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -131,14 +115,12 @@ class WordEncoder:
         if pc.any(odd).as_py():
             odd = pa.array([o and any(s in t for s in self.special) for o, t in zip(odd.to_pylist(), lower.to_pylist())], pa.bool_())
             lower = pc.if_else(odd, "", lower)
-        words = pc.ascii_split_whitespace(lower)
-        first = np.asarray(words.offsets)
-        flat = words.flatten().dictionary_encode()
-        if not len(flat):
+        first, index, words = distinct_words(lower)
+        if not len(index):
             out: list = [b""] * len(texts)
         else:
-            ids = self._distinct(flat.dictionary).take(flat.indices)
-            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1][first - first[0]].tolist()
+            ids = self._distinct(words).take(pa.array(index))
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1][first].tolist()
             data = memoryview(ids.buffers()[2] or b"")
             out = [data[a:b] for a, b in zip(at, at[1:])]
         if pc.any(odd).as_py():
@@ -169,11 +151,10 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: i
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            texts = pc.fill_null(batch["text"], "")
             rows, docs_ = batch["row_id"].to_pylist(), batch["doc_id"].to_pylist()
-            for lo, hi in stretches(np.asarray(pc.binary_length(texts)), STRETCH):
+            for lo, hi, texts in text_stretches(batch["text"]):
                 out: list[tuple] = []
-                for row, doc, ids in zip(rows[lo:hi], docs_[lo:hi], enc.encode_column(texts.slice(lo, hi - lo))):
+                for row, doc, ids in zip(rows[lo:hi], docs_[lo:hi], enc.encode_column(texts)):
                     n = len(ids) + 4
                     for k, at in enumerate(range(0, n, step)):
                         piece = ids[at : at + step]

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,24 +187,32 @@ def test_language_odd_rows(spark, odd):
 # Toxicity
 
 
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(2)
-    vectors = []
-    for _ in range(300):
-        t = np.sort(rng.choice(40, rng.integers(0, 6), replace=False))
-        w = rng.random(len(t)) + 0.1
-        vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
-    dense = np.zeros((300, 40))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
+@pytest.mark.parametrize(("block", "n_terms"), [(16, 40), (7, 400), (64, 5)])
+def test_block_max_search_is_exact(block, n_terms):
+    rng = np.random.default_rng(block)
+    dense = np.where(rng.random((300, n_terms)) < 3 / n_terms, rng.random((300, n_terms)) ** 6 + 1e-3, 0.0)
+    dense /= np.maximum(np.sqrt((dense * dense).sum(axis=1, keepdims=True)), 1e-12)
+    example, term = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(example, term, dense[example, term], 300, n_terms, block=block)
     for i in range(0, 300, 7):
-        ids, cosine = index.search(*vectors[i], 10, skip=i)
-        want = dense @ dense[i]
-        want[i] = 0
-        top = np.lexsort((np.arange(300), -np.round(want, 12)))[:10]
-        top = top[want[top] > 0]
-        assert ids.tolist() == top.tolist() and cosine == pytest.approx(want[top])
+        t = np.flatnonzero(dense[i])
+        for skip in (i, -1):
+            ids, cosine = next(index.search_all(np.array([0, len(t)]), t, dense[i, t], 10, np.array([skip])))
+            want = dense @ dense[i]
+            want[skip if skip >= 0 else []] = 0
+            top = np.lexsort((np.arange(300), -np.round(want, 12)))[:10]
+            top = top[want[top] > 0]
+            assert ids.tolist() == top.tolist() and cosine == pytest.approx(want[top])
+
+
+def test_known_counts_are_those_of_whole_texts():
+    texts = ["Vile VILE words, vileness! x_y 12 snake_Case \"Été\" İstanbul ab2cdefgh", "", "naïve ΑΣ word\u00a0word\n\tword", "x" * 1000]
+    known = toxicity.Vocabulary({t for x in texts for t in toxicity.terms_of(x)} - {"words"})
+    name = known.words.to_pylist() + ["^" + s for s in known.stems.to_pylist()]
+    row, term, count = toxicity.known_counts(pa.array(texts), known)
+    got = {(int(r), name[t]): int(n) for r, t, n in zip(row, term, count)}
+    want = Counter((r, t) for r, x in enumerate(texts) for t in toxicity.terms_of(x) if t in name)
+    assert got == dict(want) and toxicity.known_counts(pa.array([], pa.string()), known)[0].tolist() == []
 
 
 def test_isotonic_never_falls():
