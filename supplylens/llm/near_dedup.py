@@ -1,40 +1,41 @@
 """Near-duplicate groups by MinHash.
 
 A document's set is its distinct word shingles. ``BANDS * ROWS`` universal hash functions give one minimum each;
-the minima of a band hash to a bucket. Documents with equal sets are first reduced to one node. Then
+the minima of a band hash to a bucket. Documents with equal sets are first reduced to one node, so a node is a set and not an id. Then
 
 1. nodes that share a bucket form families: components of the edges from each bucket's members to its centre, so a
    bucket of m nodes costs m edges. No link leaves its family;
 2. in families larger than a few blocks, members are verified against the centres of their buckets (four different orders over
    the bands) and verified links joined to components, since most of such a family is one group;
-3. every family that is not one component is searched exactly, block against block: pairs of nodes of different components are compared
-   by signature, and where that leaves the threshold possible, on their full sets. Nodes that are connected already need
+3. every family that is not one component is searched exactly, block against block, in two steps. The first holds signatures only, and
+   keeps of each unit the nodes that may reach the threshold with a node of another component. The second fetches
+   the sets of these and compares them. Nodes that are connected already need
    no link of their own, so a block of copies costs one link each and nothing is lost;
-4. all links become components by alternating large-star and small-star steps.
+4. all links become components by alternating large-star and small-star steps. Sets that share an id are linked as well.
 
 At 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from supplylens.llm.columns import distinct_words, text_stretches
 from supplylens.llm.common import cut, join_groups
 
 BANDS, ROWS = 32, 5
 #: Signature estimates this far below the threshold rule a pair out: 4.7 standard deviations of 160 hashes at 0.8.
 MARGIN = 0.15
 #: Nodes in a block of the exact search, and blocks from which a family is first thinned out by its centres.
-BLOCK, LARGE = 256, 4
-WORD_CACHE = 500_000
-
-_words: dict[bytes, int] = {}
+BLOCK, LARGE = 512, 4
 
 
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -44,23 +45,10 @@ def _hashes() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, n, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingle_hashes(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the set's shingles."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    known = _words
-    if len(known) > WORD_CACHE:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text with the word hashes ``h``."""
+    if not len(h):
+        return h
     width = min(k, len(h))
     out = np.full(len(h) - width + 1, width, dtype=np.uint64)
     for i in range(width):
@@ -69,6 +57,18 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The set of each text of a column: words between ASCII white space, A-Z in lower case, each different word hashed once."""
+    for _, _, part in text_stretches(texts):
+        first, at, words = distinct_words(pc.ascii_lower(part))
+        words = words.to_pylist()
+        there = np.fromiter(map(bool, words), dtype=bool, count=len(words))[at]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))[at[there]]
+        cuts = np.concatenate([[0], np.cumsum(there)])[first].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield shingles(h[a:b], k)
+
+
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One minimum for each hash function, of the upper half of (a * x + b)."""
     best = np.full(len(a), 2**32 - 1, dtype=np.uint64)
@@ -90,27 +90,24 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands for every document (bands are null for empty sets)."""
+    """doc_id, n_shingles, set_key, bands and the signature's low bytes for every document (bands and signature are null for empty sets)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _hashes()
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                rows = []
-                for doc, text in zip(part["doc_id"], part["text"]):
-                    h = shingle_hashes(text, k)
-                    if len(h):
-                        rows.append((doc, len(h), xxhash.xxh128_digest(h.tobytes()), band_keys(signature(h, a, b))))
-                    else:
-                        rows.append((doc, 0, b"", None))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-        _words.clear()  # workers go on to other stages, which need the memory
+            rows = []
+            for h in shingle_sets(batch["text"], k):
+                if len(h):
+                    sig = signature(h, a, b)
+                    rows.append((len(h), xxhash.xxh128_digest(h.tobytes()), band_keys(sig), (sig & np.uint64(255)).astype(np.uint8).tobytes()))
+                else:
+                    rows.append((0, b"", None, None))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(work, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return rows.mapInArrow(work, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
 
 
 def components(links: DataFrame, most: int | None = None) -> DataFrame:
@@ -159,30 +156,40 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return common > 0 and 100 * common >= threshold * (len(x) + len(y) - common)
 
 
-def _centre_links(pairs: DataFrame, info: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold; b is a centre with possibly very many pairs."""
+def _centre_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold; b is a centre with possibly very many pairs. ``sets``: node, set."""
     n_pairs = pairs.count()
-    joined = pairs.join(info.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = _salted(joined, "b", "a", info.select(F.col("node").alias("b"), F.col("text").alias("text_b")), pairs)
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    joined = _salted(joined, "b", "a", sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), pairs)
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"]):
-                if b != last:  # rows of one centre follow each other
-                    last, held = b, shingle_hashes(text_b, k)
-                keep.append(similar(held, shingle_hashes(text_a, k), threshold))
+            keep = [similar(np.frombuffer(y, np.uint64), np.frombuffer(x, np.uint64), threshold) for x, y in zip(batch["set_a"], batch["set_b"])]
             yield batch[np.array(keep, dtype=bool)][["a", "b"]]
 
-    return cut(joined.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a long, b long"), n_pairs, 5_000)
+    return cut(joined.select("a", "b", "set_a", "set_b").mapInPandas(confirm, "a long, b long"), n_pairs, 5_000)
 
 
-def search_unit(node: np.ndarray, component: np.ndarray, block: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links between different components of one unit of work, enough to connect all that are connected.
+def possible(component: np.ndarray, block: np.ndarray, size: np.ndarray, sigs: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a unit the later rows of other components that sizes and signatures leave in question.
 
     A unit of two blocks only compares across them; each block has a unit of its own.
     """
+    least = (threshold / 100 - MARGIN) * BANDS * ROWS
+    across = len(np.unique(block)) > 1
+    for r in range(len(size)):
+        ok = (component[r + 1 :] != component[r]) & (np.minimum(size[r], size[r + 1 :]) * 100 >= np.maximum(size[r], size[r + 1 :]) * threshold)
+        if across:
+            ok &= block[r + 1 :] != block[r]
+        at = np.flatnonzero(ok) + r + 1
+        if len(at):
+            at = at[(sigs[at] == sigs[r]).sum(axis=1) >= least]
+        if len(at):
+            yield r, at
+
+
+def search_unit(node: np.ndarray, component: np.ndarray, block: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between different components of one unit of work, enough to connect all that are connected."""
     root = {c: c for c in component.tolist()}
 
     def find(c: int) -> int:
@@ -191,17 +198,8 @@ def search_unit(node: np.ndarray, component: np.ndarray, block: np.ndarray, sets
             c = root[c]
         return c
 
-    size = np.array([len(s) for s in sets])
-    least = (threshold / 100 - MARGIN) * BANDS * ROWS
-    across = len(np.unique(block)) > 1
     links = []
-    for r in range(len(node)):
-        ok = (component[r + 1 :] != component[r]) & (np.minimum(size[r], size[r + 1 :]) * 100 >= np.maximum(size[r], size[r + 1 :]) * threshold)
-        if across:
-            ok &= block[r + 1 :] != block[r]
-        at = np.flatnonzero(ok) + r + 1
-        if len(at):
-            at = at[(sigs[at] == sigs[r]).sum(axis=1) >= least]
+    for r, at in possible(component, block, np.array([len(s) for s in sets]), sigs, threshold):
         for i in at.tolist():
             x, y = find(component[r].item()), find(component[i].item())
             if x != y and similar(sets[r], sets[i], threshold):
@@ -210,11 +208,46 @@ def search_unit(node: np.ndarray, component: np.ndarray, block: np.ndarray, sets
     return links
 
 
-def _family_links(info: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Links between components within each family. ``info``: node, text, family, component.
+UNIT = ["family", "i", "j"]
+
+
+def _signatures(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), BANDS * ROWS)
+
+
+def _each_unit(units: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply ``work`` to the rows of each unit that hold more than one component. A task holds a few units at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(frames: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if frames:
+                rows = pd.concat(frames, ignore_index=True)
+                made = [work(g) for _, g in rows.groupby(UNIT, sort=False) if g["component"].iloc[0] != g["component"].iloc[-1] or g["component"].nunique() > 1]
+                if made:
+                    yield pd.concat(made, ignore_index=True)
+
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                last = tuple(part.iloc[-1][UNIT])
+                open_ = (part["family"] == last[0]) & (part["i"] == last[1]) & (part["j"] == last[2])
+                if open_.all() and held and tuple(held[-1].iloc[-1][UNIT]) == last:
+                    held.append(part)
+                    continue
+                yield from done([*held, part[~open_]])
+                held = [part[open_]]
+        yield from done(held)
+
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInPandas(run, schema)
+
+
+def _candidates(info: DataFrame, threshold: int) -> DataFrame:
+    """family, i, j, block, component, node, sig: in each unit the nodes that may be linked across components. ``info``: node, n, sig, family, component.
 
     Components of a block or more have blocks of their own, the others of a family share blocks. Each pair of a family's
-    blocks is one unit, but for pairs within one component; a task holds one unit at a time.
+    blocks is one unit, but for pairs within one component. Rows of units are small: no text or set is among them.
     """
     total = info.count()
     sizes = info.groupBy("family", "component").agg(F.count("*").alias("size"))
@@ -235,35 +268,40 @@ def _family_links(info: DataFrame, k: int, threshold: int) -> DataFrame:
     rows = rows.withColumn("block", block.cast("int"))
     other = F.filter(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda u: (F.col("own") == 0) | (u < F.col("first")) | (u >= F.col("first") + F.col("own")))
     units = rows.withColumn("unit", F.explode(other))
-    units = units.select("family", F.least("block", "unit").alias("i"), F.greatest("block", "unit").alias("j"), "block", "component", "node", "text")
-    units = units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    units = units.select("family", F.least("block", "unit").alias("i"), F.greatest("block", "unit").alias("j"), "block", "component", "node", "n", "sig")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = _hashes()
-        held: list[pd.DataFrame] = []
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(g), dtype=bool)
+        for r, at in possible(g["component"].to_numpy(), g["block"].to_numpy(), g["n"].to_numpy(), _signatures(g["sig"]), threshold):
+            keep[r] = True
+            keep[at] = True
+        return g[keep].drop(columns="n")
 
-        def links(frames: list[pd.DataFrame]) -> pd.DataFrame:
-            found: list[tuple[int, int]] = []
-            for _, g in pd.concat(frames, ignore_index=True).groupby(["family", "i", "j"], sort=False) if frames else ():
-                if g["component"].nunique() > 1:
-                    sets = [shingle_hashes(t, k) for t in g["text"]]
-                    sigs = np.stack([(signature(h, a, b) & np.uint64(255)).astype(np.uint8) for h in sets])
-                    found += search_unit(g["node"].to_numpy(), g["component"].to_numpy(), g["block"].to_numpy(), sets, sigs, threshold)
-            return pd.DataFrame(found or np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
+    return cut(_each_unit(units, work, "family long, i int, j int, block int, component long, node long, sig binary"))
 
+
+def _links(candidates: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links between components, from the units' candidates and their sets (node, set)."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(x, np.uint64) for x in g["set"]]
+        found = search_unit(g["node"].to_numpy(), g["component"].to_numpy(), g["block"].to_numpy(), held, _signatures(g["sig"]), threshold)
+        return pd.DataFrame(found or np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
+
+    return cut(_each_unit(candidates.join(sets, "node"), work, "a long, b long"))
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, k: int, n_nodes: int) -> DataFrame:
+    """(node, set) of the given nodes (node, doc_id, set_key): the document is read again and its set held against the key, since ids can repeat with other texts."""
+    wanted = docs.join(nodes, "doc_id").select("node", "set_key", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                last = part.iloc[-1][["family", "i", "j"]]
-                open_ = (part["family"] == last["family"]) & (part["i"] == last["i"]) & (part["j"] == last["j"])
-                if open_.all() and held and tuple(held[-1].iloc[-1][["family", "i", "j"]]) == tuple(last):
-                    held.append(part)
-                    continue
-                yield links([*held, part[~open_]])
-                held = [part[open_]]
-        yield links(held)
+            made = [h.tobytes() for h in shingle_sets(batch["text"], k)]
+            own = pa.array([xxhash.xxh128_digest(h) == key for h, key in zip(made, batch["set_key"].to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["node"].filter(own), pa.array(made, pa.binary()).filter(own)], names=["node", "set"])
 
-    return cut(units.mapInPandas(work, "a long, b long"), total, 1_000)
+    return cut(wanted.mapInArrow(work, "node long, set binary").dropDuplicates(["node"]), n_nodes, 2_000)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,8 +311,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
 
     * null, empty and white-space texts have an empty set, are their own component and linked with nothing;
     * a text of fewer than ``k`` words has its whole word sequence as its one shingle;
-    * rows with the same id count as one document: they share a component; rows without id are linked with nothing, have a null
-      component and are kept;
+    * rows with the same id count as one document, whose sets are all linked: they share a component (but for rows with an empty set);
+      rows without id are linked with nothing, have a null component and are kept;
     * texts of any length are shingled whole; an empty table gives an empty result; only the two named
       columns are read.
     """
@@ -282,10 +320,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     rows = cut(sketches(docs, k))
     n_rows = rows.count()
     real = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = cut(real.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), n_rows)
+    held = F.first(F.struct("bands", "sig", F.col("n_shingles").alias("n"))).alias("held")  # the same for all rows of a set
+    sets = cut(real.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), held), n_rows, 20_000)
+    # Numbers of rows are stable over the checkpoint.
+    sets = sets.select("set_key", "doc_id", "copies", "held.*", F.monotonically_increasing_id().alias("node"))
     n_nodes = sets.count()
-    firsts = sets.select("set_key", F.col("node").alias("doc_id"))
-    buckets = real.select("doc_id", "set_key", "bands").join(firsts, ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    buckets = sets.select("node", F.explode("bands").alias("key"))
     # The centre of a bucket is its first node in one of four orders, by band.
     mask = F.xxhash64(F.col("key").bitwiseAND(F.lit(3)))
     stars = buckets.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("first"), F.count("*").alias("members")).filter("members > 1")
@@ -293,33 +333,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     spokes = cut(join_groups(buckets, stars, ["key"], "members", max(1, n_nodes)).filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), BANDS * n_nodes)
     families = components(spokes, BANDS * n_nodes)
     families = cut(families.unionByName(families.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "family"), n_nodes)
-    info = cut(docs.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node").join(families, "node"), families.count(), 2_000)
-    large = families.groupBy("family").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE * BLOCK)
-    links = None
-    if not large.isEmpty():
-        # At most one family in LARGE * BLOCK nodes is large.
-        within = join_groups(families, large, ["family"], "size", max(1, n_nodes)).select(F.col("node").alias("a"))
-        links = _centre_links(cut(spokes.join(within, "a", "left_semi"), BANDS * n_nodes), info, k, threshold)
-    known = info.withColumn("component", F.col("node"))
-    if links is not None:
-        known = info.join(components(links, BANDS * n_nodes), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = _family_links(known.select("node", "text", "family", "component"), k, threshold)
-    found = components(more if links is None else links.unionByName(more), BANDS * n_nodes)
-
-    groups = sets.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"), "copies")
+    info = sets.select("node", "doc_id", "set_key", "n", "sig").join(families, "node")
+    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+    info = cut(join_groups(info, cut(sizes, n_nodes), ["family"], "size", max(1, n_nodes)), n_nodes, 20_000)
+    within, small = (info.filter(large).drop("size") for large in (F.col("size") > LARGE * BLOCK, F.col("size") <= LARGE * BLOCK))
+    some = not within.isEmpty()
+    candidates = _candidates(small.withColumn("component", F.col("node")), threshold)
+    wanted = candidates.select("node").distinct()
+    nodes = info.select("node", "doc_id", "set_key").join(wanted.unionByName(within.select("node")) if some else wanted, "node", "left_semi")
+    full = _sets_of(docs, nodes, k, n_nodes)
+    links = []
+    if some:
+        links.append(_centre_links(cut(spokes.join(within.select(F.col("node").alias("a")), "a", "left_semi"), BANDS * n_nodes), full, threshold))
+        known = within.join(components(links[0], BANDS * n_nodes), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        candidates = candidates.unionByName(_candidates(known, threshold))
+    links += [_links(candidates, full, threshold), *_same_id(real, sets)]
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    found = components(every, BANDS * n_nodes)
+
+    labelled = cut(sets.select("set_key", "doc_id", "copies", "node").join(found, "node", "left").withColumn("root", F.coalesce("component", "node")), n_nodes)
+    roots = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
+    groups = join_groups(labelled.select("set_key", "copies", "root"), cut(roots, n_nodes), ["root"], "size", max(1, n_nodes)).select("set_key", "copies", "component_id")
     full = join_groups(real.select("doc_id", "n_shingles", "set_key"), groups, ["set_key"], "copies", max(1, n_rows)).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _same_id(real: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """Links (a, b) between the sets of an id that repeats with other texts."""
+    mark = F.xxhash64("set_key")
+    several = real.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count("*").alias("rows")).filter("low != high")
+    several = cut(several)
+    if several.isEmpty():
+        return []
+    pairs = join_groups(real.select("doc_id", mark.alias("mark")), several, ["doc_id"], "rows", max(1, real.count())).select("low", "mark").filter("low != mark").distinct()
+    numbered = sets.select("node", mark.alias("mark"))
+    pairs = pairs.join(numbered.withColumnRenamed("node", "a"), "mark").join(numbered.select(F.col("mark").alias("low"), F.col("node").alias("b")), "low")
+    return [pairs.select("a", "b")]
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group, and every document without a group.
 
     Rows that repeat the id and text of the one that stays are reduced to one.
     """
-    kept = near_duplicates(docs, k, threshold, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, k, threshold, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
     # Rows travel as one struct, so no column name can clash.
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
-    named = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
-    named = named.withColumn("first", F.row_number().over(Window.partitionBy("id").orderBy("hash"))).filter("first = 1")
-    return named.select("row.*").unionByName(rows.filter("id is null").select("row.*"))
+    # Of an id that repeats with other texts, the row with the smallest hash stays.
+    first = rows.groupBy("id").agg(F.min("hash").alias("hash"), F.count("*").alias("n")).join(kept, "id")
+    named = rows.join(first, ["id", "hash"])
+    again = named.filter("n > 1").dropDuplicates(["id", "hash"])
+    return named.filter("n = 1").select("row.*").unionByName(again.select("row.*")).unionByName(rows.filter("id is null").select("row.*"))

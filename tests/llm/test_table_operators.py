@@ -25,9 +25,13 @@ def table(spark, rows):
 ODD = [(5, "a  b"), (3, "a b"), (9, "a\tb"), (4, None), (2, ""), (7, " "), (None, "a b"), (None, "alone"), (8, "x" * 100_000), (6, "x" * 100_000), (3, "a b"), (10, "é b"), (11, "a\u00a0b")]
 
 
-@pytest.mark.parametrize("capacity", [1, 4096])
-def test_exact_dedup(spark, capacity):
-    got = exact_dedup.exact_dedup(table(spark, ODD), capacity=capacity).collect()
+#: Few keys, so that chains are long, keys of one prefix, and the real hash.
+HASHES = [F.xxhash64, lambda c: F.length(c), lambda c: F.pmod(F.xxhash64(c), F.lit(3)) - 1]
+
+
+@pytest.mark.parametrize(("capacity", "hash_of"), [(1, HASHES[0]), (4096, HASHES[0]), (2, HASHES[1]), (4096, HASHES[2])])
+def test_exact_dedup(spark, capacity, hash_of):
+    got = exact_dedup.exact_dedup(table(spark, ODD), capacity=capacity, hash_of=hash_of).collect()
     groups = defaultdict(list)
     for i, t in ODD:
         groups[WS.sub(" ", t or "")].append(i)
@@ -39,19 +43,32 @@ def test_exact_dedup(spark, capacity):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_documents_are_found_through_the_directory(spark):
+    """Without its slot no document of a bucket is found, and without its entry none of a text."""
+    docs = table(spark, [(i, f"text {i % 300}") for i in range(900)])
+    index = exact_dedup.build_index(docs, capacity=8)
+    assert exact_dedup.look_up(docs, index).count() == 900
+    gone = index.directory.orderBy("slot").first()["slot"]
+    index.directory = index.directory.filter(F.col("slot") != gone)
+    lost = index.entries.filter(F.expr(f"shiftrightunsigned(key, {64 - index.start_depth})") == gone).count()
+    assert lost and exact_dedup.look_up(docs, index).count() == 900 - 3 * lost
+
+
 def test_directory_doubles_until_buckets_fit(spark):
     docs = table(spark, [(i, f"text {i % 300}") for i in range(900)])
     index = exact_dedup.build_index(docs, capacity=8)
-    d = index.directory.collect()
-    assert all(r["n_entries"] <= 8 for r in d) and sum(r["n_entries"] for r in d) == 300 and index.global_depth > 5
-    assert index.entries.count() == 300 and index.entries.filter("chain_pos != 1").count() == 0
+    d = [b for r in index.directory.collect() for b in r["buckets"]]
+    held = Counter((r["local_depth"], r["bucket"]) for r in index.entries.collect())
+    assert max(held.values()) <= 8 and sum(held.values()) == 300 and index.global_depth > 5 and set(held) == {(b["local_depth"], b["prefix"]) for b in d}
+    assert index.entries.filter("chain_pos != 1").count() == 0
     # The buckets' slots fill the directory, but for prefixes that no key has.
-    assert sum(r["slots"] for r in d) <= 2**index.global_depth
+    assert sum(2 ** (index.global_depth - b["local_depth"]) for b in d) <= 2**index.global_depth
 
 
-def test_drop_copies_keeps_columns(spark):
+@pytest.mark.parametrize("hash_of", HASHES)
+def test_drop_copies_keeps_columns(spark, hash_of):
     docs = table(spark, ODD)
-    kept = exact_dedup.drop_copies(docs)
+    kept = exact_dedup.drop_copies(docs, hash_of=hash_of)
     assert kept.columns == docs.columns and kept.count() == 7 and exact_dedup.drop_copies(docs.limit(0)).count() == 0
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 3, 6, 7, 10, 11]
 
@@ -98,7 +115,7 @@ def families(seed, sizes, words, edits):
     return rows
 
 
-@pytest.mark.parametrize(("block", "large", "k"), [(256, 4, 2), (4, 1, 5)])
+@pytest.mark.parametrize(("block", "large", "k"), [(512, 4, 2), (4, 1, 5), (4, 10**6, 5)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, large, k):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "LARGE", large)
@@ -116,6 +133,15 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_sets_of_a_repeated_id_are_linked(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, b + " z"), (8, "q r"), (0, ""), (1, "")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(table(spark, rows), k=2).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (8, 8), (9, 1)]
+    kept = near_dedup.drop_near_duplicates(table(spark, rows * 3), k=2).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 8]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["node"]: r["component"] for r in near_dedup.components(links).collect()}
