@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplylens.llm.columns import PLAIN, distinct_words, ranges, text_stretches
-from supplylens.llm.common import cut, is_training
+from supplylens.llm.common import cut, is_training, shared_table
 
 TERM = re.compile(r"[^\W\d_]+")
 #: ASCII characters that are cut off from both ends of a word before it is looked up.
@@ -44,9 +44,11 @@ def terms_of(text: str) -> list[str]:
 class Vocabulary:
     """Numbers of terms: words first, then beginnings, each in order."""
 
-    def __init__(self, terms: set[str]):
-        self.words = pa.array(sorted(t for t in terms if t[0] != "^"), pa.string())
-        self.stems = pa.array(sorted(t[1:] for t in terms if t[0] == "^"), pa.string())
+    def __init__(self, terms: pa.Array):
+        """``terms`` are different from each other."""
+        begun = pc.starts_with(terms, "^")
+        words, stems = terms.filter(pc.invert(begun)), pc.utf8_slice_codeunits(terms.filter(begun), 1)
+        self.words, self.stems = (v.take(pc.array_sort_indices(v)) for v in (words, stems))
 
     def __len__(self) -> int:
         return len(self.words) + len(self.stems)
@@ -254,15 +256,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2000, half_chi2:
     n, n1 = len(y), float(y.sum())
     prior = (n1 + 1) / (n + 2) if n else 0.0
     none = np.zeros(0, np.int64)
-    empty = ToxicityModel(Vocabulary(set()), np.zeros(0), BlockMaxIndex(none, none, np.zeros(0), 0, 0), none, np.zeros(0), k, prior)
+    empty = ToxicityModel(Vocabulary(pa.array([], pa.string())), np.zeros(0), BlockMaxIndex(none, none, np.zeros(0), 0, 0), none, np.zeros(0), k, prior)
     if not n or n1 in (0.0, float(n)):
         return empty
     lists = examples["terms"].combine_chunks()
     flat = lists.flatten().dictionary_encode()
-    names = flat.dictionary.to_pylist()
-    terms = Vocabulary(set(names))
-    plain = terms.numbers(pa.array([t.removeprefix("^") for t in names], pa.string()), pa.array([t.removeprefix("^") for t in names], pa.string()))
-    number = np.where([t[0] == "^" for t in names], plain[1], plain[0]).astype(np.int64)
+    terms = Vocabulary(flat.dictionary)
+    plain = pc.if_else(pc.starts_with(flat.dictionary, "^"), pc.utf8_slice_codeunits(flat.dictionary, 1), flat.dictionary)
+    number = np.where(np.asarray(pc.starts_with(flat.dictionary, "^")), *terms.numbers(plain, plain)[::-1])
     term = number[np.asarray(flat.indices)] if len(flat) else none
     count = np.asarray(examples["counts"].combine_chunks().flatten())
     cuts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
@@ -328,8 +329,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, evidenc
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns, in one pass over the texts.
 
-    Null and empty texts are scored like any other, as :func:`score` says; rows with equal texts stay or go together; names of other columns never
-    matter; an empty table stays empty.
+    The rows are written to the shared folder, so that driver and executors can let the model go. Null and empty texts are scored like any other,
+    as :func:`score` says; rows with equal texts stay or go together; names of other columns never matter; an empty table stays empty.
     """
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -338,4 +339,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
     def keep(texts: pa.Array) -> pa.Array:
         return pa.array([s < threshold for s, _ in shared.value.answers(texts)], pa.bool_())
 
-    return docs.filter(keep(F.col("text"))).select(*[F.col(f"`{c}`") for c in names])
+    kept = shared_table(docs.filter(keep(F.col("text"))).select(*[F.col(f"`{c}`") for c in names]), "not-toxic")
+    shared.destroy()
+    return kept
