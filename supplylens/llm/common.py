@@ -16,11 +16,13 @@ NOT_WS = r"[^\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests, is a local folder chosen.
+    Where it is unset, as in tests, a local folder will do as long as all tasks run in this process; on a cluster it must be named.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-supplylens-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -35,11 +37,11 @@ def cut(df: DataFrame, rows: int | None = None, per_part: int = 100_000) -> Data
     return (df if rows is None else df.coalesce(rows // per_part + 1)).checkpoint(eager=True)
 
 
-def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, *partition_by: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return a reader of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/supplylens-{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

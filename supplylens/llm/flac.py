@@ -4,7 +4,8 @@ Streams follow the public FLAC format (RFC 9639): ``fLaC``, STREAMINFO, a SEEKTA
 of ``BLOCK`` samples. A frame is coded as constant, verbatim, fixed predictor (orders 0 to 2) or linear predictor (order 4),
 whichever is shortest, with Rice-coded residuals. The reader also knows fixed predictors up to order 4, linear predictors up
 to order 32, Rice partitions and escaped partitions. It starts at the seek points, decodes all of them side by side, and
-checks each header's CRC-8 and each frame's CRC-16, and the MD5 of the samples.
+checks each header's CRC-8 and each frame's CRC-16, and the MD5 of the samples. What it reads is written as PCM blocks
+with the sample offsets that they are sought by; features are worked out from these stored blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from supplylens.llm.common import shared_table
+
 BLOCK = 192
 RATE = 8000
 LPC_ORDER, LPC_BITS = 4, 8
@@ -445,25 +448,47 @@ def write_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, "doc_id long, n_bytes long, media binary")
 
 
-def _decoded(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for part in _groups([len(m) for m in batch["media"]]):
-        rows = batch.iloc[part]
-        yield rows, decode(rows["media"].tolist())
+PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, n_samples long, blocks array<struct<sample_offset: long, pcm: binary>>"
+
 
+def pcm_blocks(media: DataFrame, blocks_per_run: int = 64) -> DataFrame:
+    """Decode streams to signed 8-bit PCM: a row for each stream with its runs of blocks, each beside the sample offset that it is sought by.
 
-def pcm_blocks(media: DataFrame, blocks_per_row: int = 64) -> DataFrame:
-    """doc_id, sample_offset, n_samples, pcm: signed 8-bit PCM in runs of blocks, each with the offset it can be sought by."""
+    Every frame's checksums and the MD5 of the samples are verified; a damaged stream raises :class:`CorruptStream`.
+    """
+    step = blocks_per_run * BLOCK
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = blocks_per_row * BLOCK
         for batch in batches:
-            for rows, samples in _decoded(batch):
-                out = [(d, at, len(x[at : at + step]), x[at : at + step].tobytes()) for d, x in zip(rows["doc_id"], samples) for at in range(0, len(x), step)]
-                frame = pd.DataFrame(out, columns=["doc_id", "sample_offset", "n_samples", "pcm"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
+            for part in _groups([len(m) for m in batch["media"]]):
+                rows = batch.iloc[part]
+                out = [
+                    (len(m), hashlib.sha256(m).hexdigest(), len(x), [{"sample_offset": at, "pcm": x[at : at + step].tobytes()} for at in range(0, len(x), step)])
+                    for m, x in zip(rows["media"], decode(rows["media"].tolist()))
+                ]
+                frame = pd.DataFrame(out, columns=["media_bytes", "media_sha256", "n_samples", "blocks"])
+                frame.insert(0, "doc_id", pd.array(rows["doc_id"], dtype="Int64"))
+                frame.insert(1, "n_bytes", rows["n_bytes"].to_numpy())
                 yield frame
 
-    return media.select("doc_id", "media").mapInPandas(work, "doc_id long, sample_offset long, n_samples long, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInPandas(work, PCM)
+
+
+def store_pcm(media: DataFrame) -> DataFrame:
+    """Write :func:`pcm_blocks` as a compressed Parquet table below the shared folder and return its reader."""
+    return shared_table(pcm_blocks(media), "pcm", compression="zstd")
+
+
+def seek(stored: DataFrame, first: int, n: int) -> DataFrame:
+    """(doc_id, pcm) with the samples from ``first`` to ``first + n`` of each stream, from the runs at those offsets alone; fewer where it ends earlier."""
+    size = lambda b: F.octet_length(b["pcm"])
+    runs = F.filter("blocks", lambda b: (b["sample_offset"] < first + n) & (b["sample_offset"] + size(b) > first))
+
+    def cut_out(b):
+        skip = F.greatest(F.lit(0), F.lit(first) - b["sample_offset"])
+        return F.substring(b["pcm"], (skip + 1).cast("int"), F.greatest(F.lit(0), F.least(size(b).cast("long"), F.lit(first + n) - b["sample_offset"]) - skip).cast("int"))
+
+    return stored.select("doc_id", F.aggregate(F.transform(runs, cut_out), F.lit(b""), lambda acc, x: F.concat(acc, x)).alias("pcm"))
 
 
 def features(x: np.ndarray) -> str:
@@ -474,8 +499,8 @@ def features(x: np.ndarray) -> str:
     return f"mean={v.mean():.4f};rms={np.sqrt((v * v).mean()):.4f};crossings={crossings};step={int(step)}"
 
 
-def read_media(media: DataFrame) -> DataFrame:
-    """Digest of each stream, from its stored bytes alone (and ``n_bytes``, which is passed through).
+def read_pcm(stored: DataFrame) -> DataFrame:
+    """Digest of each stored stream, from its PCM blocks in order of their offsets (``n_bytes`` and the media's own digest are passed through).
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
     """
@@ -483,15 +508,17 @@ def read_media(media: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rows, samples in _decoded(batch):
-                made = []
-                for x, m in zip(samples, rows["media"]):
-                    data = (x.view(np.uint8) ^ 0x80).tobytes()
-                    made.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(x)))
-                frame = pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")][2:])
-                frame.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy())
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                frame.insert(1, "n_bytes", rows["n_bytes"].to_numpy())
-                yield frame
-
-    return media.mapInPandas(work, out)
+            made = []
+            for blocks, n in zip(batch["blocks"], batch["n_samples"]):
+                x = np.frombuffer(b"".join(b["pcm"] for b in sorted(blocks, key=lambda b: b["sample_offset"])), dtype=np.int8)
+                if len(x) != n:
+                    raise CorruptStream("PCM blocks are missing")
+                data = (x.view(np.uint8) ^ 0x80).tobytes()
+                made.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), features(x)))
+            frame = pd.DataFrame(made, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+            frame.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
+            for c in ("n_bytes", "media_bytes", "media_sha256"):
+                frame[c] = batch[c].to_numpy()
+            yield frame
+
+    return stored.mapInPandas(work, out)

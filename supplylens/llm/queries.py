@@ -20,7 +20,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_media(flac.write_media(table(spark, sf_dir, "documents")))
+    return flac.read_pcm(flac.store_pcm(flac.write_media(table(spark, sf_dir, "documents"))))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

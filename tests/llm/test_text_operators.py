@@ -290,16 +290,25 @@ def test_rice_partitions_and_fixed_orders_decode():
 
 
 def test_media_table(spark, odd):
-    media = flac.write_media(odd)
-    got = flac.read_media(media).toPandas()
-    for doc, text in [(r[0], r[1] or "") for r in ODD if r[0] is not None]:
+    stored = flac.store_pcm(flac.write_media(odd))
+    got = flac.read_pcm(stored).toPandas()
+    for doc, text in [(r[0], r[1] or "") for r in ODD]:
         b = text.encode()
         p = b + b" " * (192 * max(1, -(-len(b) // 192)) - len(b))
-        row = got[got["doc_id"] == doc].iloc[0]
+        row = got[got["doc_id"] == doc].iloc[0] if doc is not None else got[got["doc_id"].isna()].iloc[0]
         assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-    blocks = flac.pcm_blocks(media, blocks_per_row=4).filter("doc_id = 4").orderBy("sample_offset").collect()
-    assert [b["sample_offset"] for b in blocks] == list(range(0, 45120, 768)) and sum(b["n_samples"] for b in blocks) == 45120
-    assert flac.read_media(flac.write_media(odd.limit(0))).count() == 0
+    row = stored.filter("doc_id = 4").first()
+    assert [b["sample_offset"] for b in row["blocks"]] == list(range(0, 45120, 64 * 192)) and row["n_samples"] == 45120
+    want = bytes(x ^ 0x80 for x in ODD[5][1].encode() + b" " * 120)
+    for first, n in ((0, 10), (12_280, 20), (12_288, 1), (45_000, 500), (50_000, 5)):
+        assert bytes(flac.seek(stored, first, n).filter("doc_id = 4").first()["pcm"]) == want[first : first + n]
+    assert flac.read_pcm(flac.store_pcm(flac.write_media(odd.limit(0)))).count() == 0
+
+
+def test_digests_come_from_the_stored_blocks(spark, odd):
+    stored = flac.store_pcm(flac.write_media(odd))
+    with pytest.raises(Exception, match="PCM blocks are missing"):
+        flac.read_pcm(stored.withColumn("blocks", F.slice("blocks", 2, 100))).collect()
 
 
 # Personal data
