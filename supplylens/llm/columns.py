@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are taken at once; a longer text is taken alone.
 STRETCH = 8_000_000
+#: ASCII characters that are cut off from both ends of a word before its letters are looked up.
+EDGES = ".,;:!?|#$%&*()[]{}<>=+/\\-\"'`~@^_0123456789"
 #: Letters (as a class of a regular expression, without A-Z) that stay letters, one for one, when composed and lower-cased.
 PLAIN = "a-z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c)
 

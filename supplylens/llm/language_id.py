@@ -7,7 +7,8 @@ backward pass gives every piece its expected count over all segmentations.
 
 Words are runs of letters in lower case behind the vocabulary's word mark. A letter that no piece covers is a
 piece of its own with a fixed small probability. The fit reads a bounded sample of labelled rows (``max_docs`` a
-language); whole texts are scored.
+language), with all their words; whole texts and whole words are scored. Short words share one lattice, with likelihoods scaled by letter; long ones
+are worked out one by one in logarithms, so no length is too much.
 """
 
 from __future__ import annotations
@@ -16,23 +17,27 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from supplylens.llm.columns import EDGES, PLAIN, distinct_words, text_stretches
 from supplylens.llm.common import cut, is_training
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-#: Longer words are scored as consecutive stretches of this many letters, which bounds the lattice.
-LONGEST = 96
+#: Longer words are worked out one by one, in logarithms.
+LONG = 64
 #: Scales likelihoods by letter, so that products stay within a double's range.
 PER_LETTER = 16.0
 UNKNOWN = 1e-7
-CACHE_WORDS = 400_000
+#: Words whose likelihoods a Python worker remembers; beyond that it goes on with those of its last stretch of texts.
+KNOWN_WORDS = 400_000
 UNDETERMINED = "und"
 
 
@@ -55,26 +60,74 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+class PieceTable:
+    """Pieces by a rolling hash of their characters; what it proposes is compared character by character."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, int]):
+        self.n = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
+        self.length = np.zeros(self.n, dtype=np.int64)
+        self.letters = np.zeros((self.n, self.longest), dtype=np.uint32)
+        hashes = np.zeros(self.n, dtype=np.uint64)
+        for text, i in pieces.items():
+            cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.length[i], self.letters[i, : len(cp)] = len(cp), cp
+            h = 0
+            for c in cp.tolist():
+                h = (h * int(self.BASE) + c) % (1 << 64)
+            hashes[i] = h
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        self.there = np.zeros(1 << 20, dtype=bool)
+        self.there[hashes >> np.uint64(44)] = True
+
+    def find(self, letters: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+        """The piece that is ``letters[at : at + size]``, with hash ``h``, or -1."""
+        out = np.full(len(at), -1)
+        maybe = np.flatnonzero(self.there[h >> np.uint64(44)])
+        k = np.searchsorted(self.hashes, h[maybe])
+        # Pieces that share a hash stand side by side; one step more is taken as long as any is left.
+        while len(maybe):
+            same = (k < self.n) & (self.hashes[np.minimum(k, self.n - 1)] == h[maybe])
+            maybe, k = maybe[same], k[same]
+            piece = self.order[k]
+            equal = (self.length[piece] == size) & (self.letters[piece, :size] == letters[at[maybe][:, None] + np.arange(size)]).all(axis=1)
+            out[maybe[equal]] = piece[equal]
+            maybe, k = maybe[~equal], k[~equal] + 1
+        return out
+
+
 class Lattice:
     """Segmentation lattices of many words at once, as edges (word, start, end, piece) in the order of their ends."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        word, start, end, piece = [], [], [], []
-        unknown = len(pieces)
-        for w, text in enumerate(words):
-            text = MARK + text
-            n = len(text)
-            for i in range(n):
-                known = pieces.get(text[i])
-                word.append(w), start.append(i), end.append(i + 1), piece.append(unknown if known is None else known)
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    known = pieces.get(text[i:j])
-                    if known is not None:
-                        word.append(w), start.append(i), end.append(j), piece.append(known)
-        order = np.argsort(np.array(end, dtype=np.int64) * (len(words) + 1) + np.array(word, dtype=np.int64), kind="stable") if word else np.zeros(0, int)
-        self.word, self.start, self.end, self.piece = (np.array(v, dtype=np.int64)[order] for v in (word, start, end, piece))
-        self.length = np.array([len(t) + 1 for t in words], dtype=np.int64)
+    def __init__(self, words: list[str], table: PieceTable):
+        marked = [MARK + w for w in words]
         self.n = len(words)
+        self.length = np.array([len(t) for t in marked], dtype=np.int64)
+        letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum(self.length) - self.length
+        row = np.repeat(np.arange(self.n), self.length)
+        at = np.arange(len(letters))
+        left = np.repeat(first + self.length, self.length) - at
+        h = np.zeros(len(at), dtype=np.uint64)
+        edges: list[tuple[np.ndarray, ...]] = []
+        for size in range(1, table.longest + 1):
+            more = left >= size
+            at, h, left = at[more], h[more], left[more]
+            if not len(at):
+                break
+            h = h * table.BASE + letters[at + size - 1]
+            piece = table.find(letters, at, h, size)
+            if size == 1:
+                piece[piece < 0] = table.n  # a letter that no piece covers
+            own = piece >= 0
+            w = row[at[own]]
+            edges.append((w, at[own] - first[w], at[own] - first[w] + size, piece[own]))
+        word, start, end, piece = (np.concatenate(v) for v in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 4
+        order = np.argsort(end * (self.n + 1) + word, kind="stable")
+        self.word, self.start, self.end, self.piece = word[order], start[order], end[order], piece[order]
 
     def _by(self, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(at, kind="stable")
@@ -122,24 +175,51 @@ class Lattice:
         return np.bincount(self.piece, weights=use, minlength=len(prob))
 
 
-def stretches(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+class LongWord(Lattice):
+    """The lattice of one word of any length, in logarithms."""
+
+    def __init__(self, word: str, table: PieceTable):
+        super().__init__([word], table)
+
+    def _sums(self, log_prob: np.ndarray, at: np.ndarray, other: np.ndarray, positions: range) -> np.ndarray:
+        out = np.full((int(self.length[0]) + 1, log_prob.shape[1]), -np.inf)
+        out[positions.start - positions.step] = 0
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(len(out) + 1))
+        for p in positions:
+            e = order[cuts[p] : cuts[p + 1]]
+            out[p] = np.logaddexp.reduce(out[other[e]] + log_prob[self.piece[e]], axis=0)
+        return out
+
+    def log_likelihood(self, prob: np.ndarray) -> np.ndarray:
+        n = int(self.length[0])
+        return self._sums(np.log(prob), self.end, self.start, range(1, n + 1))[n:]
+
+    def expected(self, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
+        n, log_prob = int(self.length[0]), np.log(prob)
+        alpha, beta = self._sums(log_prob, self.end, self.start, range(1, n + 1)), self._sums(log_prob, self.start, self.end, range(n - 1, -1, -1))
+        use = np.exp(alpha[self.start, 0] + log_prob[self.piece, 0] + beta[self.end, 0] - alpha[n, 0]) * count[0]
+        return np.bincount(self.piece, weights=use, minlength=len(prob))
+
+
+def lattices(words: list[str], table: PieceTable, chunk: int) -> Iterator[tuple[Lattice, list[str]]]:
+    """Lattices of all words: short ones many at a time, by length, long ones each on its own."""
+    short = sorted((w for w in words if len(w) <= LONG), key=lambda w: (len(w), w))
+    for i in range(0, len(short), chunk):
+        yield Lattice(short[i : i + chunk], table), short[i : i + chunk]
+    for w in words:
+        if len(w) > LONG:
+            yield LongWord(w, table), [w]
 
 
 def fit_pieces(words: dict[str, float], pieces: dict[str, int], rounds: int, chunk: int = 4000) -> np.ndarray:
     """Piece probabilities of one language by EM, from its words and their counts; the last entry is an unknown letter's."""
-    longest = max(map(len, pieces), default=1)
-    parts: Counter = Counter()
-    for w, n in words.items():
-        for s in stretches(w):
-            parts[s] += n
-    items = sorted(parts.items(), key=lambda x: (len(x[0]), x[0]))
-    lattices = [(Lattice([w for w, _ in items[i : i + chunk]], pieces, longest), np.array([float(n) for _, n in items[i : i + chunk]])) for i in range(0, len(items), chunk)]
+    made = [(lattice, np.array([float(words[w]) for w in some])) for lattice, some in lattices(sorted(words), PieceTable(pieces), chunk)]
     prob = np.full((len(pieces) + 1, 1), 1 / (len(pieces) + 1))
     prob[-1] = UNKNOWN
     for _ in range(rounds):
         use = np.full(len(pieces) + 1, 0.01)
-        for lattice, count in lattices:
+        for lattice, count in made:
             use += lattice.expected(prob, count)
         use[-1] = 0
         prob = (use / max(use.sum(), 1e-9))[:, None]
@@ -153,58 +233,65 @@ class LanguageModel:
     pieces: dict[str, int]
     prob: np.ndarray  # [piece, language]
     prior: np.ndarray
-    known: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
-
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}, "rows": []}
 
     def __post_init__(self):
-        self.longest = max(map(len, self.pieces), default=1)
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the log-likelihoods of words, each worked out once."""
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            cut_up = [stretches(w) for w in part]
-            flat = [s for c in cut_up for s in c]
-            scores = Lattice(flat, self.pieces, self.longest).log_likelihood(self.prob)
-            first = np.cumsum([0] + [len(c) for c in cut_up])
-            total = np.add.reduceat(scores, first[:-1], axis=0)
-            for w, row in zip(part, total):
-                self.known[w] = len(self.rows)
-                # WORD also admits characters that are numbers but no letters.
-                self.rows.append(row if any(map(str.isalpha, w)) else np.full(len(self.languages), np.nan))
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its posterior probability; ``und`` and 0 without letters or without any language learned."""
-        split = [words_of(t) for t in texts]
-        new = sorted({w for ws in split for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.rows = {}, []
-            new = sorted({w for ws in split for w in ws})
-        if self.languages:
-            self._learn(new)
-        table = np.array(self.rows) if self.rows else np.zeros((0, max(1, len(self.languages))))
-        out = []
-        for ws in split:
-            rows = table[np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))] if ws and self.languages else table[:0]
-            rows = rows[~np.isnan(rows).any(axis=1)]
-            if not len(rows):
-                out.append((UNDETERMINED, 0.0))
+        self.table = PieceTable(self.pieces)
+        # Words seen before and their log-likelihoods, one worked out for each.
+        self.known, self.rows = pa.array([], pa.string()), np.zeros((0, len(self.languages)))
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": self.known.slice(0, 0), "rows": self.rows[:0]}
+
+    def _likelihoods(self, words: pa.Array) -> np.ndarray:
+        """Log-likelihoods of different words, [word, language]."""
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            new = words.filter(pc.is_null(at))
+            order, found = [], []
+            for lattice, some in lattices(new.to_pylist(), self.table, 2000):
+                order += some
+                found.append(lattice.log_likelihood(self.prob))
+            if len(self.known) + len(new) > KNOWN_WORDS:
+                kept = at.drop_null()
+                self.known, self.rows = self.known.take(kept), self.rows[kept.to_numpy()]
+            self.known, self.rows = pa.concat_arrays([self.known, pa.array(order, pa.string())]), np.concatenate([self.rows, *found])
+            at = pc.index_in(words, value_set=self.known)
+        return self.rows[at.to_numpy()]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods [word, language] of different words between white space, and whether each has a letter."""
+        core = pc.ascii_trim(words, characters=EDGES)
+        plain = pc.match_substring_regex(core, f"^[A-Z{PLAIN}]+$")
+        at = np.flatnonzero(np.asarray(plain))
+        # Words with anything else in them are looked at one by one.
+        other = [(i, r) for i, w in zip(np.flatnonzero(~np.asarray(plain)).tolist(), words.filter(pc.invert(plain)).to_pylist()) for r in words_of(w) if any(map(str.isalpha, r))]
+        runs = pa.concat_arrays([pc.utf8_lower(core.filter(plain)), pa.array([r for _, r in other], pa.string())]).dictionary_encode()
+        place = np.concatenate([at, np.array([i for i, _ in other], dtype=np.int64)])
+        rows = self._likelihoods(runs.dictionary)[np.asarray(runs.indices)] if len(runs) else np.zeros((0, len(self.languages)))
+        total = np.stack([np.bincount(place, weights=rows[:, k], minlength=len(words)) for k in range(len(self.languages))], axis=1)
+        return total, np.bincount(place, minlength=len(words)) > 0
+
+    def predict(self, texts: pa.Array) -> Iterator[tuple[str, float]]:
+        """Language and its posterior probability of each text; ``und`` and 0 without letters or without any language learned."""
+        for lo, hi, part in text_stretches(texts):
+            if not self.languages:
+                yield from [(UNDETERMINED, 0.0)] * (hi - lo)
                 continue
-            logp = rows.sum(axis=0) + self.prior
-            best = int(logp.argmax())
-            out.append((self.languages[best], float(1 / np.exp(np.minimum(logp - logp[best], 0)).sum())))
-        return out
+            first, at, words = distinct_words(part)
+            rows, letters = self._words(words)
+            text = np.repeat(np.arange(hi - lo), np.diff(first))
+            log_prob = np.stack([np.bincount(text, weights=rows[at, k], minlength=hi - lo) for k in range(len(self.languages))], axis=1) + self.prior
+            some = np.bincount(text, weights=letters[at], minlength=hi - lo) > 0
+            best = log_prob.argmax(axis=1)
+            score = 1 / np.exp(np.minimum(log_prob - log_prob.max(axis=1, keepdims=True), 0)).sum(axis=1)
+            yield from ((self.languages[b], float(x)) if s else (UNDETERMINED, 0.0) for b, x, s in zip(best.tolist(), score.tolist(), some.tolist()))
 
 
-def fit(docs: DataFrame, vocabulary: str | None = None, max_docs: int = 400, rounds: int = 4, seed: int = 5, max_words: int = 60_000) -> LanguageModel:
+def fit(docs: DataFrame, vocabulary: str | None = None, max_docs: int = 400, rounds: int = 4, seed: int = 5) -> LanguageModel:
     """Fit on documents that :func:`is_training` admits and whose ``lang`` and ``text`` are not null.
 
-    ``max_docs`` bounds the sample of each language (the first by a seeded hash of the id) and ``max_words`` the distinct
-    words of its EM, most frequent first. A language is known once a document bears it. Without any labelled
-    row the model answers ``und``.
+    ``max_docs`` bounds the sample of each language (the first by a seeded hash of the id). A language is known once a document bears it; there is a
+    row on the driver, and a column in the model, for each. Without any labelled row the model answers ``und``.
     """
     spark = docs.sparkSession
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & is_training())
@@ -228,8 +315,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None, max_docs: int = 400, rou
     words = cut(sample.mapInPandas(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = pdf.sort_values(["n", "word"], ascending=[False, True]).head(max_words)
-        prob = fit_pieces(dict(zip(top["word"], top["n"])), pieces, rounds)
+        prob = fit_pieces(dict(zip(pdf["word"], pdf["n"])), pieces, rounds)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "prob": [prob]})
 
     # One group a language, of at most max_docs documents' words.
@@ -244,18 +330,16 @@ def fit(docs: DataFrame, vocabulary: str | None = None, max_docs: int = 400, rou
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score.
 
-    Null texts and texts without a letter give ``und`` with score 0. Ties go to the language first by code point. Only ``doc_id`` and
-    ``text`` are read; an empty table gives no rows.
+    Null texts and texts without a letter give ``und`` with score 0; texts of any length are scored whole. Ties go to the language first by code
+    point; repeated rows get equal answers. Only ``doc_id`` and ``text`` are read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value  # kept by the worker, with the words it has seen
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                found = m.predict(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+            lang, score = zip(*m.predict(batch["text"])) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(work, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(work, "doc_id long, lang_pred string, score double")

@@ -25,12 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplylens.llm.columns import PLAIN, distinct_words, ranges, text_stretches
+from supplylens.llm.columns import EDGES, PLAIN, distinct_words, ranges, text_stretches
 from supplylens.llm.common import cut, is_training, shared_table
 
 TERM = re.compile(r"[^\W\d_]+")
-#: ASCII characters that are cut off from both ends of a word before it is looked up.
-EDGES = ".,;:!?|#$%&*()[]{}<>=+/\\-\"'`~@^_0123456789"
 #: Letters of the beginnings that stand beside the words: they tie together forms that are too rare one by one.
 STEM = 4
 

@@ -154,19 +154,52 @@ def test_forward_sums_all_segmentations():
     def brute(s):
         if not s:
             return 1.0
-        return sum(prob[pieces[s[:i]], 0] * brute(s[i:]) for i in range(1, len(s) + 1) if s[:i] in pieces)
-
-    got = language_id.Lattice(["ab", "a", "aab", "ba"], pieces, 3).log_likelihood(prob)[:, 0]
-    assert got == pytest.approx([np.log(brute("▁" + w)) for w in ("ab", "a", "aab", "ba")])
+        return sum(prob[pieces.get(s[:i], 6), 0] * brute(s[i:]) for i in range(1, len(s) + 1) if s[:i] in pieces or i == 1)
+
+    words = ["ab", "a", "aab", "ba", "ac", "éab", "abababab"]
+    table = language_id.PieceTable(pieces)
+    want = [np.log(brute("▁" + w)) for w in words]
+    assert language_id.Lattice(words, table).log_likelihood(prob)[:, 0] == pytest.approx(want)
+    assert [language_id.LongWord(w, table).log_likelihood(prob)[0, 0] for w in words] == pytest.approx(want)
+    # Both forms see a word of any length whole.
+    count = np.array([2.0])
+    for w in ("ab" * 20 + "c", "abac" * 9):
+        assert language_id.LongWord(w, table).expected(prob, count) == pytest.approx(language_id.Lattice([w], table).expected(prob, count))
+    long_ = "ab" * 5000
+    assert -1e5 < language_id.LongWord(long_, table).log_likelihood(prob)[0, 0] < language_id.LongWord(long_[:-2], table).log_likelihood(prob)[0, 0]
+
+
+def test_pieces_are_found_as_in_a_dictionary():
+    rng = random.Random(3)
+    pieces = {p: i for i, p in enumerate(sorted({"".join(rng.choice("abé▁") for _ in range(rng.randint(1, 5))) for _ in range(300)}))}
+    words = ["".join(rng.choice("abéx") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    lattice = language_id.Lattice(words, language_id.PieceTable(pieces))
+    got = sorted(zip(lattice.word.tolist(), lattice.start.tolist(), lattice.end.tolist(), lattice.piece.tolist()))
+    marked = ["▁" + w for w in words]
+    assert got == sorted((n, i, j, pieces.get(w[i:j], len(pieces))) for n, w in enumerate(marked) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 5) + 1) if w[i:j] in pieces or j == i + 1)
+
+
+def test_columns_give_each_text_the_sum_of_its_words(monkeypatch):
+    monkeypatch.setattr(language_id, "KNOWN_WORDS", 20)
+    pieces = {p: i for i, p in enumerate(["▁", "t", "h", "e", "th", "the", "▁the", "é"])}
+    prob = np.random.default_rng(1).random((9, 3)) / 9
+    model = language_id.LanguageModel(["a", "b", "c"], pieces, prob, np.log(np.array([0.2, 0.3, 0.5])))
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["the", "The,", "été", "x2the", "²", "İt", "12", "he_the", "t" * 80, "".join(rng.choice("the") for _ in range(4))]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    for t, (lang, score) in zip(texts, model.predict(pa.array(texts))):
+        words = [w for w in language_id.words_of(t) if any(map(str.isalpha, w))]
+        log_prob = model.prior + sum((language_id.LongWord(w, model.table).log_likelihood(prob)[0] for w in words), np.zeros(3))
+        p = np.exp(log_prob - log_prob.max())
+        assert (lang, score) == (("und", 0.0) if not words else ("abc"[int(log_prob.argmax())], pytest.approx(p.max() / p.sum())))
 
 
 def test_em_raises_likelihood():
     pieces = {p: i for i, p in enumerate(["▁", "t", "h", "e", "th", "the", "▁the", "he"])}
-    words = {"the": 10.0, "he": 3.0, "hehe": 1.0}
+    words = {"the": 10.0, "he": 3.0, "hehe": 1.0, "the" * 30: 1.0}
 
     def total(rounds):
         prob = language_id.fit_pieces(words, pieces, rounds)[:, None]
-        return (language_id.Lattice(list(words), pieces, 4).log_likelihood(prob)[:, 0] * list(words.values())).sum()
+        return sum(n * language_id.LongWord(w, language_id.PieceTable(pieces)).log_likelihood(prob)[0, 0] for w, n in words.items())
 
     assert total(1) < total(3) < total(8)
 
