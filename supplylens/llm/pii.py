@@ -103,15 +103,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-# Patterns of candidates, by kind.
+# Patterns of candidates, by kind. Each begins where its run of characters begins, so that a search is linear whatever the text.
 CANDIDATES = {
-    "email_spelled": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]{1,63}){1,5}"),
+    "email_spelled": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]+)+"),
     "phone_local": re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "name": re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?"),
+    "name": re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?"),
     "secret": re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?[^\s,;]{4,}"),
-    "street": re.compile(r"(?<![0-9])[0-9]{1,5}\x20[A-Z][a-z]{1,30}\x20(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr)(?![a-z])"),
+    "street": re.compile(r"(?<![0-9])[0-9]+\x20[A-Z][a-z]+\x20(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Sq)(?![a-z])"),
 }
 #: A text without the group's strings, or a match of its pattern, has no candidate of the kind, so most texts are searched for few kinds.
 NEEDS = {
@@ -119,14 +119,22 @@ NEEDS = {
     "iban": None,
     "phone_local": None,
     "ssn": None,
-    "name": ("Mr", "Ms", "Dr", "Prof"),
+    "name": ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr"),
     "secret": ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey"),
-    "street": ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Dr"),
+    "street": ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Dr", "Boulevard", "Blvd", "Court", "Ct", "Square", "Sq"),
 }
-# Gazetteers.
-GIVEN_NAMES = frozenset("alice anna carlos david elena emma hans ivan james jean john juan karl laura linda lucas luis maria marie mary michael paul peter pierre robert sarah sofia susan thomas william".split())
-PROVIDERS = ("gmail", "yahoo", "hotmail", "outlook", "mail", "proton", "gmx", "web.de", "orange.fr")
-IBAN_COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+# Gazetteers. Lists of one's own, of any length, are arguments of fit() and find().
+GIVEN_NAMES = frozenset("""
+adam alan albert alejandro alex alexander alice amy ana andrea andrew angela anita ann anna anne anthony antonio arthur barbara ben benjamin bernard brian bruno carl carla carlos carmen
+caroline catherine charles charlotte chris christian christina christine christopher claire claudia clara daniel david deborah diana diego dieter donald dorothy edward elena elisabeth
+elizabeth emily emma eric erik ernesto eva felix fernando francisco frank franz gabriel george gerhard giulia gloria greta hannah hans harry heinz helen helena henri henry hugo ian ines
+ingrid irene isabel ivan jack jacques james jan jane janet jason javier jean jennifer jessica joan johann john jonathan jorge jose joseph juan julia julie karen karin karl kate katharina
+kevin klaus larry laura lena leo linda lisa louis louise lucas lucia luis luke manuel marc margaret maria marie mario marion mark marta martin mary matthew michael michel miguel monica
+nancy nicolas nicole olivia oscar otto pablo pascal patricia patrick paul paula pedro peter philip pierre rachel rafael ralf raul rebecca richard robert roberto rosa ruth samuel sandra
+sara sarah sebastian sergio silvia simon sofia sophie stefan stephen steven susan sylvie teresa thomas tobias ursula valerie vera victor walter werner william wolfgang yves
+""".split())
+PROVIDERS = frozenset("aol.com bluewin.ch fastmail.com free.fr gmail.com gmx.de gmx.net googlemail.com hotmail.com hotmail.fr icloud.com laposte.net libero.it live.com mail.com mail.ru me.com msn.com orange.fr outlook.com outlook.de proton.me protonmail.com qq.com sfr.fr t-online.de terra.es web.de yahoo.com yahoo.de yahoo.es yahoo.fr yandex.ru zoho.com".split())
+IBAN_COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK".split())
 CUES = {
     "email": "mail e-mail email contact write address correo courriel", "ip": "ip address host server from login adresse", "card": "card visa credit mastercard payment karte carte tarjeta",
     "phone": "call phone tel telephone mobile cell fax number ring telefon", "email_spelled": "mail email contact write", "phone_local": "call phone tel telephone mobile cell fax number ring telefon",
@@ -134,6 +142,17 @@ CUES = {
 }
 CUE_WORDS = {k: frozenset(v.split()) for k, v in CUES.items()}
 AGAINST = frozenset("version release build section page chapter isbn rfc example sample test dummy fake".split())
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """What the gazetteer labeler looks spans up in: given names and mail domains in lower case, and country codes of bank accounts."""
+
+    names: frozenset[str] = GIVEN_NAMES
+    domains: frozenset[str] = PROVIDERS
+    countries: frozenset[str] = IBAN_COUNTRIES
+
+
 LABELERS = ("format", "checksum", "gazetteer", "cue", "counter_cue", "boundary")
 WORD = re.compile(r"[A-Za-z-]+")
 
@@ -181,7 +200,7 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
+def votes(text: str, start: int, kind: int, end: int, known: Gazetteers = Gazetteers()) -> tuple[int, ...]:
     """1 for, -1 against, 0 abstains: one entry for each of ``LABELERS``."""
     name, span = KINDS[kind], text[start:end]
     digits = [c for c in span if c in "0123456789"]
@@ -207,11 +226,12 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
         check = -1
     gazetteer = 0
     if name == "name":
-        gazetteer = 1 if any(w in GIVEN_NAMES for w in WORD.findall(span.lower())) else 0
+        gazetteer = 1 if any(w in known.names for w in WORD.findall(span.lower())) else 0
     elif name.startswith("email"):
-        gazetteer = 1 if any(p in span.lower() for p in PROVIDERS) else 0
+        domain = re.sub(r"\s?[\[(]\s?dot\s?[\])]\s?", ".", re.split(r"@|[\[(]\s?at\s?[\])]\s?", span.lower())[-1]).split(".")
+        gazetteer = 1 if any(".".join(domain[i:]) in known.domains for i in range(len(domain))) else 0
     elif name == "iban":
-        gazetteer = 1 if span[:2] in IBAN_COUNTRIES else -1
+        gazetteer = 1 if span[:2] in known.countries else -1
     elif name == "secret":
         gazetteer = 1
     cue = 1 if CUE_WORDS[name].intersection(before) else 0
@@ -221,17 +241,17 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
     return form, check, gazetteer, cue, counter, boundary
 
 
-def _shape(text: str, start: int, kind: int, end: int) -> str:
+def _shape(text: str, start: int, kind: int, end: int, known: Gazetteers = Gazetteers()) -> str:
     """Everything the model sees of a span: kind, votes, a bucket of its length and one of its share of digits."""
     span = text[start:end]
     share = sum(c.isdigit() for c in span) / len(span)
-    return ",".join(map(str, (kind, *votes(text, start, kind, end), min(7, (end - start).bit_length()), int(share * 4))))
+    return ",".join(map(str, (kind, *votes(text, start, kind, end, known), min(7, (end - start).bit_length()), int(share * 4))))
 
 
 @dataclass
 class SpanModel:
     prior: np.ndarray  # by kind
-    reliability: dict[str, tuple[float, float]]  # labeler: P(for | span), P(against | no span), of votes cast
+    reliability: dict[str, dict[str, tuple[float, float]]]  # kind, labeler: P(for | span), P(against | no span), of votes cast
     weights: np.ndarray
 
     def accepts(self, shape: str) -> bool:
@@ -252,30 +272,30 @@ def design(shapes: list[str]) -> np.ndarray:
     return x
 
 
-def estimate(counts: dict[str, int], rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """EM over shapes: posteriors, prior by kind, and P(vote | span) and P(vote | none) as [labeler, against/abstain/for].
+def estimate(counts: dict[str, int], rounds: int = 30, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM over shapes: posteriors, prior by kind, and P(vote | class) as [class, kind, labeler, against/abstain/for].
 
-    The model starts from the majority vote and counts one observation of each outcome beforehand; abstaining is an outcome like the others.
+    The model starts from the majority vote; abstaining is an outcome like the others. Each labeler has a reliability for every kind, drawn towards its
+    reliability over all kinds with the weight of ``strength`` observations, so that rare kinds borrow from the others.
     """
     shapes = list(counts)
     n = np.array([counts[s] for s in shapes], dtype=float)
     rows = np.array([list(map(int, s.split(","))) for s in shapes], dtype=int).reshape(len(shapes), -1)
     kind, v = rows[:, 0], rows[:, 1 : 1 + len(LABELERS)] + 1
     post = 1 / (1 + np.exp(-1.0 * (v - 1).sum(axis=1)))
-    prior, theta = np.full(len(KINDS), 0.5), np.zeros((2, len(LABELERS), 3))
+    prior, theta = np.full(len(KINDS), 0.5), np.zeros((2, len(KINDS), len(LABELERS), 3))
     for _ in range(rounds):
-        for k in range(len(KINDS)):
-            own = kind == k
-            prior[k] = ((n * post)[own].sum() + 1) / (n[own].sum() + 2)
+        prior = (np.bincount(kind, n * post, len(KINDS)) + 1) / (np.bincount(kind, n, len(KINDS)) + 2)
         for c, w in ((0, n * (1 - post)), (1, n * post)):
             for j in range(len(LABELERS)):
-                table = np.bincount(v[:, j], weights=w, minlength=3) + 1
-                theta[c, j] = table / table.sum()
+                own = np.bincount(kind * 3 + v[:, j], w, 3 * len(KINDS)).reshape(len(KINDS), 3)
+                pooled = (own.sum(axis=0) + 1) / (own.sum() + 3)
+                theta[c, :, j] = (own + strength * pooled) / (own.sum(axis=1, keepdims=True) + strength)
         logit = np.log(prior[kind] / (1 - prior[kind]))
         for j in range(len(LABELERS)):
-            logit = logit + np.log(theta[1, j, v[:, j]] / theta[0, j, v[:, j]])
+            logit = logit + np.log(theta[1, kind, j, v[:, j]] / theta[0, kind, j, v[:, j]])
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, prior, theta[1], theta[0]
+    return post, prior, theta
 
 
 def train(counts: dict[str, int]) -> SpanModel:
@@ -283,7 +303,7 @@ def train(counts: dict[str, int]) -> SpanModel:
     width = design([]).shape[1]
     if not counts:
         return SpanModel(np.full(len(KINDS), 0.5), {}, np.zeros(width))
-    post, prior, yes, no = estimate(counts)
+    post, prior, theta = estimate(counts)
     shapes = list(counts)
     x, w = design(shapes), np.log1p(np.array([counts[s] for s in shapes], dtype=float))
     beta = np.zeros(width)
@@ -296,10 +316,11 @@ def train(counts: dict[str, int]) -> SpanModel:
         if np.abs(step).max() < 1e-8:
             break
     cast = lambda t, i: float(t[i] / max(t[0] + t[2], 1e-12))
-    return SpanModel(prior, {name: (cast(yes[j], 2), cast(no[j], 0)) for j, name in enumerate(LABELERS)}, np.round(beta, 9))
+    reliability = {kind: {name: (cast(theta[1, k, j], 2), cast(theta[0, k, j], 0)) for j, name in enumerate(LABELERS)} for k, kind in enumerate(KINDS)}
+    return SpanModel(prior, reliability, np.round(beta, 9))
 
 
-def fit(docs: DataFrame) -> SpanModel:
+def fit(docs: DataFrame, known: Gazetteers = Gazetteers()) -> SpanModel:
     """Count the shapes of all spans, base ones and candidates, over all of ``docs`` and train on the counts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,8 +329,8 @@ def fit(docs: DataFrame) -> SpanModel:
             for text in batch["text"]:
                 text = text or ""
                 base = base_spans(text)
-                total.update(_shape(text, s, k, e) for s, k, e in base)
-                total.update(_shape(text, s, k, e) for s, k, e in candidates(text, base))
+                total.update(_shape(text, s, k, e, known) for s, k, e in base)
+                total.update(_shape(text, s, k, e, known) for s, k, e in candidates(text, base))
         yield pd.DataFrame(sorted(total.items()), columns=["shape", "n"])
 
     # kinds x votes x buckets: a finite set, of which a few hundred occur.
@@ -317,7 +338,7 @@ def fit(docs: DataFrame) -> SpanModel:
     return train({r[0]: r[1] for r in sorted(rows)})
 
 
-def find(docs: DataFrame, model: SpanModel) -> DataFrame:
+def find(docs: DataFrame, model: SpanModel, known: Gazetteers = Gazetteers()) -> DataFrame:
     """One row per input row: doc_id, spans (array of kind, start, end, base), in order of start, then kind.
 
     Null and empty texts have no spans; texts of any length are searched whole; repeated rows give equal rows; an empty
@@ -335,7 +356,7 @@ def find(docs: DataFrame, model: SpanModel) -> DataFrame:
                 base = base_spans(text)
                 spans = [(s, k, e, True) for s, k, e in base]
                 for s, k, e in candidates(text, base):
-                    shape = _shape(text, s, k, e)
+                    shape = _shape(text, s, k, e, known)
                     if shape not in seen:
                         seen[shape] = m.accepts(shape)
                     if seen[shape]:
@@ -350,9 +371,9 @@ def find(docs: DataFrame, model: SpanModel) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), n_spans (all spans), base_sha256, spans."""
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -28,3 +28,24 @@ def test_secrets_leave_base_spans_alone():
 def test_spelled_addresses_with_any_space(space, close):
     spelled = f"bob [at{space}{close} example [dot] org"
     assert found(f"write {spelled} now", "email_spelled") == [spelled]
+
+
+@pytest.mark.parametrize("n", [1, 64, 65, 5000])
+def test_candidates_have_no_longest_part(n):
+    local, part = "a" * n, "b" * n
+    spelled = f"{local} [at] {part} [dot] " + " [dot] ".join([part] * 7)
+    assert found(f"write {spelled}, now", "email_spelled") == [spelled]
+    for kind, text in (("name", f"Mrs. A{local} B{part}"), ("street", f"{'1' * min(n, 300)} A{local} Street")):
+        assert found(f"so {text}. end", kind) == [text]
+
+
+def test_hostile_texts_take_linear_time():
+    for text in ("a" * 300_000 + "(at)", "1" * 200_000 + " Street", "Mr A" + "a" * 200_000, "a-" * 100_000 + "[at]", "x [at] " + "b." * 100_000, "token=" * 50_000):
+        pii.candidates(text, pii.base_spans(text))
+
+
+def test_gazetteers_can_be_given():
+    at = lambda text, known: pii.votes(text, 3, pii.KIND_AT["name"], len(text), known)[2]
+    assert at("to Mr Zaphod", pii.Gazetteers()) == 0 and at("to Mr Zaphod", pii.Gazetteers(names=frozenset(["zaphod"]))) == 1
+    mail = "bob [at] mail [dot] gmail [dot] com"
+    assert pii.votes(mail, 0, pii.KIND_AT["email_spelled"], len(mail))[2] == 1

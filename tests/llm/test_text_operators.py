@@ -382,7 +382,8 @@ def test_em_finds_the_reliable_labeler():
         shape = ",".join(map(str, (5, *v, 3, 2)))
         counts[shape] = counts.get(shape, 0) + 1
     model = pii.train(counts)
-    assert model.reliability["format"][0] > model.reliability["cue"][0]
+    kind = model.reliability[pii.KINDS[5]]
+    assert kind["format"][0] > kind["cue"][0]
     assert model.accepts("5,1,1,1,1,1,1,3,2") and not model.accepts("5,-1,-1,-1,-1,-1,-1,3,2")
 
 
