@@ -9,8 +9,8 @@ for the fraction; the document at the edge of the draw gives only
 its first words, so that the words taken meet the target.
 
 The draw does not order a source in one task: documents are hashed
-into ``2 ** BITS`` slots, slots are summed per source, and only the slot in which the
-target falls is ordered row by row.
+into 16 ** SLOT_DIGITS slots, slots are summed per source, and only the slot in which the
+target falls is ordered row by row. The hash is an MD5, so any SQL engine can draw the same documents.
 """
 
 from __future__ import annotations
@@ -23,7 +23,13 @@ from pyspark.sql import functions as F
 
 from supplylens.llm.common import NOT_WS, WS, cut, join_groups
 
-SLOT_BITS = 12
+#: Leading hexadecimal digits of the hash that make a slot.
+SLOT_DIGITS = 3
+
+
+def row_hash(seed: int, ident: str, text: str):
+    """The seeded hash that orders the rows of a source in its draw."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(ident).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))))
 
 
 def word_count(text):
@@ -109,8 +115,8 @@ def plan_mix(
 
     ``whole`` is the number of full copies in the mix and ``part_words`` how many of the document's
     first words come once more (its whole size where it was drawn). Rows are told apart by ``__row``,
-    a hash of id, source, size and text, so reruns agree whatever the partitioning; rows equal in all of
-    these are exchangeable. Null texts and texts of white space have size 0 and
+    a seeded hash of id and text, so reruns agree whatever the partitioning; rows equal in both
+    are exchangeable. Null texts and texts of white space have size 0 and
     are never drawn. A null source is a source of its own. ``max_epochs`` must be at least 1
     for whole copies to be possible; below 1 only the draw takes place. An empty table gives an empty plan.
     """
@@ -118,10 +124,10 @@ def plan_mix(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("__row"),
+        row_hash(seed, id_col, text_col).alias("__row"),
     )
     rows = cut(rows.withColumn("__key", F.to_json(F.struct("source"))))
-    slot = F.shiftrightunsigned("__row", 64 - SLOT_BITS)
+    slot = F.substring("__row", 1, SLOT_DIGITS)
     slots = cut(rows.groupBy("__key", slot.alias("slot")).agg(F.sum("size").alias("slot_size"), F.count("*").alias("n"), F.first("source").alias("source")))
     sizes = slots.groupBy("__key").agg(F.first("source").alias("source"), F.sum("slot_size").alias("source_size"), F.sum("n").alias("n_docs")).drop("__key")
     targets = source_targets(sizes, weights, total_share, max_epochs).withColumn("__key", F.to_json(F.struct("source")))
@@ -131,7 +137,7 @@ def plan_mix(
     targets = targets.withColumn("whole", whole.cast("long"))
     targets = cut(targets.withColumn("draw", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size"))).cast("long")).drop("source"))
     total = rows.count()
-    # Where the draw of each source ends: the slot in which the running sum passes it (2 ** SLOT_BITS rows a source at most).
+    # Where the draw of each source ends: the slot in which the running sum passes it (16 ** SLOT_DIGITS rows a source at most).
     run = F.sum("slot_size").over(Window.partitionBy("__key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
     edges = slots.select("__key", "slot", "slot_size", F.coalesce(run, F.lit(0)).alias("before"))
     edges = edges.join(targets.select("__key", "draw"), "__key").filter((F.col("before") < F.col("draw")) & (F.col("before") + F.col("slot_size") >= F.col("draw")))
@@ -159,18 +165,18 @@ def first_words(text, n):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
     """The mixed rows themselves: ``docs``' columns, a row for each repetition, the last one cut where the draw ends.
 
-    Extra columns are repeated unchanged. A cut copy keeps whole words; an ``n_chars`` column is set to its
+    Rows with a null or empty text have nothing to take and do not come; a null source is a source of its own, and a null id an id like any other; rows
+    that repeat id and text are taken each on its own; an empty table gives no rows. Extra columns are repeated unchanged. A cut copy keeps whole words; an ``n_chars`` column is set to its
     new length.
     """
     # A key without nulls lets the numbering and the join share one shuffle of the rows.
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    row_hash = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
     plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     plan = plan.filter((F.col("whole") > 0) | (F.col("part_words") > 0)).groupBy(F.col("__row").alias("hash"), key("doc_id").alias("ident")).agg(
         F.collect_list(F.struct("whole", "part_words", "size")).alias("plans")
     )
     # Rows travel as one struct, so no column name can clash. Those equal in id and text share a list of plans; each takes one of them.
-    rows = docs.select(F.struct("*").alias("row"), row_hash.alias("hash"), key(id_col).alias("ident"))
+    rows = docs.select(F.struct("*").alias("row"), row_hash(seed, id_col, text_col).alias("hash"), key(id_col).alias("ident"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("hash", "ident").orderBy(F.lit(1))))
     joined = rows.join(plan, ["hash", "ident"])
     joined = joined.withColumn("plan", F.get("plans", F.col("n") - 1)).filter(F.col("plan").isNotNull())
@@ -190,3 +196,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         new = {text_col: F.col("short"), "n_chars": F.char_length("short").cast(docs.schema[c].dataType) if c == "n_chars" else None}.get(c)
         fields.append((own if new is None else F.when(F.col("words") >= 0, new).otherwise(own)).alias(c))
     return out.select(*fields)
+
+
+#: op4's contract with the production parameters. Sources that reach their cap are those first by size over weight.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), r AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s
+), c AS (
+  SELECT *, 2::DOUBLE * source_size AS cap, coalesce(sum(2::DOUBLE * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM r WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST)
+), f AS (
+  SELECT *, (total - before) * weight / open_weight > cap OR source_size = 0 AS closed FROM c
+), t AS (
+  SELECT source, source_size, CASE WHEN closed THEN cap ELSE (total - coalesce(sum(cap) FILTER (closed) OVER (), 0)) * weight / sum(weight) FILTER (NOT closed) OVER () END AS target FROM f
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS whole FROM t
+), n AS (
+  SELECT d.doc_id, size, source_size, target, whole, greatest(0, CAST(round(target - whole * source_size) AS BIGINT)) AS draw, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, draw - before)) AS BIGINT) AS taken FROM n
+"""

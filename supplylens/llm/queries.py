@@ -67,4 +67,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_flac_media, op4_source_mixing, op5_toxicity, op6_chat_windows, op7_exact_dedup, op8_pii_spans, op9_minhash_near_dedup, op10_url_filter)}
 
-ORACLES = {"op6_chat_windows": chat_format.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op4_source_mixing": mixing.ORACLE, "op6_chat_windows": chat_format.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_minhash_near_dedup": near_dedup.ORACLE}

@@ -166,6 +166,31 @@ def test_split_url_and_rules(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, rules=[]).collect()} == {"allow"}
 
 
+def brute_verdict(url):
+    """Host, path and the longest fitting rule, by trying all rules."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    at = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:at])
+    path = re.split(r"[?#]", rest[at:], maxsplit=1)[0]
+    fit = [(len(h + p), h + p, a) for h, p, a in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[1:] if fit else (None, None)))
+
+
+def test_rules_equal_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["com", "example.com", "EXAMPLE.Com", "xexample.com", "a.b.net", "net", "example.net", "org", ".org", "o.org.", "", "com.", "É.com", "example.net:80", "u@net"]
+    paths = ["", "/", "/en/", "/en/7", "/en/70/x", "/EN/7", "/de/", "/de/8", "/de", "/es/a", "//en/", "/en/7?x", "?/en/", "#/de/8", "/de/8#", "/en", "/x/en/7"]
+    urls = [rng.choice(["http://", "https://", "://", "", "a://b://"]) + rng.choice(hosts) + rng.choice(paths) for _ in range(3000)] + [None, "", "http://" + "a." * 3000 + "com/en/" + "x" * 20_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[0]), (5, urls[5])], "page_id long, url string")
+    got = url_filter.judge(pages).collect()
+    assert len(got) == len(urls) + 2
+    for r in got:
+        host, path, rule, verdict = brute_verdict(urls[r["page_id"] or 0])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ((verdict,) if verdict else ("allow", "block"))
+
+
 def test_entropy(spark):
     got = spark.createDataFrame([("aabb",), ("",), ("aaaa",), ("abcd",)], "s string").select(url_filter.entropy(F.col("s")).alias("h")).collect()
     assert [r["h"] for r in got] == pytest.approx([1, 0, 0, 2])
