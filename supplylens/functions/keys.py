@@ -69,11 +69,12 @@ def fnv_bucket(salt, key, n: int) -> Column:
 
     The hash is kept as two 32-bit halves, so that no product overflows; ``salt`` is binary, ``key`` text; n < 2 ** 31.
     """
-    data = F.hex(F.concat(salt, F.encode(col(key), "UTF-8")))
+    # As Latin-1 text every byte is one character, whose code it is.
+    data = F.decode(F.concat(salt, F.encode(col(key), "UTF-8")), "ISO-8859-1")
+    steps = F.transform(F.filter(F.split(data, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     low32 = F.lit(0xFFFFFFFF).cast("long")
 
-    def step(h, i):
-        byte = F.conv(F.substr(data, i * 2 - 1, F.lit(2)), 16, 10).cast("long")
+    def step(h, byte):
         lo = h["lo"].bitwiseXOR(byte)
         # times 2 ** 40 + 0x1B3, modulo 2 ** 64
         product = lo * 0x1B3
@@ -82,6 +83,5 @@ def fnv_bucket(salt, key, n: int) -> Column:
 
     # Offset basis CBF29CE484222325.
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
-    steps = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.char_length(data) / 2).cast("int"))), lambda i: i * 2 <= F.char_length(data))
     half = (1 << 32) % n
     return F.aggregate(steps, start, step, lambda h: F.pmod(F.pmod(h["hi"], F.lit(n)) * half + h["lo"], F.lit(n)))

@@ -77,7 +77,8 @@ def latency_histogram(df: DataFrame, keys: Sequence[str], value: str, edges: Seq
     return counts.select(*keys, F.explode("b").alias("b"), "sum").select(*keys, "b.le", "b.n", "sum")
 
 
-def latency_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float] = (0.5, 0.9, 0.99), exact: bool = True) -> DataFrame:
+def latency_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float] = (0.5, 0.9, 0.99), exact: bool = False) -> DataFrame:
+    """Quantiles of each key: sketches of bounded size, or exact ones, which hold all different values of a key."""
     q = F.percentile if exact else F.approx_percentile
     return df.groupBy(*keys).agg(*[q(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in points])
 

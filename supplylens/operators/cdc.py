@@ -44,17 +44,33 @@ def changed_parts(listing: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 
 def tree_changes(new: DataFrame, old: DataFrame | None) -> DataFrame:
-    """Paths added or modified since the old listing (path, hash); all paths where there is no base."""
-    return new if old is None else new.join(old.select("path", "hash"), ["path", "hash"], "left_anti")
+    """(path, hash, change) of the paths that are new or differ since the old listing (path, hash); all paths, as added, where there is no base.
+
+    ``modified``: the path was there with another hash. ``renamed``: its content stood at a path that is gone; ``copied``: at one that is still there
+    as it was; ``added``: nowhere.
+    """
+    if old is None:
+        return new.withColumn("change", F.lit("added"))
+    before = old.select("path", F.col("hash").alias("__old"))
+    now = new.select(F.col("path"), F.col("hash").alias("__now"))
+    # Of each old content, whether a path that held it still does.
+    stands = before.join(now, "path", "left").groupBy(F.col("__old").alias("hash")).agg(F.bool_or(F.col("__old").eqNullSafe(F.col("__now"))).alias("__stands"))
+    out = new.join(before, "path", "left").filter(F.col("__old").isNull() | (F.col("__old") != F.col("hash"))).join(stands, "hash", "left")
+    change = F.when(F.col("__old").isNotNull(), "modified").when(F.col("__stands"), "copied").when(F.col("__stands").isNotNull(), "renamed").otherwise("added")
+    return out.select(*new.columns, change.alias("change"))
 
 
 def changed_vulns(v: DataFrame, affected: DataFrame, since=None, cap: int | None = None) -> DataFrame:
-    """Ids updated after ``since``, oldest first; on the first run all ids with a named package. ``cap`` is the work list's size."""
+    """Ids updated after ``since``, oldest first; on the first run all ids with a named package.
+
+    ``cap`` is the work list's size; 0 lifts it. A run that was capped resumes at the ``updated_at`` of its last id.
+    """
     if since is None:
         ids = affected.filter("package_name != ''").select(F.col("vuln_id").alias("id")).distinct()
-        out = ids.orderBy("id")
-        return out.limit(cap or 10_000)
-    return v.filter(F.col("updated_at") > F.lit(since)).select("id", "updated_at").orderBy("updated_at", "id").limit(cap or 5_000).select("id")
+        out, most = ids.orderBy("id"), 10_000 if cap is None else cap
+        return out.limit(most) if most else out
+    out, most = v.filter(F.col("updated_at") > F.lit(since)).select("id", "updated_at").orderBy("updated_at", "id"), 5_000 if cap is None else cap
+    return (out.limit(most) if most else out).select("id")
 
 
 def tag_references(tags: DataFrame) -> DataFrame:

@@ -17,6 +17,14 @@ RANGE = "struct<introduced:string,fixed:string,last_affected:string>"
 # Parts of a vendor's name that speak against it unless the package bears them too.
 FOREIGN_VENDORS = ("npm", "uuidjs", "tagdiv", "org.")
 MAPPED = ("mapping", "direct", "cpe", "pattern")
+# Texts of notes.
+NOTES = {
+    "unknown": "CVE matched by name but no version range data — needs review",
+    "version": "Version ",
+    "fix": " >= fix ",
+    "outside": "Not in affected range",
+    "review": "Needs agent review — low-quality range data",
+}
 
 
 def _text(c) -> Column:
@@ -259,11 +267,7 @@ def disposition(matched: DataFrame) -> DataFrame:
             "status": F.when(unknown, "detected").when(no, "not-affected").when(review | jump | ~good, "detected").otherwise("affected"),
             "confidence": F.when(unknown, "low").when(no, F.when(good, "high").otherwise("medium")).when(review | jump, "low").when(good, "high").otherwise("medium"),
             "flags": F.when(~no & ~review & jump, append_unique("flags", F.array(F.lit("suspicious-version-jump")))).otherwise(F.col("flags")),
-            "notes": F.when(unknown, "CVE matched by name but no version range data — needs review")
-            .when(no & (fix != ""), F.concat(F.lit("Version "), version, F.lit(" >= fix "), fix))
-            .when(no, "Not in affected range")
-            .when(review, "Needs agent review — low-quality range data")
-            .otherwise(""),
+            "notes": F.when(unknown, NOTES["unknown"]).when(no & (fix != ""), F.concat(F.lit(NOTES["version"]), version, F.lit(NOTES["fix"]), fix)).when(no, NOTES["outside"]).when(review, NOTES["review"]).otherwise(""),
         }
     )
 
@@ -342,8 +346,8 @@ def enrich_advisories(adv: DataFrame, v: DataFrame, epss: DataFrame, kev: DataFr
     return out.join(kev.select(F.col("cve_id").alias("vuln_id"), F.lit(True).alias("in_kev")).distinct(), "vuln_id", "left").withColumn("in_kev", F.coalesce("in_kev", F.lit(False)))
 
 
-def to_osv(adv: DataFrame, prefix: str = "HUM-") -> DataFrame:
-    """(source_package, vuln_id, doc): each advisory as an OSV document in JSON.
+def to_osv(adv: DataFrame, prefix: str, ecosystem: str, purl: str) -> DataFrame:
+    """(source_package, vuln_id, doc): each advisory as an OSV document in JSON, under ids that begin with ``prefix`` and package URLs that begin with ``purl``.
 
     Events: introduced 0, then the distribution's or upstream's fix if fixed, or upstream's fix as a limit if affected.
     """
@@ -352,7 +356,7 @@ def to_osv(adv: DataFrame, prefix: str = "HUM-") -> DataFrame:
     event = lambda **k: F.struct(*[k.get(n, F.lit(None).cast("string")).alias(n) for n in ("introduced", "fixed", "limit")])
     fixed = F.when((F.col("status") == "fixed") & fix.isNotNull(), event(fixed=fix)).when((F.col("status") == "affected") & has("upstream_fixed_version"), event(limit=F.col("upstream_fixed_version")))
     events = F.filter(F.array(event(introduced=F.lit("0")), fixed), lambda e: e.isNotNull())
-    package = F.struct(F.lit("Red Hat").alias("ecosystem"), F.col("source_package").alias("name"), F.concat(F.lit("pkg:rpm/redhat/"), "source_package").alias("purl"))
+    package = F.struct(F.lit(ecosystem).alias("ecosystem"), F.col("source_package").alias("name"), F.concat(F.lit(purl), "source_package").alias("purl"))
     affected = F.struct(package.alias("package"), F.array(F.struct(F.lit("ECOSYSTEM").alias("type"), events.alias("events"))).alias("ranges"))
     doc = F.struct(
         F.concat(F.lit(prefix), "vuln_id").alias("id"),

@@ -16,9 +16,9 @@ REVIEW_STATUSES = ("affected", "not-affected", "fixed", "under-review", "detecte
 
 
 def merge_lww(target: DataFrame, source: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """The row with the largest ``seq`` of each key wins; the source wins ties, and nulls lose."""
+    """The row with the largest ``seq`` of each key wins; the source wins ties, and nulls lose. Of rows of one side that tie, the first by their values wins."""
     both = target.withColumn("__side", F.lit(0)).unionByName(source.select(*target.columns).withColumn("__side", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(seq), F.desc("__side"))
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(seq), F.desc("__side"), F.to_json(F.struct(*target.columns)))
     return both.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__side")
 
 
@@ -29,11 +29,12 @@ def replace_by_source(target: DataFrame, source: DataFrame, vuln: str = "vuln_id
 
 
 def merge_coalesce(target: DataFrame, source: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """New values win unless they are null."""
-    new = source.select(*keys, *[F.col(c).alias(f"__{c}") for c in cols])
-    out = target.join(new, list(keys), "full_outer")
-    rest = [c for c in target.columns if c not in cols and c not in keys]
-    return out.select(*keys, *[F.coalesce(f"__{c}", c).alias(c) for c in cols], *rest).select(*target.columns)
+    """In ``cols`` new values win unless they are null; rows of the source with a new key come whole, with all their columns."""
+    new = source.select(*keys, *[F.col(c).alias(f"__{c}") for c in target.columns if c not in keys], F.lit(True).alias("__new"))
+    out = target.withColumn("__old", F.lit(True)).join(new, list(keys), "full_outer")
+    # What the source says counts for the columns that are merged, and for rows that only it has.
+    value = lambda c: F.coalesce(f"__{c}", c) if c in cols else F.when(F.col("__old").isNull(), F.col(f"__{c}")).otherwise(F.col(c))
+    return out.select(*[F.col(c) if c in keys else value(c).alias(c) for c in target.columns])
 
 
 def merge_unreviewed(target: DataFrame, source: DataFrame, keys: Sequence[str] = ("source_package", "vuln_id"), reviewed: str = "reviewed_at") -> DataFrame:

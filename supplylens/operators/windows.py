@@ -34,7 +34,8 @@ def budgeted_top_k(items: DataFrame, in_progress: DataFrame, capacity: int, now,
     """
     w = Window.partitionBy("queue").orderBy(F.asc_nulls_first("not_before"), F.desc("priority"), "created_at", "key")
     ready = items.filter((F.col("status") == "pending") & (F.col("not_before").isNull() | (F.col("not_before") <= F.lit(now))))
-    ranked = ready.withColumn("rank", F.row_number().over(w)).join(in_progress.select("queue", F.col("n").alias("__busy")), "queue", "left")
+    ranked = ready.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= batch)  # a limit for each queue, kept map-side
+    ranked = ranked.join(in_progress.select("queue", F.col("n").alias("__busy")), "queue", "left")
     room = F.greatest(F.lit(0), F.least(F.lit(batch), F.lit(capacity) - F.coalesce("__busy", F.lit(0))))
     return ranked.filter(F.col("rank") <= room).drop("__busy")
 

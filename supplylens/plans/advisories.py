@@ -158,14 +158,16 @@ def disposition(spark, sf_dir):
 # Names
 
 
-@query("""
-WITH idx AS (SELECT DISTINCT package_name AS name FROM affected WHERE package_name <> ''), s AS (SELECT DISTINCT source_package AS name FROM sources),
+NAMES = """
+idx AS (SELECT DISTINCT package_name AS name FROM affected WHERE package_name <> ''), s AS (SELECT DISTINCT source_package AS name FROM sources),
 c AS (SELECT s.name AS source_package, m.vuln_name AS n, 0 AS tier, 'mapping' AS match_source FROM s JOIN mappings m ON m.rpm_name = s.name
   UNION ALL SELECT name, name, 1, 'direct' FROM s UNION ALL SELECT name, 'lib' || name, 2, 'pattern' FROM s WHERE name NOT LIKE 'lib%' UNION ALL SELECT name, regexp_replace(name, '[0-9]+$', ''), 2, 'pattern' FROM s
   UNION ALL SELECT name, replace(name, '-', '_'), 2, 'pattern' FROM s WHERE contains(name, '-') UNION ALL SELECT s.name, product, 3, 'cpe' FROM s JOIN cpe USING (name) UNION ALL SELECT name, substr(name, 4), 5, 'uncertain' FROM s WHERE name LIKE 'lib%'),
 h AS (SELECT DISTINCT c.* FROM c WHERE n IN (SELECT name FROM idx)), b AS (SELECT *, min(tier) OVER (PARTITION BY source_package) AS best FROM h)
-SELECT source_package, n AS vuln_name, match_source FROM b WHERE tier = best
-""")
+"""
+
+
+@query(f"WITH {NAMES} SELECT source_package, n AS vuln_name, match_source FROM b WHERE tier = best")
 def name_resolution(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return matching.resolve_names(t.sources, lookups.vuln_name_index(t.affected), t.cpe, t.mappings)
@@ -203,7 +205,7 @@ def vendor_filter(spark, sf_dir):
     return out.select("vuln_id", "source_package", F.size("ranges").cast("long").alias("n_ranges"))
 
 
-@query("SELECT name, cves FROM (SELECT lower(package_name) AS name, count(DISTINCT vuln_id) AS cves FROM affected WHERE package_name <> '' GROUP BY 1) WHERE cves >= 3 ORDER BY cves DESC, name LIMIT 100")
+@query("SELECT name, cves FROM (SELECT lower(package_name) AS name, count(DISTINCT vuln_id) AS cves FROM affected WHERE package_name <> '' GROUP BY 1) WHERE cves >= 3 ORDER BY cves DESC, name LIMIT 3000")
 def frequent_names(spark, sf_dir):
     return matching.frequent_vuln_names(Tables(spark, sf_dir).affected, 3)
 
@@ -244,6 +246,14 @@ def with_ranges(t: Tables) -> DataFrame:
     return t.affected.withColumn("ranges", F.when(n % 9 == 0, F.array().cast(f"array<{matching.RANGE}>")).otherwise(F.array(one)))
 
 
+#: What becomes of e (source_package, vuln_id, match_source, num): ``num`` is the package's number, of which every ninth has no range.
+DECISION = """j AS (SELECT e.*, upstream_version, rpm_version, CAST(split_part(upstream_version, '.', 1) AS INT) AS major, num % 60 AS fix FROM e JOIN sources USING (source_package)),
+d AS (SELECT *, num % 9 = 0 AS unknown, major * 10 + 1 < fix * 10 + 5 AS inside, match_source = 'uncertain' AS review, fix > major + 2 AS jump, CAST(fix AS STRING) || '.5' AS fixed FROM j)
+SELECT source_package, vuln_id, CASE WHEN unknown THEN 'detected' WHEN NOT inside THEN 'not-affected' WHEN review OR jump THEN 'detected' ELSE 'affected' END AS status,
+  CASE WHEN unknown THEN 'low' WHEN NOT inside THEN 'high' WHEN review OR jump THEN 'low' ELSE 'high' END AS confidence, match_source, upstream_version, rpm_version, CASE WHEN unknown THEN '' ELSE fixed END AS upstream_fixed_version,
+  CASE WHEN unknown THEN 'no-ranges' WHEN inside AND NOT review AND jump THEN 'suspicious-version-jump' ELSE '' END AS flags,
+  CASE WHEN unknown THEN 'CVE matched by name but no version range data — needs review' WHEN NOT inside THEN 'Version ' || upstream_version || ' >= fix ' || fixed WHEN review THEN 'Needs agent review — low-quality range data' ELSE '' END AS notes FROM d
+"""
 RANGED = "a AS (SELECT *, TRY_CAST(regexp_extract(package_name, '([0-9]+)$', 1) AS INT) AS num FROM affected)"
 
 
@@ -251,29 +261,44 @@ RANGED = "a AS (SELECT *, TRY_CAST(regexp_extract(package_name, '([0-9]+)$', 1)
 WITH {RANGED}, n AS (SELECT DISTINCT vuln_id, package_name AS n FROM a WHERE package_name <> ''), c AS (
   SELECT vuln_id, s.source_package, n, 0 AS tier FROM n JOIN mappings m ON m.vuln_name = n JOIN sources s ON s.source_package = m.rpm_name
   UNION ALL SELECT vuln_id, source_package, n, 1 FROM n JOIN sources ON source_package = n UNION ALL SELECT vuln_id, source_package, n, 2 FROM n JOIN sources ON regexp_replace(source_package, '[0-9]+([.][0-9]+)*$', '') = n AND n <> source_package),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vuln_id, source_package ORDER BY n, tier) AS k FROM c) WHERE k = 1)
-SELECT f.vuln_id, source_package, count(num) FILTER (num % 9 <> 0) = 0 AS unknown, coalesce(bool_or(CAST(split_part(upstream_version, '.', 1) AS INT) * 10 + 1 < (num % 60) * 10 + 5) FILTER (num % 9 <> 0), false) AS in_range
-FROM f JOIN a ON a.vuln_id = f.vuln_id AND a.package_name = f.n JOIN sources USING (source_package) GROUP BY f.vuln_id, source_package
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vuln_id, source_package ORDER BY n, tier) AS k FROM c) WHERE k = 1),
+e AS (SELECT DISTINCT f.vuln_id, f.source_package, CASE tier WHEN 0 THEN 'mapping' WHEN 1 THEN 'direct' ELSE 'pattern' END AS match_source, num FROM f JOIN a ON a.vuln_id = f.vuln_id AND a.package_name = f.n), {DECISION}
 """)
 def match_cves(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    adv = matching.match_cves(with_ranges(t), t.sources, t.mappings, scope="name")
-    return adv.select("vuln_id", "source_package", F.array_contains("flags", "no-ranges").alias("unknown"), (~F.col("status").isin("not-affected") & ~F.array_contains("flags", "no-ranges")).alias("in_range"))
+    return matching.match_cves(with_ranges(t), t.sources, t.mappings, scope="name").withColumn("flags", F.array_join("flags", ","))
 
 
-@query()
+@query(f"""
+WITH {RANGED}, {NAMES}, r AS (SELECT source_package, n, match_source FROM b WHERE tier = best),
+e AS (SELECT source_package, vuln_id, arg_min(match_source, n) AS match_source, arg_min(num, n) AS num FROM r JOIN a ON a.package_name = n GROUP BY source_package, vuln_id), {DECISION}
+""")
 def match_packages(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return matching.match_packages(t.sources, with_ranges(t), t.cpe, t.mappings)[0].drop("flags")
+    return matching.match_packages(t.sources, with_ranges(t), t.cpe, t.mappings)[0].withColumn("flags", F.array_join("flags", ","))
+
 
+#: All names that a package may go by, with the rank of the first way to each, and the vulnerabilities that list them.
+BULK = f"""{RANGED}, c AS (SELECT source_package, vuln_name AS n, 0 AS rank FROM sources JOIN mappings ON rpm_name = source_package UNION ALL SELECT source_package, source_package, 1 FROM sources
+  UNION ALL SELECT source_package, product, 2 FROM sources JOIN cpe ON name = source_package UNION ALL SELECT source_package, 'lib' || source_package, 3 FROM sources WHERE source_package NOT LIKE 'lib%'
+  UNION ALL SELECT source_package, regexp_replace(source_package, '[0-9]+$', ''), 3 FROM sources UNION ALL SELECT source_package, replace(source_package, '-', '_'), 3 FROM sources WHERE contains(source_package, '-')
+  UNION ALL SELECT source_package, substr(source_package, 4), 3 FROM sources WHERE source_package LIKE 'lib%'),
+m AS (SELECT source_package, n, min(rank) AS rank FROM c GROUP BY source_package, n), i AS (SELECT DISTINCT package_name AS n, vuln_id, num FROM a WHERE package_name <> ''),
+x AS (SELECT source_package, vuln_id, n, rank, num, CAST(split_part(upstream_version, '.', 1) AS INT) * 10 + 1 < num % 60 * 10 + 5 AS inside, CAST(num % 60 AS STRING) || '.5' AS fixed FROM m JOIN i USING (n) JOIN sources USING (source_package))"""
 
-@query()
+
+@query(f"""
+WITH {BULK} SELECT source_package, vuln_id, n AS vuln_name, fixed AS fixed_version, 'medium' AS confidence FROM x WHERE num % 9 <> 0 AND inside QUALIFY row_number() OVER (PARTITION BY source_package, vuln_id ORDER BY rank, n) = 1
+""")
 def bulk_match(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return matching.bulk_match(t.sources, matching.build_vuln_index(with_ranges(t)), t.cpe, t.mappings)
 
 
-@query()
+@query(f"""
+WITH {BULK}, y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY source_package, vuln_id ORDER BY rank, n) = 1)
+SELECT source_package, vuln_id, CASE WHEN inside THEN 'detected' ELSE 'not-affected' END AS status, 'medium' AS confidence, fixed AS upstream_fixed_version, 'name:' || n AS match_type FROM y WHERE num % 9 <> 0
+""")
 def bulk_advisories(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return matching.bulk_advisories(t.sources, matching.build_vuln_index(with_ranges(t)), t.cpe, t.mappings).drop("flags")
@@ -281,7 +306,7 @@ def bulk_advisories(spark, sf_dir):
 
 @query("""
 WITH a AS (SELECT DISTINCT vuln_id, CAST(substr(package_name, 4) AS INT) AS num FROM affected WHERE package_name <> '' AND purl = ''), hit AS (SELECT DISTINCT package_id, vuln_id FROM packages JOIN a ON num = package_id % 200 WHERE num % 9 <> 0 AND code < (num % 60) * 10000 + 500)
-SELECT platform_id, vuln_id, count(*) AS n FROM platform_packages JOIN hit USING (package_id) WHERE platform_id % 10 = 1 GROUP BY platform_id, vuln_id
+SELECT platform_id, vuln_id, count(*) AS n FROM platform_packages JOIN hit USING (package_id) GROUP BY platform_id, vuln_id
 """)
 def scan_platforms(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -295,11 +320,11 @@ def scan_platforms(spark, sf_dir):
 
 
 @query("""
-SELECT source_package, vuln_id, 'HUM-' || vuln_id AS id, status, CASE WHEN status = 'fixed' THEN nullif(upstream_fixed_version, '') END AS fixed, CASE WHEN status = 'affected' THEN nullif(upstream_fixed_version, '') END AS "limit" FROM advisories WHERE status IN ('affected', 'fixed')
+SELECT source_package, vuln_id, 'ADV-' || vuln_id AS id, status, CASE WHEN status = 'fixed' THEN nullif(upstream_fixed_version, '') END AS fixed, CASE WHEN status = 'affected' THEN nullif(upstream_fixed_version, '') END AS "limit" FROM advisories WHERE status IN ('affected', 'fixed')
 """)
 def osv_feed(spark, sf_dir):
     adv = Tables(spark, sf_dir).advisories.withColumns({"distro_fixed_version": F.lit(""), "upstream_version": F.lit("1"), "rpm_version": F.lit("1-1"), "cvss_score": F.col("cvss").cast("string")})
-    doc = matching.to_osv(lookups.feed_input(adv))
+    doc = matching.to_osv(lookups.feed_input(adv), "ADV-", "Some Linux", "pkg:rpm/some/")
     get = lambda p: F.get_json_object("doc", p)
     event = "$.affected[0].ranges[0].events[1]"
     return doc.select("source_package", "vuln_id", get("$.id").alias("id"), get("$.database_specific.status").alias("status"), get(f"{event}.fixed").alias("fixed"), get(f"{event}.limit").alias("limit"))
@@ -343,7 +368,7 @@ def triage_merge(spark, sf_dir):
 
 
 @query("""
-SELECT source_package, vuln_id FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN status = 'detected' THEN 0 ELSE 1 END, CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 END, vuln_id, source_package) AS n FROM advisories) WHERE n <= 500
+SELECT source_package, vuln_id FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN status = 'detected' THEN 0 ELSE 1 END, CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 END, vuln_id, source_package) AS n FROM advisories) ORDER BY n
 """)
 def sorted_advisories(spark, sf_dir):
     return lookups.sort_advisories(Tables(spark, sf_dir).advisories.withColumn("severity", F.col("confidence"))).select("source_package", "vuln_id")
@@ -353,7 +378,7 @@ def sorted_advisories(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, 'CVE-' || CAST(conv_id AS STRING) AS cve_id, CASE turn % 3 WHEN 0 THEN 'affected' WHEN 1 THEN 'under-review' ELSE 'not-affected' END AS status, CASE WHEN turn % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, substr(text, 1, 20) AS reasoning
+SELECT conv_id, turn, 'CVE-' || CAST(conv_id AS STRING) AS cve_id, CASE turn % 3 WHEN 0 THEN 'affected' WHEN 1 THEN 'under-review' ELSE 'not-affected' END AS status, CASE WHEN turn % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, text AS reasoning
 FROM conversations WHERE turn % 4 <> 3
 """)
 def parse_assessments(spark, sf_dir):

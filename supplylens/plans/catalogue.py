@@ -121,7 +121,7 @@ def has_sbom(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT 'pkg' || CAST(p_partkey AS STRING) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'npm' END AS eco FROM part WHERE p_partkey < 60)
+WITH q AS (SELECT 'pkg' || CAST(p_partkey AS STRING) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'npm' END AS eco FROM part)
 SELECT DISTINCT package_name, eco AS asked_ecosystem, vuln_id, count(DISTINCT vuln_id) OVER (PARTITION BY package_name, eco) AS total
 FROM q JOIN affected ON package_name = name AND (eco IS NULL OR eco = ecosystem)
 """)
@@ -131,7 +131,7 @@ def affected_by_package(spark, sf_dir):
     return lookups.affected_by_package(t.affected, names)
 
 
-@query("SELECT DISTINCT purl, vuln_id FROM affected WHERE purl IN (SELECT 'pkg:rpm/p' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 3 = 0)")
+@query("SELECT DISTINCT purl, vuln_id FROM affected WHERE purl IN (SELECT 'pkg:rpm/p' || CAST(p_partkey AS STRING) FROM part)")
 def affected_by_purl(spark, sf_dir):
     t = Tables(spark, sf_dir)
     purls = t.part.select(F.concat(F.lit("pkg:rpm/p"), "p_partkey").alias("purl"))
@@ -144,7 +144,7 @@ SELECT CASE WHEN p_partkey % 5 = 0 THEN 'pkg:rpm/p' || CAST(p_partkey AS STRING)
 
 
 @query(f"""
-WITH q AS ({ASKED.format("part")} WHERE p_partkey < 150
+WITH q AS ({ASKED.format("part")}
 ), h AS (
   SELECT DISTINCT q.purl AS result_key, vuln_id FROM q JOIN affected a ON a.purl = q.purl WHERE q.purl <> ''
   UNION SELECT q.vendor || '/' || q.name, vuln_id FROM q JOIN affected a ON a.vendor = q.vendor AND a.package_name = q.name WHERE q.purl = '' AND q.vendor <> '' AND q.name <> ''
@@ -184,7 +184,7 @@ def get_vulnerability(spark, sf_dir):
 
 
 @query("""
-WITH ids AS (SELECT o_custkey AS pos, 'CVE-2024-' || CAST(o_orderkey % 500 AS STRING) AS id FROM orders WHERE o_orderkey % 9 = 0), n AS (SELECT vuln_id, count(*) AS n_affected FROM affected GROUP BY vuln_id)
+WITH ids AS (SELECT o_custkey AS pos, 'CVE-2024-' || CAST(o_orderkey % 500 AS STRING) AS id FROM orders), n AS (SELECT vuln_id, count(*) AS n_affected FROM affected GROUP BY vuln_id)
 SELECT pos, ids.id AS id, summary, coalesce(n_affected, 0) AS n_affected FROM ids JOIN vulnerabilities USING (id) LEFT JOIN n ON n.vuln_id = id
 """)
 def batch_get(spark, sf_dir):
@@ -414,7 +414,7 @@ def latency_histogram(spark, sf_dir):
 
 @query("SELECT queue, to_status, round(quantile_cont(duration, 0.5), 6) AS p50, round(quantile_cont(duration, 0.9), 6) AS p90, round(quantile_cont(duration, 0.99), 6) AS p99 FROM history GROUP BY queue, to_status")
 def latency_quantiles(spark, sf_dir):
-    out = agg.latency_quantiles(Tables(spark, sf_dir).history, ["queue", "to_status"], "duration")
+    out = agg.latency_quantiles(Tables(spark, sf_dir).history, ["queue", "to_status"], "duration", exact=True)
     return out.select("queue", "to_status", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
@@ -532,7 +532,7 @@ SELECT queue, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS n, r
   count(*) FILTER (to_status = 'pending') > 8 AS alert_backlog, quantile_cont(duration, 0.99) > 150 AS alert_slow FROM history GROUP BY 1, 2
 """)
 def alert_windows(spark, sf_dir):
-    out = worklog.alert_rules(Tables(spark, sf_dir).history, "6 hours", limits={"attempts": 2, "pending": 8, "p99_s": 150})
+    out = worklog.alert_rules(Tables(spark, sf_dir).history, "6 hours", exact=True, limits={"attempts": 2, "pending": 8, "p99_s": 150})
     return out.select("queue", "window_start", "n", F.round("p99_s", 6).alias("p99_s"), "alert_attempts", "pending", "alert_backlog", "alert_slow")
 
 
@@ -545,12 +545,30 @@ def probe_windows(spark, sf_dir):
 REQUESTS = "SELECT id AS event_id, ts, queue, key, CASE WHEN to_status IN ('pending', 'claimed', 'running') AND id % 2 = 0 THEN 'request' ELSE to_status END AS kind, CAST(attempts AS INT) AS priority, ts AS not_before FROM {0}"
 
 
-@query()
+@query(f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY queue, key ORDER BY ts, event_id) AS n FROM ({REQUESTS.format("history")})),
+f AS (SELECT queue, key, n, CASE WHEN kind = 'request' THEN 'pending' ELSE kind END AS status, priority, CAST(kind = 'claimed' AS INT) AS attempts, not_before, CAST(kind = 'request' AS BIGINT) AS requests FROM o WHERE n = 1
+UNION ALL SELECT o.queue, o.key, o.n, CASE WHEN kind <> 'request' THEN kind WHEN status IN ('succeeded', 'failed', 'dead_letter') THEN 'pending' ELSE status END,
+  CASE WHEN kind = 'request' AND status = 'pending' THEN greatest(f.priority, o.priority) WHEN kind = 'request' AND status IN ('succeeded', 'failed', 'dead_letter') THEN o.priority ELSE f.priority END,
+  CASE WHEN kind = 'request' AND status IN ('succeeded', 'failed', 'dead_letter') THEN 0 ELSE attempts + CAST(kind = 'claimed' AS INT) END,
+  CASE WHEN kind = 'request' AND status IN ('pending', 'succeeded', 'failed', 'dead_letter') THEN o.not_before ELSE f.not_before END,
+  requests + CAST(kind = 'request' AND status IN ('pending', 'succeeded', 'failed', 'dead_letter') AS BIGINT)
+  FROM f JOIN o ON o.queue = f.queue AND o.key = f.key AND o.n = f.n + 1)
+SELECT queue, key, status, priority, attempts, not_before, requests FROM f QUALIFY row_number() OVER (PARTITION BY queue, key ORDER BY n DESC) = 1
+""")
 def fold_requests(spark, sf_dir):
-    return worklog.fold_requests(spark.sql(REQUESTS.format("{h}"), h=Tables(spark, sf_dir).history))
+    return worklog.fold_requests(spark.sql(REQUESTS.format("{h}"), h=Tables(spark, sf_dir).history)).withColumn("not_before", F.col("not_before").cast("timestamp_ntz"))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY queue, key ORDER BY ts, id) AS n FROM history),
+f AS (SELECT queue, key, n, CASE WHEN to_status = 'pending' THEN 'pending' END AS status, CAST(to_status = 'pending' AS BIGINT) AS accepted, CAST(to_status <> 'pending' AS BIGINT) AS rejected FROM o WHERE n = 1
+UNION ALL SELECT queue, key, n, CASE WHEN ok THEN to_status ELSE status END, accepted + CAST(ok AS BIGINT), rejected + CAST(NOT ok AS BIGINT) FROM (
+  SELECT o.queue, o.key, o.n, o.to_status, f.status, f.accepted, f.rejected, (f.status IS NULL AND o.to_status = 'pending') OR coalesce((f.status, o.to_status) IN (('pending', 'claimed'), ('pending', 'failed'), ('claimed', 'running'),
+    ('claimed', 'failed'), ('claimed', 'pending'), ('running', 'succeeded'), ('running', 'failed'), ('running', 'pending'), ('failed', 'pending'), ('failed', 'dead_letter'), ('dead_letter', 'pending')), false) AS ok
+  FROM f JOIN o ON o.queue = f.queue AND o.key = f.key AND o.n = f.n + 1))
+SELECT queue, key, status, accepted, rejected FROM f QUALIFY row_number() OVER (PARTITION BY queue, key ORDER BY n DESC) = 1
+""")
 def replay_lifecycle(spark, sf_dir):
     h = Tables(spark, sf_dir).history
     return worklog.replay_lifecycle(h.withColumnRenamed("id", "event_id"))
@@ -570,10 +588,27 @@ def event_feed(spark, sf_dir):
     return worklog.event_feed(Tables(spark, sf_dir).history, "q1")
 
 
-@query()
+NOW, PERIOD, TICK = 1_700_000_000, 86_400, 3_600
+
+
+def _fnv_oracle(queue: str) -> str:
+    """FNV-1a over each key's bytes, after those of the queue and of the period's start."""
+    start, tick = (NOW - (NOW + 62_135_596_800) % n for n in (PERIOD, TICK))
+    h = 0xCBF29CE484222325
+    for b in queue.encode() + bytes(1) + start.to_bytes(8, "big"):
+        h = (h ^ b) * 0x100000001B3 % (1 << 64)
+    step = "(xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    return f"""
+WITH k AS (SELECT 'key-' || CAST(o_orderkey AS STRING) AS key FROM orders), s AS (
+  SELECT key, CAST(list_reduce(list_concat([{h}::UHUGEINT], list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS UHUGEINT))), lambda h, b: {step}) % {PERIOD} AS BIGINT) AS second FROM k)
+SELECT key, second, make_timestamp(({tick} + second - {tick - start}) * 1000000) AS not_before, 0 AS priority FROM s WHERE second >= {tick - start} AND second < {tick - start + TICK}
+"""
+
+
+@query(_fnv_oracle("rescan"))
 def resync_shard(spark, sf_dir):
     keys = Tables(spark, sf_dir).orders.select(F.concat(F.lit("key-"), "o_orderkey").alias("key"))
-    return worklog.resync_shard(keys, "rescan", 1_700_000_000, 86_400, 3_600)
+    return worklog.resync_shard(keys, "rescan", NOW, PERIOD, TICK).withColumn("not_before", F.col("not_before").cast("timestamp_ntz"))
 
 
 # Change detection and merges
@@ -624,10 +659,19 @@ def changed_parts(spark, sf_dir):
     return cdc.changed_parts(listing, known).select("source", "part")
 
 
-@query("SELECT o_orderkey AS path, o_orderstatus AS hash FROM orders WHERE o_orderstatus <> 'F'")
+TREE = "SELECT o_orderkey % 7 AS side, o_orderkey AS path, CASE WHEN o_orderkey % 7 = 3 THEN 'u' || CAST(o_custkey AS STRING) ELSE 'h' || CAST(o_custkey % 400 AS STRING) END AS hash FROM {0}"
+
+
+@query(f"""
+WITH t AS ({TREE.format("orders")}), o AS (SELECT CASE WHEN side = 1 THEN path + 1000000000 ELSE path END AS path, CASE WHEN side = 0 THEN hash || 'x' ELSE hash END AS hash FROM t WHERE side NOT IN (2, 3)),
+s AS (SELECT o.hash, bool_or(t.hash IS NOT NULL AND t.hash = o.hash) AS stands FROM o LEFT JOIN t USING (path) GROUP BY o.hash)
+SELECT t.path, t.hash, CASE WHEN o.hash IS NOT NULL THEN 'modified' WHEN stands THEN 'copied' WHEN stands IS NOT NULL THEN 'renamed' ELSE 'added' END AS change FROM t LEFT JOIN o USING (path) LEFT JOIN s ON s.hash = t.hash WHERE o.hash IS NULL OR o.hash <> t.hash
+""")
 def tree_changes(spark, sf_dir):
-    o = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("hash"))
-    return cdc.tree_changes(o, o.filter("hash = 'F'"))
+    t = spark.sql(TREE.format("{o}"), o=Tables(spark, sf_dir).orders)
+    path = F.when(F.col("side") == 1, F.col("path") + 1_000_000_000).otherwise(F.col("path"))
+    old = t.filter("side not in (2, 3)").select(path.alias("path"), F.when(F.col("side") == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")).alias("hash"))
+    return cdc.tree_changes(t.select("path", "hash"), old)
 
 
 @query("SELECT id FROM vulnerabilities WHERE updated_at > TIMESTAMP '1998-06-01 00:00:00' ORDER BY updated_at, id LIMIT 5000")
@@ -637,11 +681,12 @@ def changed_vulns(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 6 <> 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer
+SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 6 <> 0 THEN c_acctbal + 1 WHEN c_custkey % 12 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer
 """)
 def merge_coalesce(spark, sf_dir):
     c = Tables(spark, sf_dir).customer
-    return merge.merge_coalesce(c, spark.sql(DELTA.format("{c}"), c=c), ["c_custkey"], ["c_acctbal"])
+    # Every twelfth customer is only in the delta.
+    return merge.merge_coalesce(c.filter("c_custkey % 12 != 0"), spark.sql(DELTA.format("{c}"), c=c), ["c_custkey"], ["c_acctbal"])
 
 
 @query("""

@@ -89,6 +89,8 @@ def expand(sql: str, mark: bool = False) -> str:
     if not ctes:
         return sql
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
 
 

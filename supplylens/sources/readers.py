@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from supplylens.sources import schemas as S
 
-#: Members of an archive beyond this size are rejected, as no record is that long.
+#: Members of an archive beyond this size come without content, so that they are rejected and not lost: no record is that long.
 LARGEST_MEMBER = 16 * 1024 * 1024
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -57,8 +57,9 @@ def read_osv_zip(spark: SparkSession, paths) -> DataFrame:
                 rows: list[tuple[str, str]] = []
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     for info in z.infolist():
-                        if info.filename.endswith(".json") and info.file_size <= LARGEST_MEMBER:
-                            rows.append((f"osv/{path.rsplit('/', 1)[-1].removesuffix('.zip')}/{info.filename}", z.read(info).decode("utf-8", "replace")))
+                        if info.filename.endswith(".json"):
+                            fits = info.file_size <= LARGEST_MEMBER
+                            rows.append((f"osv/{path.rsplit('/', 1)[-1].removesuffix('.zip')}/{info.filename}", z.read(info).decode("utf-8", "replace") if fits else None))
                         if len(rows) == 500:
                             yield pd.DataFrame(rows, columns=["key", "content"])
                             rows = []

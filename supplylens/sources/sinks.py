@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from supplylens.operators.aggregates import advisory_summary
 from supplylens.operators.lookups import feed_input
 from supplylens.operators.matching import to_osv
 
@@ -14,9 +15,9 @@ def write_bronze(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).partitionBy("source").parquet(path)
 
 
-def write_osv_feed(advisories: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_osv_feed(advisories: DataFrame, path: str, prefix: str, ecosystem: str, purl: str, mode: str = "overwrite") -> None:
     """One JSON document a line: affected and fixed advisories, each package and vulnerability once."""
-    to_osv(feed_input(advisories)).select("doc").write.mode(mode).text(path)
+    to_osv(feed_input(advisories), prefix, ecosystem, purl).select("doc").write.mode(mode).text(path)
 
 
 def package_documents(adv: DataFrame) -> DataFrame:
@@ -27,5 +28,8 @@ def package_documents(adv: DataFrame) -> DataFrame:
     return grouped.select("package", F.to_json(F.struct("package", "advisories")).alias("document"), "n")
 
 
-def write_package_advisories(adv: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_package_advisories(adv: DataFrame, path: str, mode: str = "overwrite", summary: str | None = None) -> None:
+    """A document for each package, and in the folder ``summary`` a line of counts for each package."""
+    if summary:
+        advisory_summary(adv).write.mode(mode).json(summary)
     package_documents(adv).write.mode(mode).partitionBy("package").json(path)

@@ -1,7 +1,7 @@
 """Folds over the work log, as batch jobs and as stateful streams with the same rules.
 
-The rules are plain functions on a state tuple. The batch forms sort each key's events within its task; the streams
-keep the tuple as state. Both give the same final rows for the same events.
+The batch forms sort and fold each key's events in the JVM; the streams hold a state tuple, which plain functions move on. Both give the same final
+rows for events that come in order; a stream folds an event that comes late where it comes, and one behind the watermark not at all.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from supplylens.functions import backoff_seconds, fnv_bucket, truncate_period
+from supplylens.functions import backoff_seconds, fnv_bucket, is_valid_transition, truncate_period
 from supplylens.functions.work import TRANSITIONS
 
 TERMINAL = ("succeeded", "failed", "dead_letter")
@@ -64,16 +64,6 @@ def _fold_lifecycle(state, frame: pd.DataFrame):
     return state
 
 
-def _batch(events: DataFrame, fold, out: str) -> DataFrame:
-    names = [c.split()[0] for c in out.split(", ")]
-
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        # One item's log, in order.
-        return pd.DataFrame([(*key, *fold(None, frame.sort_values(["ts", "event_id"], kind="stable")))], columns=names)
-
-    return events.groupBy("queue", "key").applyInPandas(one, out)
-
-
 def fold_requests(events: DataFrame) -> DataFrame:
     """State of each (queue, key) after all its events (event_id, ts, queue, key, kind, priority, not_before), in order of ts, then id.
 
@@ -101,8 +91,17 @@ def fold_requests(events: DataFrame) -> DataFrame:
 
 
 def replay_lifecycle(events: DataFrame) -> DataFrame:
-    """Current status and numbers of accepted and rejected transitions of each (queue, key) from (event_id, ts, queue, key, to_status)."""
-    return _batch(events.select("event_id", "ts", "queue", "key", "to_status"), _fold_lifecycle, LIFECYCLE_OUT)
+    """Current status and numbers of accepted and rejected transitions of each (queue, key) from (event_id, ts, queue, key, to_status), in the JVM."""
+    e = F.sort_array(F.collect_list(F.struct("ts", "event_id", "to_status")))
+    start = F.lit(None).cast("struct<status:string,accepted:bigint,rejected:bigint>")
+    made = lambda status, ok, bad: F.struct(status.cast("string").alias("status"), ok.cast("bigint").alias("accepted"), bad.cast("bigint").alias("rejected"))
+
+    def step(s, x):
+        status, accepted, rejected = s["status"], F.coalesce(s["accepted"], F.lit(0)), F.coalesce(s["rejected"], F.lit(0))
+        legal = F.when(status.isNull(), x["to_status"] == "pending").otherwise(is_valid_transition(status, x["to_status"]))
+        return F.when(F.coalesce(legal, F.lit(False)), made(x["to_status"], accepted + 1, rejected)).otherwise(made(status, accepted, rejected + 1))
+
+    return events.groupBy("queue", "key").agg(F.aggregate(e, start, step).alias("s")).select("queue", "key", "s.*")
 
 
 def _stream(events: DataFrame, fold, state_schema: str, out: str, watermark: str) -> DataFrame:
@@ -180,7 +179,7 @@ def outcome_disposition(responses: DataFrame, max_attempts: int = 5, base: float
     return out, children
 
 
-def alert_rules(events: DataFrame, window: str = "5 minutes", watermark: str | None = None, exact: bool = True, limits: dict | None = None) -> DataFrame:
+def alert_rules(events: DataFrame, window: str = "5 minutes", watermark: str | None = None, exact: bool = False, limits: dict | None = None) -> DataFrame:
     """(queue, window_start, rates and alerts) of transitions (queue, ts, to_status, duration, attempts) by window.
 
     Alerts: any dead letter, p99 of the reconcile time over 300 s, median attempts over 3, more than 1000 items that became pending.

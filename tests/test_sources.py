@@ -77,7 +77,7 @@ def test_sinks(spark, tmp_path):
         [("p", "C1", "affected", "high", "1", "1-1", "2", "", "", "n"), ("p", "C1", "fixed", "high", "1", "1-1", "2", "", "", "n"), ("q", "C2", "detected", "low", "1", "1", "", "", "", "")],
         "source_package string, vuln_id string, status string, confidence string, upstream_version string, rpm_version string, upstream_fixed_version string, distro_fixed_version string, cvss_score string, notes string",
     )
-    sinks.write_osv_feed(adv, f"{tmp_path}/feed")
+    sinks.write_osv_feed(adv, f"{tmp_path}/feed", "ADV-", "Some Linux", "pkg:rpm/some/")
     assert [json.loads(r[0])["database_specific"]["status"] for r in spark.read.text(f"{tmp_path}/feed").collect()] == ["affected"]
     sinks.write_package_advisories(adv, f"{tmp_path}/docs")
     assert spark.read.json(f"{tmp_path}/docs").count() == 2
