@@ -280,6 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2000, half_chi2:
     model.index = BlockMaxIndex(place[row], term, weight, n, len(terms))
     shares = np.array([share for share, _ in model.votes(cuts, term, count, skip=place)])
     model.curve = isotonic(shares, y, prior)
+    del examples, lists, flat
+    pa.default_memory_pool().release_unused()  # the driver goes on to other stages, which need the memory
     return model
 
 
