@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import unicodedata
 from collections.abc import Iterator
 
@@ -10,13 +12,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are taken at once; a longer text is taken alone.
-STRETCH = 8_000_000
+STRETCH = 4_000_000
 #: ASCII characters that are cut off from both ends of a word before its letters are looked up.
 EDGES = ".,;:!?|#$%&*()[]{}<>=+/\\-\"'`~@^_0123456789"
 #: Letters (as a class of a regular expression, without A-Z) that stay letters, one for one, when composed and lower-cased.
 PLAIN = "a-z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c)
 
 
+def release_memory() -> None:
+    """Give back what is free: workers and drivers live on for other stages, which need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def stretches(sizes: np.ndarray, most: int = STRETCH) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes sum to at most ``most``; a larger row is a range of its own."""
     start, held = 0, 0

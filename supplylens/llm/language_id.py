@@ -38,6 +38,8 @@ PER_LETTER = 16.0
 UNKNOWN = 1e-7
 #: Words whose likelihoods a Python worker remembers; beyond that it goes on with those of its last stretch of texts.
 KNOWN_WORDS = 400_000
+#: Bytes of text that are scored at once.
+SCORED_AT_ONCE = 8_000_000
 UNDETERMINED = "und"
 
 
@@ -273,7 +275,7 @@ class LanguageModel:
 
     def predict(self, texts: pa.Array) -> Iterator[tuple[str, float]]:
         """Language and its posterior probability of each text; ``und`` and 0 without letters or without any language learned."""
-        for lo, hi, part in text_stretches(texts):
+        for lo, hi, part in text_stretches(texts, SCORED_AT_ONCE):
             if not self.languages:
                 yield from [(UNDETERMINED, 0.0)] * (hi - lo)
                 continue

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from supplylens.llm.columns import distinct_words, text_stretches
+from supplylens.llm.columns import distinct_words, release_memory, text_stretches
 from supplylens.llm.common import cut, join_groups
 
 BANDS, ROWS = 32, 5
@@ -105,6 +105,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     rows.append((0, b"", None, None))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(work, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
@@ -300,6 +301,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, k: int, n_nodes: int) -> DataFra
             made = [h.tobytes() for h in shingle_sets(batch["text"], k)]
             own = pa.array([xxhash.xxh128_digest(h) == key for h, key in zip(made, batch["set_key"].to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["node"].filter(own), pa.array(made, pa.binary()).filter(own)], names=["node", "set"])
+        release_memory()
 
     return cut(wanted.mapInArrow(work, "node long, set binary").dropDuplicates(["node"]), n_nodes, 2_000)
 

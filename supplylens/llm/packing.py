@@ -21,13 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplylens.llm.columns import PLAIN, distinct_words, text_stretches
+from supplylens.llm.columns import PLAIN, distinct_words, release_memory, text_stretches
 from supplylens.llm.common import cut
 
 CAPACITY = 4096
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a Python worker remembers; beyond that it goes on with those of its last stretch of texts.
 KNOWN_WORDS = 800_000
+#: Bytes of text that are encoded at once.
+ENCODED_AT_ONCE = 8_000_000
 #: Marks split off from the end of a word. No apostrophe: it can start a piece with the letters after it.
 MARKS = ".,;:!?|#$%&*()[]{}<>=+/\\-\""
 
@@ -152,7 +154,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: i
         step = 4 * capacity
         for batch in batches:
             rows, docs_ = batch["row_id"].to_pylist(), batch["doc_id"].to_pylist()
-            for lo, hi, texts in text_stretches(batch["text"]):
+            for lo, hi, texts in text_stretches(batch["text"], ENCODED_AT_ONCE):
                 out: list[tuple] = []
                 for row, doc, ids in zip(rows[lo:hi], docs_[lo:hi], enc.encode_column(texts)):
                     n = len(ids) + 4
@@ -164,6 +166,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: i
                         out.append((row, doc, k, at // 4, size // 4, crc, (bytes(piece) + end * last if with_ids else None)))
                 columns = list(zip(*out)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        release_memory()
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(cut_up, PIECES + (", ids binary" if with_ids else ""))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplylens.llm.columns import EDGES, PLAIN, distinct_words, ranges, text_stretches
+from supplylens.llm.columns import EDGES, PLAIN, distinct_words, ranges, release_memory, text_stretches
 from supplylens.llm.common import cut, is_training, shared_table
 
 TERM = re.compile(r"[^\W\d_]+")
@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2000, half_chi2:
     shares = np.array([share for share, _ in model.votes(cuts, term, count, skip=place)])
     model.curve = isotonic(shares, y, prior)
     del examples, lists, flat
-    pa.default_memory_pool().release_unused()  # the driver goes on to other stages, which need the memory
+    release_memory()
     return model
 
 
@@ -296,6 +296,7 @@ def document_frequencies(docs: DataFrame, terms: Vocabulary) -> np.ndarray:
             for _, _, part in text_stretches(batch["text"]):
                 total[:-1] += np.bincount(known_counts(part, shared.value)[1], minlength=len(shared.value))
         there = np.flatnonzero(total)
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["term", "n"])
 
     sums = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term
@@ -321,6 +322,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, evidenc
             scores, found = zip(*shared.value.answers(batch["text"])) if batch.num_rows else ((), ())
             shown = pa.array([[{"doc_id": i, "cosine": c} for i, c in f[:evidence]] for f in found], near)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), shown], names=["doc_id", "score", "predicted", "evidence"])
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(work, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double>>")
@@ -336,9 +338,12 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
-    def keep(texts: pa.Array) -> pa.Array:
-        return pa.array([s < threshold for s, _ in shared.value.answers(texts)], pa.bool_())
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([s < threshold for s, _ in shared.value.answers(texts)], pa.bool_())
+        release_memory()
 
     kept = shared_table(docs.filter(keep(F.col("text"))).select(*[F.col(f"`{c}`") for c in names]), "not-toxic")
     shared.destroy()
+    release_memory()
     return kept
