@@ -188,6 +188,13 @@ def newest_images(images: DataFrame, k: int = 10) -> DataFrame:
     return page(images, [F.desc("created_at"), "image_id"], k)
 
 
+def list_images(images: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """One page of images, newest first, each row with ``total`` and ``has_more``: whether images follow the page."""
+    n = 100 if not limit or limit <= 0 else min(limit, 1000)
+    rows = page(images, [F.desc("created_at"), "image_id"], n, offset).crossJoin(F.broadcast(images.agg(F.count("*").alias("total"))))  # one row
+    return rows.withColumn("has_more", F.col("total") > offset + n)
+
+
 def sort_advisories(adv: DataFrame) -> DataFrame:
     """Open ones first, then by severity, then by id."""
     return adv.orderBy(F.when(F.col("status") == "detected", 0).otherwise(1), severity_rank("severity"), "vuln_id", "source_package")

@@ -6,6 +6,8 @@ Frames: ``affected`` (vuln_id, source, vendor, package_name, ranges: array<struc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,20 +109,26 @@ def is_affected(version, ranges, policy: str = "production", key=None) -> Column
     return out.when(reached, answer(True, none, "low", "no-fixed-version")).otherwise(answer(False, none, "none"))
 
 
-def match_versions(candidates: DataFrame, policy: str = "production") -> DataFrame:
+def match_versions(candidates: DataFrame, policy: str = "production", ordered: Sequence[str] | None = None) -> DataFrame:
     """Add affected, fixed_version, quality and flags to rows with upstream_version and ranges.
 
+    With ``ordered`` only ranges of these types are compared (no type: ""); by default all are, whatever their type says.
+
     Keys stand in columns of their own, which the optimizer keeps apart because they are used more than once. Where a join multiplies
     rows, :func:`with_range_keys` and :func:`with_version_key` put them there before it.
     """
     rows = candidates if "__key" in candidates.columns else with_version_key(candidates)
-    rows = rows if "__ranges" in rows.columns else with_range_keys(rows)
+    rows = rows if "__ranges" in rows.columns else with_range_keys(rows, ordered)
     rows = rows.withColumn("__m", is_affected("upstream_version", "__ranges", policy, F.col("__key")))
     return rows.select(*[c for c in candidates.columns if c not in ("__key", "__ranges")], "__m.*")
 
 
-def with_range_keys(df: DataFrame) -> DataFrame:
-    return df.withColumn("__ranges", keyed_ranges(F.col("ranges")))
+def with_range_keys(df: DataFrame, ordered: Sequence[str] | None = None) -> DataFrame:
+    ranges = F.col("ranges")
+    if ordered is not None:
+        fit = F.filter(ranges, lambda r: _text(r["range_type"]).isin(*ordered))
+        ranges = F.transform(fit, lambda r: F.struct(*[r[c].alias(c) for c in ("introduced", "fixed", "last_affected")]))
+    return df.withColumn("__ranges", keyed_ranges(ranges))
 
 
 def with_version_key(df: DataFrame) -> DataFrame:

@@ -75,9 +75,9 @@ def merge_checkpoint(target: DataFrame, source: DataFrame, key: str = "source")
 
 
 def apply_reviews(target: DataFrame, decisions: DataFrame, keys: Sequence[str] = ("source_package", "vuln_id")) -> DataFrame:
-    """Set status, ``reviewed_at`` and ``reviewed_by`` from valid decisions (one for each key, the latest); others change nothing."""
+    """Set status, ``reviewed_at`` and ``reviewed_by`` from valid decisions (one for each key, the latest); others change nothing and are listed by :func:`invalid_reviews`."""
     w = Window.partitionBy(*keys).orderBy(F.desc("reviewed_at"), "status")
-    valid = decisions.filter(F.col("status").isin(*REVIEW_STATUSES)).withColumn("__rank", F.row_number().over(w)).filter("__rank = 1")
+    valid = decisions.filter(F.col("status").isin(*REVIEW_STATUSES) & (F.col("reviewed_by") != "")).withColumn("__rank", F.row_number().over(w)).filter("__rank = 1")
     valid = valid.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("status", "reviewed_at", "reviewed_by")])
     out = target.join(valid, list(keys), "left")
     hit = F.col("__status").isNotNull()
@@ -86,6 +86,22 @@ def apply_reviews(target: DataFrame, decisions: DataFrame, keys: Sequence[str] =
     return out.select(*target.columns)
 
 
+def invalid_reviews(decisions: DataFrame) -> DataFrame:
+    """The decisions that :func:`apply_reviews` takes nothing from, with a ``reason``."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    reason = F.when(blank("status") | blank("reviewed_by"), "status and reviewer required").when(~F.col("status").isin(*REVIEW_STATUSES), "invalid status")
+    return decisions.withColumn("reason", reason).filter("reason is not null")
+
+
+def review_mappings(mappings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Set ``reviewed`` and ``updated_at`` of the mappings from decisions (rpm_name in any case, reviewed, updated_at), the latest for each name; names without a mapping change nothing."""
+    last = decisions.groupBy(F.lower("rpm_name").alias("rpm_name")).agg(F.max(F.struct("updated_at", "reviewed")).alias("__d"))
+    out = mappings.join(last, "rpm_name", "left")
+    for c in ("reviewed", "updated_at"):
+        out = out.withColumn(c, F.when(F.col("__d").isNotNull(), F.col(f"__d.{c}")).otherwise(F.col(c)))
+    return out.select(*mappings.columns)
+
+
 def retain(items: DataFrame, now, days: int = 7, purge_dead: bool = False) -> DataFrame:
     """Drop finished items older than ``days``, and dead letters where asked for."""
     old = F.col("status").isin("succeeded", "failed") & (F.col("updated_at") < F.lit(now) - F.make_dt_interval(F.lit(days)))

@@ -59,16 +59,33 @@ def _vulnerability(rows: DataFrame, **cols) -> DataFrame:
     return rows.select(*[c.alias(n) for n, c in out.items()])
 
 
-def split_rejects(df: DataFrame, schema: str, ident: str, sources: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects with ``reason``): unknown source, malformed record or missing id never fail a run. ``ident`` is a path within the record."""
+def split_rejects(df: DataFrame, schema: str, ident: str, sources: list[str], trees: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects with ``reason``): unknown source, malformed record, missing id or a CPE tree that is too deep never fail a run.
+
+    ``ident`` and ``trees`` (the configurations) are paths within the record.
+    """
     rows = df.withColumn("__r", F.from_json("content", schema))
     missing = _t(F.expr(f"__r.{ident}")) == ""
     valid = F.try_parse_json("content").isNotNull()
     reason = F.when(~F.col("source").isin(*sources), "unknown source").when(~F.coalesce(valid, F.lit(False)), "malformed record").when(missing, "missing id")
+    if trees:
+        reason = reason.when(tree_too_deep(F.expr(f"__r.{trees}")), "configuration tree too deep")
     rows = rows.withColumn("reason", reason).drop("__r")
     return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null")
 
 
+def tree_too_deep(configurations) -> Column:
+    """Whether CPE nodes lie below the ``NODE_DEPTH`` levels that are read."""
+
+    def deeper(node, depth: int) -> Column:
+        if depth == 0:
+            return F.size(_list(node["children"], STRINGS)) > 0
+        return F.exists(_list(node["children"], f"array<{S.cpe_node(depth - 1)}>"), lambda c: deeper(c, depth - 1))
+
+    nodes = F.flatten(F.transform(configurations, lambda c: c["nodes"]))
+    return F.coalesce(F.exists(nodes, lambda n: deeper(n, S.NODE_DEPTH)), F.lit(False))
+
+
 # CVE v5
 
 
@@ -525,6 +542,32 @@ NORMALIZERS = {
 }
 
 
+#: Schema, path of the id and path of the CPE trees of each format.
+FORMATS = {
+    normalize_cve_v5: (S.CVE_V5, "cveMetadata.cveId", None),
+    normalize_nvd: (S.NVD, "id", "configurations"),
+    normalize_nvd_override: (S.NVD_OVERRIDE, "_annotation.cve_id", "cve.configurations"),
+    normalize_osv: (S.OSV, "id", None),
+}
+
+
+def rejects(bronze: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """The rows of ``bronze`` that :func:`normalize` cannot take whole, with ``reason``. Sources with a normalizer of their own are only asked for JSON."""
+    known = list(sources or NORMALIZERS)
+    out = bronze.filter(~F.coalesce(F.col("source").isin(*known), F.lit(False))).withColumn("reason", F.lit("unknown source"))
+    by_format: dict = {}
+    for source in known:
+        by_format.setdefault(FORMATS.get(NORMALIZERS[source]), []).append(source)
+    for form, names in by_format.items():
+        rows = bronze.filter(F.col("source").isin(*names))
+        if form is None:
+            bad = rows.filter(F.try_parse_json("content").isNull()).withColumn("reason", F.lit("malformed record"))
+        else:
+            bad = split_rejects(rows, form[0], form[1], names, form[2])[1]
+        out = out.unionByName(bad)
+    return out
+
+
 def register_normalizer(source: str, fn) -> None:
     """Let ``fn`` (rows with content -> vulnerabilities, affected) read the records of a source."""
     NORMALIZERS[source] = fn

@@ -209,6 +209,13 @@ def newest_images(spark, sf_dir):
     return lookups.newest_images(t.images).crossJoin(F.broadcast(t.images.agg(F.count("*").alias("total"))))
 
 
+@query("""
+SELECT *, total > 90 AS has_more FROM (SELECT *, (SELECT count(*) FROM images) AS total FROM images ORDER BY created_at DESC, image_id LIMIT 50 OFFSET 40)
+""")
+def list_images(spark, sf_dir):
+    return lookups.list_images(Tables(spark, sf_dir).images, 50, 40)
+
+
 @query("""
 SELECT source_package, vuln_id, status, updated_at, (SELECT count(*) FROM advisories WHERE status = 'affected') AS total FROM advisories WHERE status = 'affected'
 ORDER BY updated_at DESC, source_package, vuln_id LIMIT 300
@@ -744,6 +751,25 @@ def apply_reviews(spark, sf_dir):
     return merge.apply_reviews(a, decided).select("source_package", "vuln_id", "status")
 
 
+@query("""
+SELECT rpm_name, vuln_name, coalesce(s_suppkey % 2 = 0, false) AS reviewed FROM (SELECT DISTINCT rpm_name, vuln_name FROM mappings) LEFT JOIN supplier ON rpm_name = 'none-' || CAST(s_suppkey AS STRING) AND s_suppkey % 3 = 1
+""")
+def review_mappings(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    m = t.mappings.distinct().withColumn("reviewed", F.lit(False)).withColumn("updated_at", F.lit(None).cast("timestamp"))
+    decided = t.supplier.filter("s_suppkey % 3 = 1").select(F.concat(F.lit("NONE-"), "s_suppkey").alias("rpm_name"), (F.col("s_suppkey") % 2 == 0).alias("reviewed"), F.current_timestamp().alias("updated_at"))
+    return merge.review_mappings(m, decided).select("rpm_name", "vuln_name", "reviewed")
+
+
+@query("""
+SELECT source_package, vuln_id, CASE WHEN vuln_id LIKE '%3' THEN 'status and reviewer required' ELSE 'invalid status' END AS reason FROM advisories WHERE vuln_id LIKE '%2' OR vuln_id LIKE '%3'
+""")
+def invalid_reviews(spark, sf_dir):
+    a = Tables(spark, sf_dir).advisories.filter("vuln_id like '%1' or vuln_id like '%2' or vuln_id like '%3'")
+    decided = a.select("source_package", "vuln_id", F.when(F.col("vuln_id").like("%2"), "nonsense").otherwise("fixed").alias("status"), F.when(~F.col("vuln_id").like("%3"), "me").alias("reviewed_by"))
+    return merge.invalid_reviews(decided).select("source_package", "vuln_id", "reason")
+
+
 @query("""
 SELECT rpm_name, vuln_name, coalesce((SELECT count(*) FROM sources WHERE source_package = rpm_name), 0) AS usage_count FROM (SELECT DISTINCT rpm_name, vuln_name FROM mappings)
 """)

@@ -182,9 +182,10 @@ def outcome_disposition(responses: DataFrame, max_attempts: int = 5, base: float
 def alert_rules(events: DataFrame, window: str = "5 minutes", watermark: str | None = None, exact: bool = False, limits: dict | None = None) -> DataFrame:
     """(queue, window_start, rates and alerts) of transitions (queue, ts, to_status, duration, attempts) by window.
 
-    Alerts: any dead letter, p99 of the reconcile time over 300 s, median attempts over 3, more than 1000 items that became pending.
+    Alerts: any dead letter, p99 of the reconcile time over 300 s, median attempts over 3, more than 1000 items that became pending. Where the
+    transitions say whether a lease was reaped (``reaped``) or how long a claim took (``claim_s``): any reaped lease, p99 of the claims over 0.1 s.
     """
-    limits = {"p99_s": 300, "attempts": 3, "pending": 1000} | (limits or {})
+    limits = {"p99_s": 300, "attempts": 3, "pending": 1000, "claim_p99_s": 0.1} | (limits or {})
     rows = events.withWatermark("ts", watermark) if watermark else events
     q = F.percentile if exact else F.approx_percentile
     grouped = rows.groupBy("queue", F.window("ts", window).alias("w")).agg(
@@ -193,11 +194,15 @@ def alert_rules(events: DataFrame, window: str = "5 minutes", watermark: str | N
         F.count_if(F.col("to_status") == "pending").alias("pending"),
         q("duration", F.lit(0.99)).alias("p99_s"),
         q("attempts", F.lit(0.5)).alias("median_attempts"),
+        *([F.count_if("reaped").alias("reaped")] if "reaped" in events.columns else []),
+        *([q("claim_s", F.lit(0.99)).alias("claim_p99_s")] if "claim_s" in events.columns else []),
     )
+    more = [F.col("reaped"), (F.col("reaped") > 0).alias("alert_reaped")] if "reaped" in events.columns else []
+    more += [F.col("claim_p99_s"), F.coalesce(F.col("claim_p99_s") > limits["claim_p99_s"], F.lit(False)).alias("alert_claims")] if "claim_s" in events.columns else []
     return grouped.select(
         "queue", F.col("w.start").alias("window_start"), "n", "dead_letters", "pending", "p99_s", "median_attempts",
         (F.col("dead_letters") > 0).alias("alert_dead_letter"), F.coalesce(F.col("p99_s") > limits["p99_s"], F.lit(False)).alias("alert_slow"),
-        F.coalesce(F.col("median_attempts") > limits["attempts"], F.lit(False)).alias("alert_attempts"), (F.col("pending") > limits["pending"]).alias("alert_backlog"),
+        F.coalesce(F.col("median_attempts") > limits["attempts"], F.lit(False)).alias("alert_attempts"), (F.col("pending") > limits["pending"]).alias("alert_backlog"), *more,
     )
 
 

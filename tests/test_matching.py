@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from supplylens.operators import catalog
 from supplylens.operators import matching as m
 
 RANGE = m.RANGE
@@ -146,3 +147,10 @@ def test_bulk_advisories_take_the_first_name(spark):
     affected, sources, cpe, mappings = bulk_tables(spark)
     got = {x["vuln_id"]: (x["status"], x["confidence"], x["match_type"]) for x in m.bulk_advisories(sources, m.build_vuln_index(affected), cpe, mappings).collect()}
     assert got == {"CVE-1": ("detected", "medium", "name:curl"), "CVE-2": ("detected", "low", "name:curl"), "CVE-3": ("detected", "low", "name:libcurl")}
+
+
+def test_ranges_without_an_order_are_left_out(spark):
+    rows = [("1.5", [("GIT", "1.0", "2.0", ""), ("SEMVER", "3.0", "4.0", "")]), ("1.5", [(None, "1.0", "2.0", "")]), ("1.5", None)]
+    df = spark.createDataFrame(rows, "upstream_version string, ranges array<struct<range_type:string,introduced:string,fixed:string,last_affected:string>>")
+    ordered = [k for k, fn in catalog.COMPARATORS.items() if fn is not None]
+    assert [r["affected"] for r in m.match_versions(df, ordered=ordered).collect()] == [False, True, False]

@@ -117,6 +117,19 @@ def test_rejects_keep_a_reason(spark):
     assert good.count() == 1 and sorted(r["reason"] for r in bad.collect()) == ["malformed record", "malformed record", "missing id", "unknown source"]
 
 
+def test_deep_trees_are_rejected(spark):
+    def record(i, depth):
+        node = {"cpeMatch": [{"vulnerable": True, "criteria": "cpe:2.3:a:v:p:1:*:*:*:*:*:*:*"}]}
+        for _ in range(depth):
+            node = {"children": [node]}
+        return ("nvd", json.dumps({"id": i, "configurations": [{"nodes": [node]}]}))
+
+    rows = spark.createDataFrame([record("CVE-1", S.NODE_DEPTH), record("CVE-2", S.NODE_DEPTH + 1), ("nvd", '{"id": "CVE-3"}'), ("what", "{}"), (None, "{}")], "source string, content string")
+    assert n.normalize_nvd(rows.limit(1))[1].count() == 1
+    got = sorted((json.loads(r["content"]).get("id", ""), r["reason"]) for r in n.rejects(rows).collect())
+    assert got == [("", "unknown source"), ("", "unknown source"), ("CVE-2", "configuration tree too deep")]
+
+
 def test_debian_list(spark):
     text = "CVE-2031-0007 (A gear slips)\n\t{DSA-77-1}\n\t- gear 4.2.0-7\n\t[trixie] - gear <not-affected> (Feature is newer)\n\tNOTE: https://example.org/gear\nnoise\n\t- lost 1\nCVE-2031-0008\n  - x <unfixed>\nCVE-2031-0007 (later)\n"
     lines = spark.createDataFrame([("f", i, line) for i, line in enumerate(text.split("\n"))], "file string, pos int, line string")

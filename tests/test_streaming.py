@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from supplylens.operators import normalize
 from supplylens.streaming import ingest, worklog
 
 T0 = dt.datetime(2024, 1, 1)
@@ -118,6 +119,34 @@ def test_ingest_resumes(spark, tmp_path):
     run()
     got = {r["vuln_id"]: r["package_name"] for r in ingest.current_affected(spark, f"{tmp_path}/out").collect()}
     assert got == {"X-0": "old", "X-1": "new", "X-2": "old"}
+    (tmp_path / "in/c.json").write_text("\n".join(json.dumps(r) for r in ({"source": "osv", "key": "b", "content": "{broken"}, {"source": "else", "key": "e", "content": "{}"}, record(5, "more"))))
+    run()
+    bad = {r["key"]: r["reason"] for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect()}
+    assert bad == {"b": "malformed record", "e": "unknown source"}
+    told = [(r["records"], r["rejected"]) for r in spark.read.schema(ingest.PROGRESS).json(f"{tmp_path}/out/progress").orderBy("records", "rejected").collect()]
+    assert told == [(1, 0), (3, 0), (3, 2)]
+
+
+def test_ingest_tells_the_error(spark, tmp_path):
+    def fails(df):
+        raise ValueError("no such feed")
+
+    normalize.register_normalizer("broken", fails)
+    try:
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in/a.json").write_text(json.dumps({"source": "broken", "key": "k", "content": "{}"}))
+        with pytest.raises(Exception, match="no such feed"):
+            ingest.ingest_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", "broken").awaitTermination(120)
+        row = spark.read.schema(ingest.PROGRESS).json(f"{tmp_path}/out/progress").first()
+        assert "no such feed" in row["error"] and row["records"] is None
+    finally:
+        del normalize.NORMALIZERS["broken"]
+
+
+def test_alerts_of_leases_and_claims(spark):
+    rows = spark.createDataFrame([("q", T0, "pending", 1.0, 1, True, 0.01), ("q", T0, "claimed", 1.0, 1, False, 0.5), ("r", T0, "claimed", 1.0, 1, False, None)], "queue string, ts timestamp, to_status string, duration double, attempts int, reaped boolean, claim_s double")
+    got = {r["queue"]: (r["reaped"], r["alert_reaped"], r["alert_claims"]) for r in worklog.alert_rules(rows, exact=True).collect()}
+    assert got == {"q": (1, True, True), "r": (0, False, False)}
 
 
 def test_lease_expiry(spark):

@@ -24,7 +24,7 @@ def same_rows(spark, sf_dir, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["scan_platforms", "affected_by_package", "affected_by_purl", "batch_query_affected", "batch_get", "tree_changes", "merge_coalesce", "merge_lww", "budgeted_top_k", "latency_quantiles", "alert_windows", "fold_requests", "replay_lifecycle", "resync_shard", "match_cves", "match_packages", "bulk_match", "bulk_advisories", "name_resolution"])
+@pytest.mark.parametrize("name", ["scan_platforms", "affected_by_package", "affected_by_purl", "batch_query_affected", "batch_get", "tree_changes", "merge_coalesce", "merge_lww", "budgeted_top_k", "latency_quantiles", "alert_windows", "fold_requests", "replay_lifecycle", "resync_shard", "match_cves", "match_packages", "bulk_match", "bulk_advisories", "name_resolution", "list_images", "review_mappings", "invalid_reviews", "apply_reviews"])
 def test_all_keys_are_asked(spark, sf_dir, name):
     same_rows(spark, sf_dir, name)
 
