@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.llm import chat_format, exact_dedup, flac, language_id, mixing, near_dedup, packing, pii, toxicity, url_filter
+from supplylens.llm import chat_format, exact_dedup, flac, language_id, lexical, metric_tree, mixing, near_dedup, packing, periodic, pii, toxicity, url_filter
 from supplylens.llm.common import is_training, table
 
 
@@ -65,6 +65,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_flac_media, op4_source_mixing, op5_toxicity, op6_chat_windows, op7_exact_dedup, op8_pii_spans, op9_minhash_near_dedup, op10_url_filter)}
+def op11_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = metric_tree.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return metric_tree.search(metric_tree.build(vectors, k=20), vectors.filter("vec_id % 20 = 0"), k=20)
 
-ORACLES = {"op4_source_mixing": mixing.ORACLE, "op6_chat_windows": chat_format.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_minhash_near_dedup": near_dedup.ORACLE}
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_flac_media, op4_source_mixing, op5_toxicity, op6_chat_windows, op7_exact_dedup, op8_pii_spans, op9_minhash_near_dedup, op10_url_filter, op11_metric_tree, op12_lexical_search, op13_periodic_runs)}
+
+ORACLES = {"op4_source_mixing": mixing.ORACLE, "op6_chat_windows": chat_format.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_minhash_near_dedup": near_dedup.ORACLE, "op11_metric_tree": metric_tree.ORACLE, "op12_lexical_search": lexical.ORACLE}
