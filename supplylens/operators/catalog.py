@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplylens.functions import version_key
+from supplylens.functions.ordering import order_key, order_of
 from supplylens.operators.cdc import tag_references
 from supplylens.operators.matching import scan_platforms
 from supplylens.operators.merge import insert_ignore
@@ -17,28 +17,19 @@ from supplylens.operators.windows import tag_history
 Scanner = Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]
 SCANNERS: dict[str, Scanner] = {"ranges": scan_platforms}
 
-#: Key expressions by range type; ranges of a type that is mapped to nothing cannot be compared.
-COMPARATORS: dict[str, Callable[[Column], Column] | None] = {"": version_key, "SEMVER": version_key, "ECOSYSTEM": version_key, "custom": version_key, "GIT": None, "git": None}
-
-
 def register_scanner(name: str, fn: Scanner) -> None:
     """Make a scanner known: (platform_packages, packages, affected, vulnerabilities) -> findings."""
     SCANNERS[name] = fn
 
 
-def range_key(bound: Column, range_type: Column) -> Column:
+def range_key(bound: Column, range_type: Column, ecosystem: Column | None = None) -> Column:
     """Sort key of a bound by its range's type; null where the type has no order."""
-    out = F.lit(None).cast("string")
-    for kind, key in COMPARATORS.items():
-        if key is not None:
-            out = F.when(F.coalesce(range_type, F.lit("")) == kind, key(bound)).otherwise(out)
-    return out
+    return order_key(bound, order_of(range_type, ecosystem))
 
 
 def drop_unordered_ranges(affected: DataFrame) -> DataFrame:
     """Affected rows without the ranges whose type has no order (commits)."""
-    ordered = [k for k, fn in COMPARATORS.items() if fn is not None]
-    return affected.withColumn("ranges", F.filter("ranges", lambda r: F.coalesce(r["range_type"], F.lit("")).isin(*ordered)))
+    return affected.withColumn("ranges", F.filter("ranges", lambda r: order_of(r["range_type"]).isNotNull()))
 
 
 def build_catalog(manifests: DataFrame, tags: DataFrame, sboms: DataFrame) -> dict[str, DataFrame]:

@@ -1,7 +1,10 @@
 """From vulnerabilities and source packages to advisories, as joins over all of them at once.
 
-Frames: ``affected`` (vuln_id, source, vendor, package_name, ranges: array<struct<introduced, fixed, last_affected>>), ``sources``
+Frames: ``affected`` (vuln_id, source, vendor, package_name, ranges, and what else normalisation gives), ``sources``
 (source_package, upstream_version, rpm_version), ``mappings`` (rpm_name, vuln_name), ``cpe`` (name, product).
+
+``ranges`` are structs with any of range_type, introduced, introduced_exclusive, fixed and last_affected: :func:`whole_ranges` fills in what is missing, so
+hand-made lists and those of ``normalize`` fit alike. Where ranges have a type, it (and for ``ECOSYSTEM`` the column ecosystem) chooses how versions are compared.
 """
 
 from __future__ import annotations
@@ -10,12 +13,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from supplylens.functions import append_unique, compare_versions, is_comparable, name_variants, severity_rank, suspicious_jump, version_key
+from supplylens.functions.ordering import ORDERS, order_key, order_of
 from supplylens.functions.text import strip_version_suffix
+from supplylens.operators.intervals import interval_join
 from supplylens.operators.lookups import dedupe_first, top_k_per_group
+from supplylens.sources.shared import materialize
 
-RANGE = "struct<introduced:string,fixed:string,last_affected:string>"
+#: A range with all its fields; ``order`` names the order of its bounds, null where they have none.
+RANGE = "struct<range_type:string,introduced:string,introduced_exclusive:boolean,fixed:string,last_affected:string,order:string>"
 # Parts of a vendor's name that speak against it unless the package bears them too.
 FOREIGN_VENDORS = ("npm", "uuidjs", "tagdiv", "org.")
 MAPPED = ("mapping", "direct", "cpe", "pattern")
@@ -33,26 +41,62 @@ def _text(c) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def keyed_ranges(ranges) -> Column:
-    """Ranges with the sort keys of their bounds and whether all bounds can be compared (``ok``), so that each key is worked out once."""
+def _fields(df: DataFrame) -> list[str]:
+    kind = df.schema["ranges"].dataType
+    return kind.elementType.names if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) else []
+
+
+def whole_ranges(df: DataFrame) -> DataFrame:
+    """``df`` with ``ranges`` as a list of :data:`RANGE`, whatever fields they had: missing texts are empty, missing flags false, null lists empty."""
+    have = _fields(df)
+    if "order" in have:
+        return df
+    text = lambda r, f: _text(r[f]) if f in have else F.lit("")
+    ecosystem = F.col("ecosystem") if "ecosystem" in df.columns else None
+
+    def whole(r):
+        fields = {
+            "range_type": text(r, "range_type"),
+            "introduced": text(r, "introduced"),
+            "introduced_exclusive": F.coalesce(r["introduced_exclusive"], F.lit(False)) if "introduced_exclusive" in have else F.lit(False),
+            "fixed": text(r, "fixed"),
+            "last_affected": text(r, "last_affected"),
+            "order": order_of(r["range_type"], ecosystem) if "range_type" in have else F.lit("pep440"),
+        }
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    none = F.array().cast(f"array<{RANGE}>")
+    return df.withColumn("ranges", F.coalesce(F.transform("ranges", whole), none) if have else none)
+
+
+def orders_in(df: DataFrame) -> tuple[str, ...]:
+    """The orders that the ranges of ``df`` can have: without types only that of PEP 440."""
+    return tuple(ORDERS) if {"range_type", "order"} & set(_fields(df)) else ("pep440",)
+
+
+def _key(c, r, orders: Sequence[str]) -> Column:
+    return version_key(c) if tuple(orders) == ("pep440",) else order_key(c, r["order"])
+
+
+def keyed_ranges(ranges, orders: Sequence[str] = ("pep440",)) -> Column:
+    """Whole ranges with the sort keys of their bounds and whether all bounds can be compared (``ok``), so that each key is worked out once."""
     return F.transform(
-        F.coalesce(ranges, F.array().cast(f"array<{RANGE}>")),
+        ranges,
         lambda r: F.struct(
-            _text(r["introduced"]).alias("introduced"),
-            _text(r["fixed"]).alias("fixed"),
-            _text(r["last_affected"]).alias("last_affected"),
-            (is_comparable(r["fixed"]) & is_comparable(r["introduced"]) & is_comparable(r["last_affected"])).alias("ok"),
-            version_key(r["introduced"]).alias("k_introduced"),
-            version_key(r["fixed"]).alias("k_fixed"),
-            version_key(r["last_affected"]).alias("k_last"),
+            *[r[f].alias(f) for f in ("introduced", "introduced_exclusive", "fixed", "last_affected", "order")],
+            _comparable(r).alias("ok"),
+            *[_key(r[f], r, orders).alias(k) for f, k in (("introduced", "k_introduced"), ("fixed", "k_fixed"), ("last_affected", "k_last"))],
         ),
     )
 
 
+def _comparable(r) -> Column:
+    return is_comparable(r["fixed"]) & is_comparable(r["introduced"]) & is_comparable(r["last_affected"]) & r["order"].isNotNull()
+
+
 def comparable_ranges(ranges) -> Column:
     """Ranges of which every bound can be compared."""
-    fit = lambda r: is_comparable(r["fixed"]) & is_comparable(r["introduced"]) & is_comparable(r["last_affected"])
-    return F.filter(F.coalesce(ranges, F.array().cast(f"array<{RANGE}>")), fit)
+    return F.filter(ranges, lambda r: is_comparable(r["fixed"]) & is_comparable(r["introduced"]) & is_comparable(r["last_affected"]))
 
 
 def _bounded(r) -> Column:
@@ -64,7 +108,8 @@ def _open(r) -> Column:
 
 
 def _quality(kept) -> Column:
-    return F.when(F.exists(kept, _bounded), "high").when(F.exists(kept, lambda r: _text(r["fixed"]) == "*"), "all_versions").when(F.exists(kept, _open), "low").otherwise("none")
+    has = lambda kind: F.coalesce(F.exists(kept, kind), F.lit(False))
+    return F.when(has(_bounded), "high").when(has(lambda r: _text(r["fixed"]) == "*"), "all_versions").when(has(_open), "low").otherwise("none")
 
 
 def classify_range_quality(ranges) -> Column:
@@ -72,28 +117,40 @@ def classify_range_quality(ranges) -> Column:
     return _quality(comparable_ranges(ranges))
 
 
-def is_affected(version, ranges, policy: str = "production", key=None) -> Column:
-    """struct<affected, fixed_version, quality, flags> of a version against the list of :func:`keyed_ranges`.
+def is_affected(version, ranges, policy: str = "production", keys: dict[str, Column] | None = None, honor_exclusive: bool = False) -> Column:
+    """struct<affected, fixed_version, quality, flags> of a version against the list of :func:`keyed_ranges`; ``keys`` are the version's by order.
 
-    Introductions and last versions are inclusive, fixes exclusive. ``production``: the first bounded range that holds the version decides, and if
+    Introductions and last versions are inclusive, fixes exclusive; with ``honor_exclusive`` introductions that are marked so are exclusive. ``production``: the first bounded range that holds the version decides, and if
     there are bounded ranges their "no" is final; then ``*`` (``no-fix-available``), then a reached introduction (``no-fixed-version``). ``union`` puts ``*``
     before the bounded "no"; ``first`` does so too, compares all bounds, takes an introduction of ``0`` as none and reports the first bounded fix with a "no".
     """
     version = F.col(version) if isinstance(version, str) else version
     ranges = F.col(ranges) if isinstance(ranges, str) else ranges
-    key = version_key(version) if key is None else key
+    keys = keys or {"pep440": version_key(version)}
+
+    def key(r):
+        if len(keys) == 1:
+            return next(iter(keys.values()))
+        return F.coalesce(*[F.when(r["order"] == o, k) for o, k in keys.items()])
+
+    def compare(r, bound, k):
+        return compare_versions(version, r[bound], key(r), r[k])
+
     kept = ranges if policy == "first" else F.filter(ranges, lambda r: r["ok"])
     bounded = F.filter(kept, _bounded)
 
     def inside(r):
         free = r["introduced"].isin("", "0") if policy == "first" else r["introduced"] == ""
-        after = free | (compare_versions(version, r["introduced"], key, r["k_introduced"]) >= 0)
-        before = F.when(r["fixed"] != "", compare_versions(version, r["fixed"], key, r["k_fixed"]) < 0).otherwise(compare_versions(version, r["last_affected"], key, r["k_last"]) <= 0)
-        return after & before
+        before = F.when(r["fixed"] != "", compare(r, "fixed", "k_fixed") < 0).otherwise(compare(r, "last_affected", "k_last") <= 0)
+        return (free | begun(r)) & before
+
+    def begun(r):
+        sign = compare(r, "introduced", "k_introduced")
+        return F.when(r["introduced_exclusive"], sign > 0).otherwise(sign >= 0) if honor_exclusive else sign >= 0
 
     hit = F.get(F.filter(bounded, inside), F.lit(0))
     star = F.exists(kept, lambda r: r["fixed"] == "*")
-    reached = F.exists(F.filter(kept, _open), lambda r: compare_versions(version, r["introduced"], key, r["k_introduced"]) >= 0)
+    reached = F.exists(F.filter(kept, _open), begun)
     answer = lambda yes, fixed, quality, *flags: F.struct(
         F.lit(yes).alias("affected"), fixed.alias("fixed_version"), F.lit(quality).alias("quality"), F.array(*map(F.lit, flags)).cast("array<string>").alias("flags")
     )
@@ -109,30 +166,42 @@ def is_affected(version, ranges, policy: str = "production", key=None) -> Column
     return out.when(reached, answer(True, none, "low", "no-fixed-version")).otherwise(answer(False, none, "none"))
 
 
-def match_versions(candidates: DataFrame, policy: str = "production", ordered: Sequence[str] | None = None) -> DataFrame:
+ANSWER = ("affected", "fixed_version", "quality", "flags")
+#: Flag on ranges in an order of the vendor's own, which a person should look at.
+OWN_ORDER = "vendor-specific-order"
+
+
+def match_versions(candidates: DataFrame, policy: str = "production", ordered: Sequence[str] | None = None, honor_exclusive: bool = False) -> DataFrame:
     """Add affected, fixed_version, quality and flags to rows with upstream_version and ranges.
 
-    With ``ordered`` only ranges of these types are compared (no type: ""); by default all are, whatever their type says.
+    Typed ranges are compared in the order that goes with their type; commits in none. Ranges of type ``custom`` add a flag for review. With
+    ``ordered`` only ranges of these types are compared (no type: ""). Flags that the rows bear already go on as ``record_flags``.
 
     Keys stand in columns of their own, which the optimizer keeps apart because they are used more than once. Where a join multiplies
     rows, :func:`with_range_keys` and :func:`with_version_key` put them there before it.
     """
-    rows = candidates if "__key" in candidates.columns else with_version_key(candidates)
+    orders = [c.removeprefix("__key_") for c in candidates.columns if c.startswith("__key_")]
+    rows = candidates if orders else with_version_key(candidates, orders_in(candidates))
+    orders = orders or list(orders_in(candidates))
     rows = rows if "__ranges" in rows.columns else with_range_keys(rows, ordered)
-    rows = rows.withColumn("__m", is_affected("upstream_version", "__ranges", policy, F.col("__key")))
-    return rows.select(*[c for c in candidates.columns if c not in ("__key", "__ranges")], "__m.*")
+    rows = rows.withColumn("__m", is_affected("upstream_version", "__ranges", policy, {o: F.col(f"__key_{o}") for o in orders}, honor_exclusive))
+    own = [c for c in rows.columns if not c.startswith("__key_") and c not in ("__ranges", "__m", *ANSWER[:3])]
+    out = rows.select(*[F.col(c).alias("record_flags") if c == "flags" else F.col(c) for c in own], "__m.*")
+    if "range_type" not in _fields(candidates):
+        return out
+    vendors = F.exists("ranges", lambda r: F.lower(_text(r["range_type"])) == "custom")
+    return out.withColumn("flags", F.when(F.coalesce(vendors, F.lit(False)), append_unique("flags", F.array(F.lit(OWN_ORDER)))).otherwise(F.col("flags")))
 
 
 def with_range_keys(df: DataFrame, ordered: Sequence[str] | None = None) -> DataFrame:
-    ranges = F.col("ranges")
-    if ordered is not None:
-        fit = F.filter(ranges, lambda r: _text(r["range_type"]).isin(*ordered))
-        ranges = F.transform(fit, lambda r: F.struct(*[r[c].alias(c) for c in ("introduced", "fixed", "last_affected")]))
-    return df.withColumn("__ranges", keyed_ranges(ranges))
+    orders = orders_in(df)
+    rows = whole_ranges(df)
+    ranges = F.col("ranges") if ordered is None else F.filter("ranges", lambda r: r["range_type"].isin(*ordered))
+    return rows.withColumn("__ranges", keyed_ranges(ranges, orders))
 
 
-def with_version_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("__key", version_key("upstream_version"))
+def with_version_key(df: DataFrame, orders: Sequence[str] = ("pep440",)) -> DataFrame:
+    return df.withColumns({f"__key_{o}": order_key("upstream_version", o) for o in orders})
 
 
 # Names
@@ -206,9 +275,9 @@ def vendor_fits(vendor, rpm, name) -> Column:
 
 def cve_details(affected: DataFrame) -> DataFrame:
     """(vuln_id, name, vendor, ranges): lower-cased names and vendors of each vulnerability with the ranges of each pair, in order of source."""
-    rows = affected.select("vuln_id", F.lower("package_name").alias("name"), F.lower(_text(F.col("vendor"))).alias("vendor"), "source", "ranges")
+    rows = whole_ranges(affected).select("vuln_id", F.lower("package_name").alias("name"), F.lower(_text(F.col("vendor"))).alias("vendor"), "source", "ranges")
     grouped = rows.groupBy("vuln_id", "name", "vendor").agg(F.sort_array(F.collect_list(F.struct("source", "ranges"))).alias("r"))
-    return grouped.select("vuln_id", "name", "vendor", F.flatten(F.transform("r", lambda x: F.coalesce(x["ranges"], F.array().cast(f"array<{RANGE}>")))).alias("ranges"))
+    return grouped.select("vuln_id", "name", "vendor", F.flatten(F.transform("r", lambda x: x["ranges"])).alias("ranges"))
 
 
 def select_vendor_ranges(candidates: DataFrame, affected: DataFrame, scope: str = "cve") -> DataFrame:
@@ -240,7 +309,7 @@ def vulns_for_package(names: DataFrame, affected: DataFrame) -> DataFrame:
 
     Where a vulnerability lists several vendors for the name and some of them resembles the package or the name, entries of others are left out.
     """
-    rows = affected.select("vuln_id", F.lower("package_name").alias("vuln_name"), F.lower(_text(F.col("vendor"))).alias("vendor"), "source", "ranges")
+    rows = whole_ranges(affected).select("vuln_id", F.lower("package_name").alias("vuln_name"), F.lower(_text(F.col("vendor"))).alias("vendor"), "source", "ranges")
     rows = names.join(rows, "vuln_name")
     r, n, v = F.lower("source_package"), F.col("vuln_name"), F.col("vendor")
     like = F.contains(v, r) | F.contains(r, v) | F.contains(v, n) | F.contains(n, v)
@@ -248,7 +317,7 @@ def vulns_for_package(names: DataFrame, affected: DataFrame) -> DataFrame:
     rows = rows.withColumn("like", like).withColumn("some", F.max(F.col("like") & (v != "")).over(w)).withColumn("vendors", F.size(F.collect_set("vendor").over(w)))
     rows = rows.filter((F.col("vendors") <= 1) | ~F.col("some") | F.col("like"))
     grouped = rows.groupBy("source_package", "vuln_id", F.col("vuln_name").alias("matched_name"), "match_source").agg(F.sort_array(F.collect_list(F.struct("source", "vendor", "ranges"))).alias("r"))
-    return grouped.withColumn("ranges", F.flatten(F.transform("r", lambda x: F.coalesce(x["ranges"], F.array().cast(f"array<{RANGE}>"))))).drop("r")
+    return grouped.withColumn("ranges", F.flatten(F.transform("r", lambda x: x["ranges"]))).drop("r")
 
 
 # Decisions
@@ -260,7 +329,8 @@ def disposition(matched: DataFrame) -> DataFrame:
     Without ranges a match is only detected. Not affected: sure if the ranges are good, with the first real fix. Affected: sure if good; without a
     fix, on weak ranges or through an uncertain name only detected, and also when the fix is suspiciously far ahead.
     """
-    quality = classify_range_quality(F.col("ranges"))
+    matched = whole_ranges(matched)
+    quality = _quality(F.filter("ranges", _comparable))
     first_fix = F.get(F.filter("ranges", lambda r: (_text(r["fixed"]) != "") & (r["fixed"] != "*")), F.lit(0))["fixed"]
     unknown = F.array_contains("flags", "no-ranges")
     no = ~F.col("affected")
@@ -283,11 +353,11 @@ def disposition(matched: DataFrame) -> DataFrame:
 ADVISORY = ["source_package", "vuln_id", "status", "confidence", "match_source", "upstream_version", "rpm_version", "upstream_fixed_version", "flags", "notes"]
 
 
-def match_cves(affected: DataFrame, sources: DataFrame, mappings: DataFrame, scope: str = "cve") -> DataFrame:
+def match_cves(affected: DataFrame, sources: DataFrame, mappings: DataFrame, scope: str = "cve", honor_exclusive: bool = False) -> DataFrame:
     """Advisories for every vulnerability and package: reverse names, vendor's ranges, version, decision."""
     names = affected.select("vuln_id", F.col("package_name").alias("vuln_name")).filter("vuln_name != ''")
     found = find_affected_rpms(names, mappings, sources)
-    return disposition(match_versions(select_vendor_ranges(found, affected, scope))).select(*ADVISORY)
+    return disposition(match_versions(select_vendor_ranges(found, affected, scope), honor_exclusive=honor_exclusive)).select(*ADVISORY)
 
 
 def match_packages(sources: DataFrame, affected: DataFrame, cpe: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -302,11 +372,11 @@ def match_packages(sources: DataFrame, affected: DataFrame, cpe: DataFrame, mapp
 
 def build_vuln_index(affected: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """(name, vuln_id, sources, ranges); restricted to some sources, placeholder names ``n/a`` are left out too."""
-    rows = affected.withColumn("name", F.lower("package_name")).filter("name != ''")
+    rows = whole_ranges(affected).withColumn("name", F.lower("package_name")).filter("name != ''")
     if sources is not None:
         rows = rows.filter(F.col("source").isin(*sources) & (F.col("name") != "n/a"))
     grouped = rows.groupBy("name", "vuln_id").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.sort_array(F.collect_list(F.struct("source", "ranges"))).alias("r"))
-    return grouped.withColumn("ranges", F.flatten(F.transform("r", lambda x: F.coalesce(x["ranges"], F.array().cast(f"array<{RANGE}>"))))).drop("r")
+    return grouped.withColumn("ranges", F.flatten(F.transform("r", lambda x: x["ranges"]))).drop("r")
 
 
 def _candidate_names(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -323,7 +393,7 @@ def _candidate_names(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappi
 
 def bulk_match(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappings: DataFrame) -> DataFrame:
     """Prototype rule: affected pairs over the union of all candidate names; low confidence exactly when only an introduction is known."""
-    rows = with_version_key(_candidate_names(sources, index, cpe, mappings)).join(with_range_keys(index).withColumnRenamed("name", "vuln_name"), "vuln_name")
+    rows = with_version_key(_candidate_names(sources, index, cpe, mappings), orders_in(index)).join(with_range_keys(index).withColumnRenamed("name", "vuln_name"), "vuln_name")
     hit = match_versions(rows, "union").filter("affected")
     hit = hit.withColumn("confidence", F.when(F.array_contains("flags", "no-fixed-version"), "low").otherwise("medium"))
     return dedupe_first(hit, ["source_package", "vuln_id"], ["rank", "vuln_name"]).select("source_package", "vuln_id", "vuln_name", "fixed_version", "confidence")
@@ -331,7 +401,7 @@ def bulk_match(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappings: D
 
 def bulk_advisories(sources: DataFrame, index: DataFrame, cpe: DataFrame, mappings: DataFrame) -> DataFrame:
     """Generator rule: the first candidate name that lists a vulnerability decides it; entries without ranges are skipped."""
-    rows = with_version_key(_candidate_names(sources, index, cpe, mappings)).join(with_range_keys(index).withColumnRenamed("name", "vuln_name"), "vuln_name")
+    rows = with_version_key(_candidate_names(sources, index, cpe, mappings), orders_in(index)).join(with_range_keys(index).withColumnRenamed("name", "vuln_name"), "vuln_name")
     first = dedupe_first(rows, ["source_package", "vuln_id"], ["rank", "vuln_name"]).filter(F.size("ranges") > 0)
     out = match_versions(first, "first")
     weak = F.array_contains("flags", "no-fixed-version") | F.array_contains("flags", "no-fix-available")
@@ -449,17 +519,78 @@ def source_packages(packages: DataFrame, parsed: Column) -> DataFrame:
     return grouped
 
 
-def scan_platforms(platform_packages: DataFrame, packages: DataFrame, affected: DataFrame, v: DataFrame) -> DataFrame:
+def _rule_intervals(entries: DataFrame) -> DataFrame:
+    """(group, order, entry, seq, fixed, lo, lo_open, hi, hi_closed) of the production rule: bounded ranges, else all versions, else from each introduction on.
+
+    ``entries``: group, entry and ``__ranges`` from :func:`with_range_keys`. Null bounds are open ends.
+    """
+    kept = F.filter("__ranges", lambda r: r["ok"])
+    bounded, star = F.exists(kept, _bounded), F.exists(kept, lambda r: r["fixed"] == "*")
+    chosen = F.when(bounded, F.filter(kept, _bounded)).when(star, F.filter(kept, lambda r: r["fixed"] == "*")).otherwise(F.filter(kept, _open))
+    rows = entries.withColumn("__all", star & ~bounded).select("group", "entry", "__all", F.posexplode(chosen).alias("seq", "r"))
+    has = lambda c: F.col(f"r.{c}") != ""
+    below = has("fixed") & (F.col("r.fixed") != "*")
+    return rows.select(
+        "group",
+        F.col("r.order").alias("order"),
+        "entry",
+        "seq",
+        F.when(below, F.col("r.fixed")).otherwise("").alias("fixed"),
+        F.when(has("introduced") & ~F.col("__all"), F.col("r.k_introduced")).alias("lo"),
+        F.col("r.introduced_exclusive").alias("lo_open"),
+        F.when(below, F.col("r.k_fixed")).when(has("last_affected") & ~F.col("__all"), F.col("r.k_last")).alias("hi"),
+        (~below & has("last_affected")).alias("hi_closed"),
+    )
+
+
+def affected_versions(versions: DataFrame, entries: DataFrame, honor_exclusive: bool = False) -> DataFrame:
+    """(group, upstream_version, entry, fixed_version) where an entry's ranges hold a version of its group, by the production rule.
+
+    ``versions``: group and upstream_version, each once; ``entries``: group, entry (an id) and ranges. What has sort keys goes through :func:`interval_join`: a
+    version meets only the ranges that hold it, and no row or task holds all ranges of a group. Versions and bounds without keys, and
+    entries that mix orders, are compared pair by pair.
+    """
+    orders = orders_in(entries)
+    keyed = with_range_keys(entries)
+    bound = lambda r, c, k: (r[c].isin("", "*")) | r[k].isNotNull()
+    sound = F.forall("__ranges", lambda r: ~r["ok"] | (bound(r, "introduced", "k_introduced") & bound(r, "fixed", "k_fixed") & bound(r, "last_affected", "k_last")))
+    kinds = F.array_distinct(F.transform(F.filter("__ranges", lambda r: r["ok"]), lambda r: r["order"]))
+    keyed = materialize(keyed.withColumns({"__sound": sound & (F.size(kinds) <= 1), "__order": F.coalesce(F.get(kinds, F.lit(0)), F.lit("pep440"))}))
+    # A version's key in each order that its group's ranges have.
+    used = keyed.filter("__sound").select("group", F.col("__order").alias("order")).distinct()
+    points = versions.join(used, "group")
+    points = materialize(points.withColumn("key", order_key("upstream_version", "pep440") if orders == ("pep440",) else order_key("upstream_version", F.col("order"))))
+    intervals = _rule_intervals(keyed.filter("__sound"))
+    if not honor_exclusive:
+        intervals = intervals.withColumn("lo_open", F.lit(False))
+    held = interval_join(points.filter("key is not null"), intervals, ["group", "order"], "key")
+    # The first range that holds the version decides.
+    found = held.groupBy("group", "upstream_version", "entry").agg(F.min_by("fixed", "seq").alias("fixed_version"))
+    # What has no key: entries that aren't sound meet all versions of their group, sound ones those that have none in their order.
+    loose = points.filter("key is null").join(keyed.filter("__sound").withColumnRenamed("__order", "order"), ["group", "order"]).drop("key", "order")
+    rest = versions.join(keyed.filter("not __sound").drop("__order"), "group").unionByName(loose, allowMissingColumns=True)
+    plain = match_versions(with_version_key(rest, orders), honor_exclusive=honor_exclusive).filter("affected")
+    return found.unionByName(plain.select("group", "upstream_version", "entry", "fixed_version"))
+
+
+def scan_platforms(platform_packages: DataFrame, packages: DataFrame, affected: DataFrame, v: DataFrame, honor_exclusive: bool = False) -> DataFrame:
     """Findings: packages of each platform that an affected entry of the same purl, else name, covers by version.
 
-    Packages are matched once each, then spread over their platforms. Several fixes are joined by a comma.
+    Different versions of a name are matched once each (:func:`affected_versions`), then spread over packages and platforms. Several fixes are joined by a comma.
     """
-    rows = with_range_keys(affected.select("vuln_id", F.col("purl").alias("a_purl"), F.lower("package_name").alias("a_name"), "ranges").distinct())
-    p = with_version_key(packages.select("package_id", "name", "version", F.col("version").alias("upstream_version"), "purl"))
-    by_purl = p.join(rows.filter("a_purl != ''"), F.col("purl") == F.col("a_purl"))
-    by_name = p.join(rows.filter("coalesce(a_purl, '') = ''"), F.lower("name") == F.col("a_name"))
-    hit = match_versions(by_purl.unionByName(by_name)).filter("affected")
-    fixes = hit.groupBy("package_id", "name", "version", "vuln_id").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("fixed_version") != "", F.col("fixed_version")))), ", ").alias("fixed_versions"))
+    has_purl = F.coalesce("purl", F.lit("")) != ""
+    group = F.when(has_purl, F.concat(F.lit("purl "), "purl")).otherwise(F.concat(F.lit("name "), F.lower("package_name")))
+    whole = whole_ranges(affected).select(group.alias("group"), "vuln_id", "ranges").filter("group is not null").distinct()
+    # Entries of one group with equal ranges are one entry to the search, whatever their vulnerability.
+    rows = whole.withColumn("entry", F.sha2(F.to_json(F.struct("group", "ranges")), 256))
+    names = F.filter(F.array(F.when(has_purl, F.concat(F.lit("purl "), "purl")), F.concat(F.lit("name "), F.lower("name"))), lambda g: g.isNotNull())
+    p = packages.select("package_id", "name", "version", F.explode(names).alias("group"))
+    versions = p.select("group", F.col("version").alias("upstream_version")).distinct().join(rows.select("group").distinct(), "group", "left_semi")
+    hit = affected_versions(versions, rows.select("group", "entry", "ranges").distinct(), honor_exclusive).join(rows.select("entry", "vuln_id"), "entry")
+    fixed = lambda c: F.array_join(F.sort_array(c), ", ")
+    hit = hit.groupBy("group", "upstream_version", "vuln_id").agg(F.collect_set(F.when(F.col("fixed_version") != "", F.col("fixed_version"))).alias("fixes"))
+    fixes = p.join(hit.withColumnRenamed("upstream_version", "version"), ["group", "version"])
+    fixes = fixes.groupBy("package_id", "name", "version", "vuln_id").agg(fixed(F.array_distinct(F.flatten(F.collect_list("fixes")))).alias("fixed_versions"))
     severity = v.select(F.col("id").alias("vuln_id"), F.get("severity", F.lit(0))["type"].alias("severity"))
     return platform_packages.select("platform_id", "package_id").distinct().join(fixes, "package_id").join(severity, "vuln_id", "left").select("platform_id", "vuln_id", F.col("name").alias("package_name"), F.col("version").alias("package_version"), "fixed_versions", "severity")
 

@@ -15,17 +15,31 @@ from pyspark.sql import functions as F
 REVIEW_STATUSES = ("affected", "not-affected", "fixed", "under-review", "detected")
 
 
+def _without(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys none of the others has; a null key equals a null key, so that replays find what they added."""
+    there = others.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return rows.join(there, on, "left_anti")
+
+
 def merge_lww(target: DataFrame, source: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The row with the largest ``seq`` of each key wins; the source wins ties, and nulls lose. Of rows of one side that tie, the first by their values wins."""
     both = target.withColumn("__side", F.lit(0)).unionByName(source.select(*target.columns).withColumn("__side", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(seq), F.desc("__side"), F.to_json(F.struct(*target.columns)))
-    return both.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__side")
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(seq), F.desc("__side"))
+    best = both.withColumn("__rank", F.rank().over(w)).filter("__rank = 1").drop("__rank", "__side")
+    # Only rows that tie are compared by their values.
+    many = Window.partitionBy(*keys)
+    best = best.withColumn("__n", F.count("*").over(many))
+    tie = F.when(F.col("__n") > 1, F.to_json(F.struct(*target.columns)))
+    return best.withColumn("__rank", F.row_number().over(many.orderBy(tie))).filter("__rank = 1").drop("__rank", "__n")
 
 
 def replace_by_source(target: DataFrame, source: DataFrame, vuln: str = "vuln_id", src: str = "source") -> DataFrame:
     """All rows of each (vulnerability, source) in the source replace those of the target; other sources stay."""
-    touched = source.select(vuln, src).distinct()
-    return target.join(touched, [vuln, src], "left_anti").unionByName(source.select(*target.columns))
+    return _without(target, source, [vuln, src]).unionByName(source.select(*target.columns))
 
 
 def merge_coalesce(target: DataFrame, source: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -40,15 +54,18 @@ def merge_coalesce(target: DataFrame, source: DataFrame, keys: Sequence[str], co
 def merge_unreviewed(target: DataFrame, source: DataFrame, keys: Sequence[str] = ("source_package", "vuln_id"), reviewed: str = "reviewed_at") -> DataFrame:
     """The source replaces rows, except those that bear a review; new rows are added."""
     guarded = target.filter(F.col(reviewed).isNotNull())
-    fresh = source.select(*target.columns).join(guarded.select(*keys), list(keys), "left_anti")
-    stay = target.join(fresh.select(*keys), list(keys), "left_anti")
-    return stay.unionByName(fresh)
+    fresh = _without(source.select(*target.columns), guarded, keys)
+    return _without(target, fresh, keys).unionByName(fresh)
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the source whose key is new, one for each key; nothing is ever removed or changed."""
-    new = source.select(*target.columns).join(target.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
-    return target.unionByName(new)
+    """Rows of the source whose key is new, one for each key (of several the first by their values); nothing is ever removed or changed."""
+    new = _without(source.select(*target.columns), target, keys)
+    rest = [c for c in target.columns if c not in keys]
+    if not rest:
+        return target.unionByName(new.distinct())
+    first = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first"))
+    return target.unionByName(first.select(*keys, "__first.*").select(*target.columns))
 
 
 insert_absent = insert_ignore

@@ -115,7 +115,7 @@ def candidates(t: Tables) -> DataFrame:
     """Packages with their ranges in order of ``seq``; packages without ranges have an empty list."""
     ranges = t.ranges.groupBy("package_id").agg(F.sort_array(F.collect_list(F.struct("seq", "introduced", "fixed", "last_affected"))).alias("r"))
     ranges = ranges.select("package_id", F.transform("r", lambda x: F.struct(x["introduced"].alias("introduced"), x["fixed"].alias("fixed"), x["last_affected"].alias("last_affected"))).alias("ranges"))
-    rows = t.packages.join(ranges, "package_id", "left").withColumn("ranges", F.coalesce("ranges", F.array().cast(f"array<{matching.RANGE}>")))
+    rows = t.packages.join(ranges, "package_id", "left")
     return rows.withColumnRenamed("version", "upstream_version")
 
 
@@ -243,7 +243,7 @@ def with_ranges(t: Tables) -> DataFrame:
     """Affected entries with one range each, from their package's number."""
     n = F.regexp_extract("package_name", r"(\d+)$", 1).try_cast("int")
     one = F.struct(F.lit("0").alias("introduced"), F.concat((F.coalesce(n, F.lit(0)) % 60).cast("string"), F.lit(".5")).alias("fixed"), F.lit("").alias("last_affected"))
-    return t.affected.withColumn("ranges", F.when(n % 9 == 0, F.array().cast(f"array<{matching.RANGE}>")).otherwise(F.array(one)))
+    return t.affected.withColumn("ranges", F.filter(F.array(one), lambda r: F.coalesce(n % 9 != 0, F.lit(True))))
 
 
 #: What becomes of e (source_package, vuln_id, match_source, num): ``num`` is the package's number, of which every ninth has no range.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplylens.functions import is_valid_transition
-from supplylens.operators import aggregates as agg
+from supplylens.operators import aggregates as agg, bucketed
 from supplylens.operators import cdc, joins, lookups, merge, windows
 from supplylens.plans.standins import expand, standin
 from supplylens.streaming import worklog
@@ -705,6 +705,33 @@ def merge_lww(spark, sf_dir):
     return merge.merge_lww(c, delta, ["c_custkey"], "seq").select("c_custkey", "c_acctbal")
 
 
+def _merged(target: DataFrame, source: DataFrame, keys: list[str], rule, name: str) -> DataFrame:
+    """The target as a bucketed table in the shared folder after one merge of the source."""
+    spark = target.sparkSession
+    path = bucketed.scratch_path(spark, name)
+    bucketed.create_table(target, path, keys, buckets=8)
+    bucketed.apply_merge(spark, path, source, rule)
+    return bucketed.read_table(spark, path)
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal + 1 END ELSE c_acctbal END AS c_acctbal FROM customer
+""")
+def merge_file_lww(spark, sf_dir):
+    c = Tables(spark, sf_dir).customer.withColumn("seq", F.lit(1))
+    delta = spark.sql(DELTA.format("{c}"), c=c.drop("seq")).withColumn("seq", F.lit(2))
+    return _merged(c, delta, ["c_custkey"], lambda t, s: merge.merge_lww(t, s, ["c_custkey"], "seq"), "lww").select("c_custkey", "c_acctbal")
+
+
+@query("""
+SELECT vuln_id, source, package_name FROM affected WHERE NOT (source = 'osv' AND vuln_id LIKE '%7') UNION ALL SELECT DISTINCT vuln_id, source, 'replaced' FROM affected WHERE source = 'osv' AND vuln_id LIKE '%7'
+""")
+def merge_file_by_source(spark, sf_dir):
+    a = Tables(spark, sf_dir).affected.select("vuln_id", "source", "package_name")
+    new = a.filter("source = 'osv' and vuln_id like '%7'").select("vuln_id", "source", F.lit("replaced").alias("package_name")).distinct()
+    return _merged(a, new, ["vuln_id", "source"], merge.replace_by_source, "by-source")
+
+
 @query("""
 SELECT vuln_id, source, package_name FROM affected WHERE NOT (source = 'osv' AND vuln_id LIKE '%7') UNION ALL SELECT DISTINCT vuln_id, source, 'replaced' FROM affected WHERE source = 'osv' AND vuln_id LIKE '%7'
 """)
