@@ -566,7 +566,10 @@ def affected_versions(versions: DataFrame, entries: DataFrame, honor_exclusive:
     held = interval_join(points.filter("key is not null"), intervals, ["group", "order"], "key")
     # The first range that holds the version decides.
     found = held.groupBy("group", "upstream_version", "entry").agg(F.min_by("fixed", "seq").alias("fixed_version"))
+    found = found.select("group", "upstream_version", "entry", "fixed_version")
     # What has no key: entries that aren't sound meet all versions of their group, sound ones those that have none in their order.
+    if keyed.filter("not __sound").isEmpty() and points.filter("key is null").isEmpty():
+        return found
     loose = points.filter("key is null").join(keyed.filter("__sound").withColumnRenamed("__order", "order"), ["group", "order"]).drop("key", "order")
     rest = versions.join(keyed.filter("not __sound").drop("__order"), "group").unionByName(loose, allowMissingColumns=True)
     plain = match_versions(with_version_key(rest, orders), honor_exclusive=honor_exclusive).filter("affected")
@@ -587,10 +590,9 @@ def scan_platforms(platform_packages: DataFrame, packages: DataFrame, affected:
     p = packages.select("package_id", "name", "version", F.explode(names).alias("group"))
     versions = p.select("group", F.col("version").alias("upstream_version")).distinct().join(rows.select("group").distinct(), "group", "left_semi")
     hit = affected_versions(versions, rows.select("group", "entry", "ranges").distinct(), honor_exclusive).join(rows.select("entry", "vuln_id"), "entry")
-    fixed = lambda c: F.array_join(F.sort_array(c), ", ")
-    hit = hit.groupBy("group", "upstream_version", "vuln_id").agg(F.collect_set(F.when(F.col("fixed_version") != "", F.col("fixed_version"))).alias("fixes"))
-    fixes = p.join(hit.withColumnRenamed("upstream_version", "version"), ["group", "version"])
-    fixes = fixes.groupBy("package_id", "name", "version", "vuln_id").agg(fixed(F.array_distinct(F.flatten(F.collect_list("fixes")))).alias("fixed_versions"))
+    hit = p.join(hit.withColumnRenamed("upstream_version", "version"), ["group", "version"])
+    fixes = F.array_join(F.sort_array(F.collect_set(F.when(F.col("fixed_version") != "", F.col("fixed_version")))), ", ")
+    fixes = hit.groupBy("package_id", "name", "version", "vuln_id").agg(fixes.alias("fixed_versions"))
     severity = v.select(F.col("id").alias("vuln_id"), F.get("severity", F.lit(0))["type"].alias("severity"))
     return platform_packages.select("platform_id", "package_id").distinct().join(fixes, "package_id").join(severity, "vuln_id", "left").select("platform_id", "vuln_id", F.col("name").alias("package_name"), F.col("version").alias("package_version"), "fixed_versions", "severity")
 

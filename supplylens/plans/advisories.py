@@ -305,13 +305,13 @@ def bulk_advisories(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT vuln_id, CAST(substr(package_name, 4) AS INT) AS num FROM affected WHERE package_name <> '' AND purl = ''), hit AS (SELECT DISTINCT package_id, vuln_id, num FROM packages JOIN a ON num = package_id % 200 WHERE num % 9 <> 0 AND code < (num % 60) * 10000 + 500)
+WITH a AS (SELECT DISTINCT vuln_id, CAST(substr(package_name, 4) AS INT) AS num FROM affected WHERE package_name <> '' AND purl = ''), hit AS (SELECT DISTINCT package_id, vuln_id, num FROM packages JOIN a ON num = package_id WHERE num % 9 <> 0 AND code < (num % 60) * 10000 + 500)
 SELECT platform_id, count(*) AS findings, count(DISTINCT vuln_id) AS vulnerabilities, CAST(sum(CAST(substr(vuln_id, 10) AS BIGINT) * (num + 1)) AS BIGINT) AS mark FROM platform_packages JOIN hit USING (package_id) GROUP BY platform_id
 """)
 def scan_platforms(spark, sf_dir):
     """The findings of every platform, counted; ``mark`` is a sum that differs where vulnerabilities or packages do."""
     t = Tables(spark, sf_dir)
-    packages = t.packages.withColumn("name", F.concat(F.lit("PKG"), (F.col("package_id") % 200).cast("string")))
+    packages = t.packages.withColumn("name", F.concat(F.lit("PKG"), F.col("package_id").cast("string")))
     v = t.vulnerabilities.select("id").withColumn("severity", F.array().cast("array<struct<type:string,score:string>>"))
     found = matching.scan_platforms(t.platform_packages, packages, with_ranges(t).filter("package_name != ''"), v)
     mark = F.substring("vuln_id", 10, 20).cast("long") * (F.substring("package_name", 4, 20).cast("long") + 1)

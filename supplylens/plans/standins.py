@@ -36,10 +36,10 @@ STANDINS = {
           CASE WHEN seq % 6 = 1 THEN (seq % 30 + 10) * 10000 + 501 ELSE 0 END AS last_code
         FROM (SELECT DISTINCT l_partkey AS package_id, l_suppkey AS seq FROM lineitem WHERE l_partkey % 11 <> 0 AND l_suppkey % 3 = l_partkey % 3)""",
     "affected": """
-        SELECT 'CVE-2024-' || CAST(l_orderkey % 400 AS STRING) AS vuln_id, CASE WHEN l_linenumber % 3 = 0 THEN 'nvd' WHEN l_linenumber % 3 = 1 THEN 'osv' ELSE 'ghsa' END AS source,
+        SELECT 'CVE-2024-' || CAST(l_orderkey AS STRING) AS vuln_id, CASE WHEN l_linenumber % 3 = 0 THEN 'nvd' WHEN l_linenumber % 3 = 1 THEN 'osv' ELSE 'ghsa' END AS source,
           CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE 'vendor' || CAST(l_suppkey % 5 AS STRING) END AS vendor, CASE WHEN l_suppkey % 3 = 0 THEN 'npm' WHEN l_suppkey % 3 = 1 THEN 'PyPI' ELSE '' END AS ecosystem,
-          CASE WHEN l_partkey % 37 = 0 THEN '' ELSE 'pkg' || CAST(l_partkey % 200 AS STRING) END AS package_name,
-          CASE WHEN l_partkey % 2 = 0 THEN 'pkg:rpm/p' || CAST(l_partkey % 200 AS STRING) ELSE '' END AS purl
+          CASE WHEN l_partkey % 37 = 0 THEN '' ELSE 'pkg' || CAST(l_partkey AS STRING) END AS package_name,
+          CASE WHEN l_partkey % 2 = 0 THEN 'pkg:rpm/p' || CAST(l_partkey AS STRING) ELSE '' END AS purl
         FROM lineitem""",
     # A vulnerability for each order; every third has the id of another scheme and the CVE as an alias; some aliases name other rows.
     "vulnerabilities": """
@@ -67,18 +67,18 @@ STANDINS = {
     "probes": "SELECT event_id AS probe_id, 'image' || CAST(user_id % 20 AS STRING) AS image, ts, event_type <> 'error' AS success, value AS duration, event_id * 3 % 1000 AS size, event_id % 12 AS layers FROM events",
     # Advisories: a package (part) and vulnerability (supplier) with a decision.
     "advisories": """
-        SELECT 'src' || CAST(l_partkey % 150 AS STRING) AS source_package, 'CVE-2024-' || CAST(l_suppkey AS STRING) AS vuln_id, min(l_shipdate) AS updated_at,
+        SELECT 'src' || CAST(l_partkey AS STRING) AS source_package, 'CVE-2024-' || CAST(l_suppkey AS STRING) AS vuln_id, min(l_shipdate) AS updated_at,
           CASE WHEN sum(l_linenumber) % 4 = 0 THEN 'affected' WHEN sum(l_linenumber) % 4 = 1 THEN 'detected' WHEN sum(l_linenumber) % 4 = 2 THEN 'not-affected' ELSE 'fixed' END AS status,
           CASE WHEN sum(l_linenumber) % 3 = 0 THEN 'high' WHEN sum(l_linenumber) % 3 = 1 THEN 'medium' ELSE 'low' END AS confidence,
           max(l_quantity) AS cvss, CASE WHEN sum(l_linenumber) % 5 = 0 THEN NULL ELSE min(l_tax) END AS epss, 'note ' || CAST(count(*) AS STRING) AS notes,
           CASE WHEN count(*) % 2 = 0 THEN '' ELSE CAST(count(*) AS STRING) || '.0' END AS upstream_fixed_version
-        FROM lineitem GROUP BY l_partkey % 150, l_suppkey""",
+        FROM lineitem GROUP BY l_partkey, l_suppkey""",
     "sources": """
-        SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pkg' || CAST(p_partkey % 300 AS STRING) WHEN p_partkey % 4 = 1 THEN 'libpkg' || CAST(p_partkey % 250 AS STRING) WHEN p_partkey % 4 = 2 THEN 'tool' || CAST(p_partkey % 9 AS STRING) ELSE 'none-' || CAST(p_partkey % 70 AS STRING) END AS source_package,
+        SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pkg' || CAST(p_partkey AS STRING) WHEN p_partkey % 4 = 1 THEN 'libpkg' || CAST(p_partkey AS STRING) WHEN p_partkey % 4 = 2 THEN 'tool' || CAST(p_partkey AS STRING) ELSE 'none-' || CAST(p_partkey AS STRING) END AS source_package,
           min(CAST(p_size AS STRING) || '.1') AS upstream_version, min(CAST(p_size AS STRING) || '.1-1.el9') AS rpm_version
         FROM part GROUP BY 1""",
-    "mappings": "SELECT 'none-' || CAST(s_suppkey % 40 AS STRING) AS rpm_name, 'pkg' || CAST(s_suppkey * 3 % 260 AS STRING) AS vuln_name FROM supplier",
-    "cpe": "SELECT DISTINCT 'tool' || CAST(s_suppkey % 5 AS STRING) AS name, 'pkg' || CAST(s_suppkey % 5 * 11 AS STRING) AS product FROM supplier",
+    "mappings": "SELECT 'none-' || CAST(s_suppkey * 4 + 3 AS STRING) AS rpm_name, 'pkg' || CAST(s_suppkey * 3 AS STRING) AS vuln_name FROM supplier",
+    "cpe": "SELECT DISTINCT 'tool' || CAST(s_suppkey * 4 + 2 AS STRING) AS name, 'pkg' || CAST(s_suppkey * 11 AS STRING) AS product FROM supplier",
 }
 
 
