@@ -22,8 +22,8 @@ from supplylens.operators.intervals import interval_join
 from supplylens.operators.lookups import dedupe_first, top_k_per_group
 from supplylens.sources.shared import materialize
 
-#: A range with all its fields; ``order`` names the order of its bounds, null where they have none.
-RANGE = "struct<range_type:string,introduced:string,introduced_exclusive:boolean,fixed:string,last_affected:string,order:string>"
+#: A range as the matchers take it; ``order`` names the order of its bounds, null where they have none. Typed ones have range_type in front.
+RANGE = "introduced:string,introduced_exclusive:boolean,fixed:string,last_affected:string,order:string"
 # Parts of a vendor's name that speak against it unless the package bears them too.
 FOREIGN_VENDORS = ("npm", "uuidjs", "tagdiv", "org.")
 MAPPED = ("mapping", "direct", "cpe", "pattern")
@@ -47,31 +47,32 @@ def _fields(df: DataFrame) -> list[str]:
 
 
 def whole_ranges(df: DataFrame) -> DataFrame:
-    """``df`` with ``ranges`` as a list of :data:`RANGE`, whatever fields they had: missing texts are empty, missing flags false, null lists empty."""
+    """``df`` with ``ranges`` as a list of :data:`RANGE`, whatever fields they had: missing texts are empty, missing flags false, null lists empty. Types stay where there are any."""
     have = _fields(df)
     if "order" in have:
         return df
+    typed = "range_type" in have
     text = lambda r, f: _text(r[f]) if f in have else F.lit("")
     ecosystem = F.col("ecosystem") if "ecosystem" in df.columns else None
 
     def whole(r):
-        fields = {
-            "range_type": text(r, "range_type"),
+        fields = {"range_type": text(r, "range_type")} if typed else {}
+        fields |= {
             "introduced": text(r, "introduced"),
             "introduced_exclusive": F.coalesce(r["introduced_exclusive"], F.lit(False)) if "introduced_exclusive" in have else F.lit(False),
             "fixed": text(r, "fixed"),
             "last_affected": text(r, "last_affected"),
-            "order": order_of(r["range_type"], ecosystem) if "range_type" in have else F.lit("pep440"),
+            "order": order_of(r["range_type"], ecosystem) if typed else F.lit("pep440"),
         }
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-    none = F.array().cast(f"array<{RANGE}>")
+    none = F.array().cast(f"array<struct<{'range_type:string,' if typed else ''}{RANGE}>>")
     return df.withColumn("ranges", F.coalesce(F.transform("ranges", whole), none) if have else none)
 
 
 def orders_in(df: DataFrame) -> tuple[str, ...]:
     """The orders that the ranges of ``df`` can have: without types only that of PEP 440."""
-    return tuple(ORDERS) if {"range_type", "order"} & set(_fields(df)) else ("pep440",)
+    return tuple(ORDERS) if "range_type" in _fields(df) else ("pep440",)
 
 
 def _key(c, r, orders: Sequence[str]) -> Column:
@@ -155,7 +156,7 @@ def is_affected(version, ranges, policy: str = "production", keys: dict[str, Col
         F.lit(yes).alias("affected"), fixed.alias("fixed_version"), F.lit(quality).alias("quality"), F.array(*map(F.lit, flags)).cast("array<string>").alias("flags")
     )
     none = F.lit("")
-    empty = F.when(F.size(kept) == 0, answer(False, none, "none", *([] if policy == "first" else ["no-ranges"])))
+    empty = F.when(~F.coalesce(F.size(kept) > 0, F.lit(False)), answer(False, none, "none", *([] if policy == "first" else ["no-ranges"])))
     out = empty.when(hit.isNotNull(), answer(True, _text(hit["fixed"]), "high"))
     no = F.size(bounded) > 0
     if policy == "production":
@@ -196,7 +197,7 @@ def match_versions(candidates: DataFrame, policy: str = "production", ordered: S
 def with_range_keys(df: DataFrame, ordered: Sequence[str] | None = None) -> DataFrame:
     orders = orders_in(df)
     rows = whole_ranges(df)
-    ranges = F.col("ranges") if ordered is None else F.filter("ranges", lambda r: r["range_type"].isin(*ordered))
+    ranges = F.col("ranges") if ordered is None else F.filter("ranges", lambda r: (r["range_type"] if len(orders) > 1 else F.lit("")).isin(*ordered))
     return rows.withColumn("__ranges", keyed_ranges(ranges, orders))
 
 
@@ -299,9 +300,9 @@ def select_vendor_ranges(candidates: DataFrame, affected: DataFrame, scope: str
     out = verdict.join(listed, on, "left")
     all_ranges = F.flatten(F.transform("entries", lambda e: e["ranges"]))
     some = F.flatten(F.transform(F.filter("entries", lambda e: F.array_contains("fitting", e["vendor"])), lambda e: e["ranges"]))
-    none = F.array().cast(f"array<{RANGE}>")
+    none = F.filter(all_ranges, lambda r: F.lit(False))
     picked = F.when((F.col("last_vendor") == "") | F.col("all_fit"), all_ranges).when(~F.col("any_fits"), none).when(F.size(some) > 0, some).otherwise(all_ranges)
-    return candidates.join(out.select("vuln_id", "source_package", "matched_name", F.coalesce(picked, none).alias("ranges")), ["vuln_id", "source_package", "matched_name"])
+    return candidates.join(out.select("vuln_id", "source_package", "matched_name", picked.alias("ranges")), ["vuln_id", "source_package", "matched_name"])
 
 
 def vulns_for_package(names: DataFrame, affected: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def tree_too_deep(configurations) -> Column:
             return F.size(_list(node["children"], STRINGS)) > 0
         return F.exists(_list(node["children"], f"array<{S.cpe_node(depth - 1)}>"), lambda c: deeper(c, depth - 1))
 
-    nodes = F.flatten(F.transform(configurations, lambda c: c["nodes"]))
+    nodes = F.flatten(F.transform(configurations, lambda c: _list(c["nodes"], f"array<{S.cpe_node(S.NODE_DEPTH)}>")))
     return F.coalesce(F.exists(nodes, lambda n: deeper(n, S.NODE_DEPTH)), F.lit(False))
 
 
@@ -211,7 +211,7 @@ def _node_matches(node, depth: int) -> Column:
 
 def nvd_affected(rows: DataFrame, configurations, source: str) -> DataFrame:
     """One affected row for each vulnerable CPE match of the configuration trees (to a depth of ``NODE_DEPTH`` below the root)."""
-    nodes = F.flatten(F.transform(configurations, lambda c: c["nodes"]))
+    nodes = F.flatten(F.transform(configurations, lambda c: _list(c["nodes"], f"array<{S.cpe_node(S.NODE_DEPTH)}>")))
     matches = F.filter(F.flatten(F.transform(nodes, lambda n: _node_matches(n, S.NODE_DEPTH))), lambda m: m["vulnerable"])
     out = rows.withColumn("m", F.explode(matches)).withColumn("cpe", cpe_parts("m.criteria"))
     start = F.coalesce(F.nullif(F.col("m.versionStartIncluding"), F.lit("")), F.nullif(F.col("m.versionStartExcluding"), F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplylens import functions as fn
+from supplylens.functions import ordering
 from supplylens.operators import catalog, lookups, matching, normalize
 from supplylens.plans.catalogue import Tables
 from supplylens.plans.standins import expand
@@ -297,11 +298,11 @@ def bulk_match(spark, sf_dir):
 
 @query(f"""
 WITH {BULK}, y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY source_package, vuln_id ORDER BY rank, n) = 1)
-SELECT source_package, vuln_id, CASE WHEN inside THEN 'detected' ELSE 'not-affected' END AS status, 'medium' AS confidence, fixed AS upstream_fixed_version, 'name:' || n AS match_type FROM y WHERE num % 9 <> 0
+SELECT source_package, vuln_id, CASE WHEN inside THEN 'detected' ELSE 'not-affected' END AS status, 'medium' AS confidence, fixed AS upstream_fixed_version, 'name:' || n AS match_type, '' AS flags FROM y WHERE num % 9 <> 0
 """)
 def bulk_advisories(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return matching.bulk_advisories(t.sources, matching.build_vuln_index(with_ranges(t)), t.cpe, t.mappings).drop("flags")
+    return matching.bulk_advisories(t.sources, matching.build_vuln_index(with_ranges(t)), t.cpe, t.mappings).withColumn("flags", F.array_join("flags", ","))
 
 
 @query("""
@@ -318,6 +319,95 @@ def scan_platforms(spark, sf_dir):
     return found.groupBy("platform_id").agg(F.count("*").alias("findings"), F.countDistinct("vuln_id").alias("vulnerabilities"), F.sum(mark).alias("mark"))
 
 
+# From records to the feed
+
+
+def _records(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Normalised records of all parts, and the parts as source packages: three of four records are NVD's, by a fix, between bounds with an exclusive start, of all versions; one is OSV's with a SemVer fix."""
+    p = t.part.withColumn("k", F.col("p_partkey").cast("string"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    dotted = lambda c: F.concat(c.cast("string"), F.lit(".0"))
+    match = F.struct(
+        F.lit(True).alias("vulnerable"), F.concat(F.lit("cpe:2.3:a:maker:prod"), "k", F.lit(":*:*")).alias("criteria"), F.when(k % 4 == 1, dotted(size + k % 3 - 1)).alias("versionStartExcluding"),
+        F.when(k % 4 == 1, dotted(size + 1)).alias("versionEndIncluding"), F.when(k % 4 == 0, dotted(F.greatest(F.lit(1), size + k % 7 - 3))).alias("versionEndExcluding"),
+    )
+    score = F.struct(F.struct(F.lit("3.1").alias("version"), F.lit("x").alias("vectorString"), (size % 10 + 0.5).cast("double").alias("baseScore")).alias("cvssData"))
+    ident = F.concat(F.lit("CVE-"), "k")
+    nvd = _json(id=ident, configurations=F.array(F.struct(F.array(F.struct(F.array(match).alias("cpeMatch"))).alias("nodes"))), metrics=F.struct(F.array(score).alias("cvssMetricV31")))
+    none = F.lit(None).cast("string")
+    fix = F.concat(size.cast("string"), F.when(k % 8 == 3, ".0.1-rc.1").otherwise(".0.0-rc.1"))
+    events = F.array(F.struct(F.lit("0").alias("introduced"), none.alias("fixed")), F.struct(none.alias("introduced"), fix.alias("fixed")))
+    package = F.struct(F.lit("npm").alias("ecosystem"), F.concat(F.lit("prod"), "k").alias("name"))
+    osv = _json(id=ident, affected=F.array(F.struct(package.alias("package"), F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))).alias("ranges"))))
+    bronze = p.select(F.when(k % 4 == 3, "pypa").otherwise("nvd").alias("source"), F.when(k % 4 == 3, osv).otherwise(nvd).alias("content"))
+    v, a = normalize.normalize(bronze, ["nvd", "pypa"])
+    sources = p.select(F.concat(F.lit("prod"), "k").alias("source_package"), dotted(size).alias("upstream_version"), F.concat(dotted(size), F.lit("-1")).alias("rpm_version"), "p_partkey")
+    return v, a, sources
+
+
+RECORDS = """r AS (SELECT p_partkey AS k, p_size AS s, p_retailprice AS price, greatest(1, p_size + p_partkey % 7 - 3) AS f FROM part),
+held AS (SELECT *, CASE k % 4 WHEN 0 THEN s < f WHEN 1 THEN k % 3 = 0 WHEN 2 THEN true ELSE k % 8 = 3 END AS hit FROM r)"""
+
+
+@query(f"""
+WITH {RECORDS} SELECT 'prod' || CAST(k AS STRING) AS source_package, 'ADV-CVE-' || CAST(k AS STRING) AS id,
+  CASE WHEN NOT hit THEN 'not-affected' WHEN k % 4 = 2 OR (k % 4 = 0 AND f > s + 2) THEN 'detected' ELSE 'affected' END AS status,
+  CASE WHEN hit AND k % 4 = 0 AND f <= s + 2 THEN CAST(f AS STRING) || '.0' WHEN hit AND k % 4 = 3 THEN CAST(s AS STRING) || '.0.1-rc.1' END AS "limit",
+  CASE WHEN k % 4 <> 3 THEN CAST(s % 10 AS STRING) || '.5' END AS score, price AS epss, k % 9 = 0 AS in_kev FROM held
+""")
+def records_to_feed(spark, sf_dir):
+    """Raw records through normalisation, matching with exclusive starts and enrichment to feed documents."""
+    t = Tables(spark, sf_dir)
+    v, a, sources = _records(t)
+    none = spark.createDataFrame([], "rpm_name string, vuln_name string")
+    adv = matching.match_cves(a, sources, none, scope="name", honor_exclusive=True)
+    epss = t.part.select(F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve_id"), F.col("p_retailprice").alias("score"))
+    told = matching.enrich_advisories(adv, v, epss, epss.filter("cast(substr(cve_id, 5) as bigint) % 9 = 0")).withColumn("distro_fixed_version", F.lit(""))
+    doc = matching.to_osv(told, "ADV-", "Some Linux", "pkg:rpm/some/")
+    get = lambda p: F.get_json_object("doc", p)
+    return doc.join(told.select("source_package", "vuln_id", "epss", "in_kev"), ["source_package", "vuln_id"]).select(
+        "source_package", get("$.id").alias("id"), get("$.database_specific.status").alias("status"), get("$.affected[0].ranges[0].events[1].limit").alias("limit"), get("$.severity[0].score").alias("score"), "epss", "in_kev"
+    )
+
+
+@query(f"""
+WITH {RECORDS} SELECT l_orderkey AS platform_id, count(*) AS findings, count(*) FILTER (k % 4 <> 3) AS scored, count(*) FILTER (k % 4 IN (0, 3)) AS fixable FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN held ON k = l_partkey WHERE hit GROUP BY l_orderkey
+""")
+def scan_records(spark, sf_dir):
+    """Findings of every platform against normalised records, by the order of each range's type."""
+    t = Tables(spark, sf_dir)
+    v, a, sources = _records(t)
+    packages = sources.select(F.col("p_partkey").alias("package_id"), F.upper("source_package").alias("name"), F.col("upstream_version").alias("version"), F.lit("").alias("purl"))
+    found = matching.scan_platforms(t.platform_packages, packages, a, v, honor_exclusive=True)
+    return found.groupBy("platform_id").agg(F.count("*").alias("findings"), F.count("severity").alias("scored"), F.count_if(F.col("fixed_versions") != "").alias("fixable"))
+
+
+@query("""
+WITH s AS (SELECT package_id AS id, code // 10000 AS a, package_id % 20 AS b, package_id % 7 AS c, package_id % 3 AS e FROM packages),
+n AS (SELECT *, a * 10000 + b * 100 + c AS plain, e * 1000000 + a * 10000 + b * 100 + c AS with_epoch, a * 10000 + b * 100 + CASE WHEN c = 0 THEN 99 ELSE c END AS pre FROM s)
+SELECT x.id AS a, y.id AS b, CAST(sign(x.pre - y.pre) AS INT) AS semver, CAST(sign(x.with_epoch - y.with_epoch) AS INT) AS rpm, CAST(sign(x.pre - y.pre) AS INT) AS deb, CAST(sign(x.pre - y.pre) AS INT) AS maven
+FROM n x JOIN n y ON y.id = (x.id * 7 + 13) % (SELECT count(*) FROM packages)
+""")
+def order_versions(spark, sf_dir):
+    """Two versions of each package's numbers in the spelling of four ecosystems: an epoch, or a candidate ``c`` of a release (none: the release itself)."""
+    p = Tables(spark, sf_dir).packages
+    text = lambda c: c.cast("string")
+    a, b, c, e = text(F.floor(F.col("code") / 10000)), text(F.col("package_id") % 20), text(F.col("package_id") % 7), text(F.col("package_id") % 3)
+    final = F.col("package_id") % 7 == 0
+    core = F.concat(a, F.lit("."), b)
+    keyed = p.select(
+        F.col("package_id").alias("id"),
+        ordering.semver_key(F.concat(core, F.when(final, ".0").otherwise(F.concat(F.lit(".0-rc."), c)))).alias("semver"),
+        ordering.rpm_key(F.concat(e, F.lit(":"), core, F.lit("-"), c, F.lit(".el9"))).alias("rpm"),
+        ordering.deb_key(F.concat(core, F.when(final, "-1").otherwise(F.concat(F.lit("~rc"), c, F.lit("-1"))))).alias("deb"),
+        ordering.maven_key(F.concat(core, F.when(final, "-final").otherwise(F.concat(F.lit("-cr-"), c)))).alias("maven"),
+    )
+    n = p.count()
+    other = keyed.select(*[F.col(x).alias(f"{x}_b") for x in keyed.columns])
+    sign = lambda k: F.when(F.col(k) < F.col(f"{k}_b"), -1).when(F.col(k) > F.col(f"{k}_b"), 1).otherwise(0).alias(k)
+    return keyed.join(other, F.col("id_b") == (F.col("id") * 7 + 13) % n).select(F.col("id").alias("a"), F.col("id_b").alias("b"), *map(sign, ("semver", "rpm", "deb", "maven")))
+
+
 # Advisories
 
 
@@ -449,7 +539,7 @@ def normalize_nvd(spark, sf_dir):
 
 
 @query("""
-SELECT 'CVE-' || CAST(p_partkey AS STRING) AS vuln_id, p_name AS package_name, CASE p_partkey % 4 WHEN 0 THEN '6.1:6.1.' || CAST(p_size AS STRING) || ':,7.0::' WHEN 1 THEN '0:' || CAST(p_size AS STRING) || ':' WHEN 2 THEN '1::' || CAST(p_size AS STRING) ELSE '' END AS ranges,
+SELECT 'CVE-' || CAST(p_partkey AS STRING) AS vuln_id, p_name AS package_name, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS STRING) || ':' || CAST(p_size AS STRING) || '.' || CAST(p_partkey % 13 + 1 AS STRING) || ':,90::' WHEN 1 THEN '0:' || CAST(p_size AS STRING) || ':' WHEN 2 THEN '1::' || CAST(p_size AS STRING) ELSE '' END AS ranges,
   CASE p_partkey % 4 WHEN 0 THEN 'no_upper_bound' WHEN 3 THEN 'empty_range,unbounded_range' ELSE '' END AS flags FROM part
 """)
 def normalize_cve_v5(spark, sf_dir):
@@ -458,7 +548,7 @@ def normalize_cve_v5(spark, sf_dir):
     none = F.lit(None).cast("string")
     ver = lambda version, status, lt=none, le=none: F.struct(version.alias("version"), F.lit(status).alias("status"), lt.alias("lessThan"), le.alias("lessThanOrEqual"))
     versions = (
-        F.when(k == 0, F.array(ver(F.lit("6.1"), "affected"), ver(F.lit("7.0"), "affected"), ver(F.concat(F.lit("6.1."), size), "unaffected", le=F.lit("6.1.*"))))
+        F.when(k == 0, F.array(ver(F.lit("90"), "affected"), ver(size, "unaffected", lt=F.concat(size, F.lit("."), (F.col("p_partkey") % 13 + 1).cast("string"))), ver(size, "affected")))
         .when(k == 1, F.array(ver(F.lit("0"), "unaffected", lt=size)))
         .when(k == 2, F.array(ver(F.lit("1"), "affected", le=size)))
     )

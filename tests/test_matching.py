@@ -1,12 +1,16 @@
 """Version decisions, vendors, names and advisories."""
 
+import json
+import random
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
-from supplylens.operators import catalog
 from supplylens.operators import matching as m
+from supplylens.operators import normalize
 
-RANGE = m.RANGE
+RANGE = "struct<introduced:string,fixed:string,last_affected:string>"
 
 
 def r(introduced="", fixed="", last=""):
@@ -53,49 +57,101 @@ def test_empty_and_null_ranges(spark):
     assert m.match_versions(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(
-    ("vendor", "rpm", "name", "fits"),
-    [("getlantern", "lantern", "lantern", True), ("tagdiv", "lantern", "lantern", False), ("uuidjs", "lantern", "lantern", False), ("uuidjs", "uuidjs-cli", "cli", True), ("org.acme", "lantern", "lantern", False), ("", "x", "x", True), (None, "x", "x", True), ("acme", "x1", "y", True), ("npmthing", "zlib", "zlib", False)],
-)
-def test_vendor_fits(spark, vendor, rpm, name, fits):
-    df = spark.createDataFrame([(vendor, rpm, name)], "v string, r string, n string")
-    assert df.select(m.vendor_fits(F.col("v"), F.col("r"), F.col("n"))).first()[0] is fits
-
-
-AFFECTED = f"vuln_id string, source string, vendor string, package_name string, ranges array<{RANGE}>"
+MARKERS = ("npm", "uuidjs", "tagdiv", "org.")
 
 
-def test_match_cves_picks_the_fitting_vendor(spark):
-    affected = spark.createDataFrame([("CVE-1", "a", "tagdiv", "lantern", [r("1.0", "11.2")]), ("CVE-1", "b", "getlantern", "lantern", [r("7.0", "7.3.2")])], AFFECTED)
-    sources = spark.createDataFrame([("lantern", "7.3.1", "7.3.1-4")], "source_package string, upstream_version string, rpm_version string")
-    got = m.match_cves(affected, sources, spark.createDataFrame([], "rpm_name string, vuln_name string")).collect()
-    assert [(g["status"], g["upstream_fixed_version"], g["match_source"]) for g in got] == [("affected", "7.3.2", "direct")]
+def vendor_rule(vendor, rpm, name):
+    """The rule in plain Python: unknown, or at one end of each other, or free of markers that the package doesn't bear."""
+    v = (vendor or "").lower()
+    ends = any(v.startswith(x) or v.endswith(x) or x.startswith(v) or x.endswith(v) for x in (rpm.lower(), name.lower()))
+    return v == "" or ends or not any(k in v and k not in rpm.lower() for k in MARKERS)
 
 
-def test_match_cves_by_stripped_name(spark):
-    affected = spark.createDataFrame([("CVE-2", "a", "ruby", "ruby", [r("2.0.0", "2.6.4")])], AFFECTED)
-    sources = spark.createDataFrame([(f"ruby{v}", f"{v}.1", "1") for v in ("2.4", "2.5", "2.7")] + [("ruby2.6", "2.6.4", "1")], "source_package string, upstream_version string, rpm_version string")
-    got = {g["source_package"]: g["status"] for g in m.match_cves(affected, sources, spark.createDataFrame([], "rpm_name string, vuln_name string")).collect()}
-    assert got == {"ruby2.4": "affected", "ruby2.5": "affected", "ruby2.6": "not-affected", "ruby2.7": "not-affected"}
+def test_vendors_by_the_rule(spark):
+    rng = random.Random(5)
+    stems = ["zen", "Orb", "fir", "quill", "mast"]
+    word = lambda: "".join(rng.choice([*stems, *MARKERS, "-"]) for _ in range(rng.randrange(1, 4)))
+    rows = [(rng.choice([None, "", word(), word(), word()]), word(), word()) for _ in range(600)]
+    got = spark.createDataFrame(rows, "v string, r string, n string").select("*", m.vendor_fits(F.col("v"), F.col("r"), F.col("n")).alias("fits")).collect()
+    assert [(g["v"], g["r"], g["n"], g["fits"]) for g in got] == [(*r, vendor_rule(*r)) for r in rows]
+    assert {g["fits"] for g in got} == {True, False}
 
 
-def test_a_fix_far_ahead_is_only_detected(spark):
-    affected = spark.createDataFrame([("CVE-3", "a", "quarkjs", "quark", [r("2.0.0", "11.0.0")])], AFFECTED)
-    sources = spark.createDataFrame([("quark", "2.0.1", "1")], "source_package string, upstream_version string, rpm_version string")
-    got = m.match_cves(affected, sources, spark.createDataFrame([], "rpm_name string, vuln_name string")).first()
-    assert (got["status"], got["flags"]) == ("detected", ["suspicious-version-jump"])
+SOURCES = "source_package string, upstream_version string, rpm_version string"
+AFFECTED = f"vuln_id string, source string, vendor string, package_name string, ranges array<{RANGE}>"
 
 
-def test_resolve_names_tiers(spark):
-    names = lambda *x: spark.createDataFrame([(n,) for n in x], "source_package string")
-    index = spark.createDataFrame([(n,) for n in ("nettle", "spanner", "web_server", "ruby", "foo9", "net_tools", "gear")], "name string")
-    mappings = spark.createDataFrame([("webd", "web_server"), ("nettle", "missing")], "rpm_name string, vuln_name string")
-    cpe = spark.createDataFrame([("wrench", "spanner")], "name string, product string")
-    got = {(g["source_package"], g["vuln_name"], g["match_source"]) for g in m.resolve_names(names("nettle", "webd", "ruby3.42", "libfoo9", "net-tools", "wrench", "none", "gear7"), index, cpe, mappings).collect()}
-    assert got == {
-        ("nettle", "nettle", "direct"), ("webd", "web_server", "mapping"), ("ruby3.42", "ruby", "pattern"), ("libfoo9", "foo9", "uncertain"), ("net-tools", "net_tools", "pattern"),
-        ("wrench", "spanner", "cpe"), ("gear7", "gear", "pattern"),
-    }
+NAMES = "rpm_name string, vuln_name string"
+
+
+def test_match_cves_by_the_rule(spark):
+    """Random vendors, names and ranges against the rule in plain Python: names in order, vendors of the name, the first range that holds the version."""
+    rng = random.Random(11)
+    stems = ["zen", "orb", "fir"]
+    packages = [*stems, *[f"{x}{i}" for x in stems for i in (2, "3.1")], "tagdivorb"]
+    vendors = ["", "zen", "fironline", "tagdiv", "npmers", "guild"]
+    affected = [(f"V-{i % 40}", f"s{i}", rng.choice(vendors), rng.choice(stems), [(f"{rng.randrange(9)}.0", f"{rng.randrange(3, 12)}.{rng.randrange(5)}", "")]) for i in range(90)]
+    sources = [(p, f"{rng.randrange(12)}.{rng.randrange(5)}", "r") for p in packages]
+    got = m.match_cves(spark.createDataFrame(affected, AFFECTED), spark.createDataFrame(sources, SOURCES), spark.createDataFrame([], NAMES), scope="name").collect()
+    number = lambda v: tuple(int(x) for x in v.split("."))
+    want = {}
+    for vuln in {a[0] for a in affected}:
+        names = sorted({a[3] for a in affected if a[0] == vuln})
+        for pkg, version, _ in sources:
+            stem = pkg.rstrip("0123456789.")
+            hit = next(((x, k) for x in names for k, kind in ((pkg, "direct"), (stem, "pattern")) if k == x and (kind == "direct" or stem != pkg)), None)
+            if not hit:
+                continue
+            name, source = hit[0], "direct" if hit[0] == pkg else "pattern"
+            mine = defaultdict(list)
+            for a in sorted(affected, key=lambda a: (a[2], a[1])):
+                if a[0] == vuln and a[3] == name:
+                    mine[a[2]] += a[4]
+            fits = {v: vendor_rule(v, pkg, name) for v in mine}
+            if all(fits.values()) or not any(v for v in mine):
+                ranges = [x for v in sorted(mine) for x in mine[v]]
+            else:
+                ranges = [x for v in sorted(mine) for x in mine[v] if fits[v]]
+            inside = next((x for x in ranges if number(x[0]) <= number(version) < number(x[1])), None)
+            first = inside or (ranges[0] if ranges else None)
+            jump = bool(inside) and number(inside[1])[0] > number(version)[0] + 2
+            status = "detected" if not ranges or jump else "affected" if inside else "not-affected"
+            want[vuln, pkg] = (status, source, first[1] if first else "", ["no-ranges"] if not ranges else ["suspicious-version-jump"] if jump else [])
+    assert {(g["vuln_id"], g["source_package"]): (g["status"], g["match_source"], g["upstream_fixed_version"], g["flags"]) for g in got} == want
+    assert {w[0] for w in want.values()} == {"affected", "not-affected", "detected"}
+
+
+def test_names_by_the_first_tier(spark):
+    """Random tables of names, mappings and CPE entries against the tiers in plain Python."""
+    rng = random.Random(8)
+    letters = "uvw"
+    word = lambda: rng.choice(["", "lib"]) + "".join(rng.choice(letters) for _ in range(2)) + rng.choice(["", "-t", "_t", "7", "7.5"])
+    packages, index = sorted({word() for _ in range(60)}), {word() for _ in range(14)} | {rng.choice(letters) + rng.choice(letters) for _ in range(3)}
+    mappings = [(p, rng.choice([*sorted(index), "nowhere"])) for p in packages[::7]]
+    cpe = [(p, rng.choice(sorted(index))) for p in packages[::5]]
+
+    def variants(n):
+        stem, digits = n.rstrip("0123456789."), n.rstrip("0123456789")
+        sure = {"lib" + n} if not n.startswith("lib") else set()
+        if stem != n and n[-1].isdigit():
+            sure |= {digits if digits.endswith(".") and "." in n and not n[len(stem) :].count(".") else stem, digits} - {""}
+        sure |= {n.replace("-", "_")} if "-" in n else set()
+        sure |= {n.replace("_", "-")} if "_" in n else set()
+        return sure, {n[3:]} if n.startswith("lib") and len(n) > 3 else set()
+
+    want = set()
+    for p in packages:
+        sure, unsure = variants(p)
+        product = lambda names: {t for k, t in cpe if k in names}
+        tiers = [("mapping", {t for k, t in mappings if k == p}), ("direct", {p}), ("pattern", sure), ("cpe", product({p})), ("cpe", product(sure)), ("uncertain", unsure)]
+        for i, (kind, names) in enumerate(tiers):
+            hits = sorted(names & index)
+            if hits:
+                want |= {(p, h, kind) for h in (hits[:1] if i == 4 else hits)}
+                break
+    one = lambda rows, cols: spark.createDataFrame(rows, cols)
+    got = m.resolve_names(one([(p,) for p in packages], "source_package string"), one([(n,) for n in index], "name string"), one(cpe, "name string, product string"), one(mappings, NAMES)).collect()
+    assert {tuple(g) for g in got} == want and {w[2] for w in want} >= {"mapping", "direct", "pattern", "uncertain"}
 
 
 def test_to_osv(spark):
@@ -107,9 +163,6 @@ def test_to_osv(spark):
     assert '"events":[{"introduced":"0"}]' in got["CVE-3"]
 
 
-SOURCES = "source_package string, upstream_version string, rpm_version string"
-
-
 def bulk_tables(spark):
     affected = spark.createDataFrame(
         [
@@ -149,8 +202,86 @@ def test_bulk_advisories_take_the_first_name(spark):
     assert got == {"CVE-1": ("detected", "medium", "name:curl"), "CVE-2": ("detected", "low", "name:curl"), "CVE-3": ("detected", "low", "name:libcurl")}
 
 
-def test_ranges_without_an_order_are_left_out(spark):
-    rows = [("1.5", [("GIT", "1.0", "2.0", ""), ("SEMVER", "3.0", "4.0", "")]), ("1.5", [(None, "1.0", "2.0", "")]), ("1.5", None)]
-    df = spark.createDataFrame(rows, "upstream_version string, ranges array<struct<range_type:string,introduced:string,fixed:string,last_affected:string>>")
-    ordered = [k for k, fn in catalog.COMPARATORS.items() if fn is not None]
-    assert [r["affected"] for r in m.match_versions(df, ordered=ordered).collect()] == [False, True, False]
+TYPED = "array<struct<range_type:string,introduced:string,introduced_exclusive:boolean,fixed:string,last_affected:string>>"
+
+
+def typed(kind, introduced="", fixed="", last="", exclusive=False):
+    return (kind, introduced, exclusive, fixed, last)
+
+
+@pytest.mark.parametrize(
+    ("version", "ranges", "affected", "flags"),
+    [
+        ("1.5", [typed("GIT", "1.0", "2.0")], False, ["no-ranges"]),
+        ("1.5", [typed("semver", "1.0", "2.0")], True, []),
+        ("2.0.0-rc.1", [typed("SEMVER", "1.0.0", "2.0.0")], True, []),
+        ("2.0-1", [typed("maven", "1.0", "2.0")], False, []),
+        ("2.0~rc1", [typed("rpm", "1.0", "2.0")], True, []),
+        ("1.0", [typed("", "1.0", "2.0", exclusive=True)], True, []),
+        ("1.5", [typed("custom", "1.0", "2.0")], True, ["vendor-specific-order"]),
+        ("1.5", [typed("GIT", "1.0", "2.0"), typed(None, "1.0", "1.6")], True, []),
+        ("1.5", None, False, ["no-ranges"]),
+    ],
+)
+def test_the_type_of_a_range_chooses_the_order(spark, version, ranges, affected, flags):
+    df = spark.createDataFrame([(version, ranges, ["seen"])], f"upstream_version string, ranges {TYPED}, flags array<string>")
+    got = m.match_versions(df).first()
+    assert (got["affected"], got["flags"], got["record_flags"]) == (affected, flags, ["seen"])
+
+
+def test_exclusive_starts_on_request(spark):
+    df = spark.createDataFrame([("1.0", [typed("", "1.0", "2.0", exclusive=True)]), ("1.0", [typed("", "1.0", exclusive=True)]), ("1.1", [typed("", "1.0", exclusive=True)])], f"upstream_version string, ranges {TYPED}")
+    assert [r["affected"] for r in m.match_versions(df).collect()] == [True, True, True]
+    assert [r["affected"] for r in m.match_versions(df, honor_exclusive=True).collect()] == [False, False, True]
+
+
+def test_only_ordered_types_on_request(spark):
+    df = spark.createDataFrame([("1.5", [typed("SEMVER", "3.0", "4.0"), typed("custom", "1.0", "2.0")])], f"upstream_version string, ranges {TYPED}")
+    assert m.match_versions(df, ordered=["SEMVER"]).first()["affected"] is False and m.match_versions(df).first()["affected"] is True
+
+
+def records(spark):
+    """NVD and OSV records of a few packages as they land."""
+    cpe = lambda name, **k: {"vulnerable": True, "criteria": f"cpe:2.3:a:guild:{name}:*:*", **k}
+    nvd = {"id": "CVE-7", "configurations": [{"nodes": [{"cpeMatch": [cpe("orb", versionStartExcluding="1.0", versionEndExcluding="3.0"), cpe("fir")]}]}], "metrics": {"cvssMetricV31": [{"cvssData": {"version": "3.1", "baseScore": 8.1, "vectorString": "x"}}]}}
+    osv = {"id": "CVE-8", "affected": [{"package": {"ecosystem": "npm", "name": "zen"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "0"}, {"fixed": "2.0.0"}]}]}]}
+    odd = {"id": "CVE-9", "configurations": [{"operator": "AND"}, {"nodes": [{"cpeMatch": [cpe("late", versionEndIncluding="9")]}]}]}
+    rows = [("nvd", json.dumps(nvd)), ("pypa", json.dumps(osv)), ("nvd", json.dumps(odd))]
+    return normalize.normalize(spark.createDataFrame(rows, "source string, content string"), ["nvd", "pypa"])
+
+
+def test_normalised_records_meet_every_matcher(spark):
+    v, a = (df.cache() for df in records(spark))
+    sources = spark.createDataFrame([("orb", "1.0", "1"), ("zen", "2.0.0-rc.2", "1"), ("fir", "5", "1"), ("late", "9", "1")], SOURCES)
+    none, cpe = spark.createDataFrame([], NAMES), spark.createDataFrame([], "name string, product string")
+    got = {g["source_package"]: (g["vuln_id"], g["status"]) for g in m.match_cves(a, sources, none, scope="name").collect()}
+    assert got == {"orb": ("CVE-7", "affected"), "zen": ("CVE-8", "affected"), "fir": ("CVE-7", "detected"), "late": ("CVE-9", "affected")}
+    strict = {g["source_package"]: g["status"] for g in m.match_cves(a, sources, none, honor_exclusive=True, scope="name").collect()}
+    assert strict == {"orb": "not-affected", "zen": "affected", "fir": "detected", "late": "affected"}
+    adv = m.match_packages(sources, a, cpe, none)[0]
+    assert {g["source_package"] for g in adv.collect()} == set(got)
+    index = m.build_vuln_index(a)
+    assert {x["source_package"] for x in m.bulk_match(sources, index, cpe, none).collect()} >= {"orb", "zen", "late"}
+    assert m.bulk_advisories(sources, index, cpe, none).count() == 4
+    packages = sources.select(F.monotonically_increasing_id().alias("package_id"), F.col("source_package").alias("name"), F.col("upstream_version").alias("version"), F.lit("").alias("purl"))
+    found = m.scan_platforms(packages.select(F.lit(1).alias("platform_id"), "package_id"), packages, a, v)
+    assert {(f["package_name"], f["vuln_id"], f["severity"]) for f in found.collect()} == {("orb", "CVE-7", "CVSS_V3_1"), ("fir", "CVE-7", "CVSS_V3_1"), ("zen", "CVE-8", None), ("late", "CVE-9", None)}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_interval_search_equals_the_rule_pair_by_pair(spark, strict):
+    """Random typed ranges, with and without keys, in one order and in several, with open ends: the join by ranks finds what comparing all pairs finds."""
+    rng = random.Random(4)
+    version = lambda: rng.choice(["", "*", "0", "1.0", "2", "2.0-foo-bar", "deadbeef"] + [f"{rng.randrange(9)}.{rng.randrange(4)}" for _ in range(12)] + ["3.0-rc1", "3.0~a"])
+    kinds = ["", "", "semver", "rpm", "maven", "GIT", "custom"]
+    entries = []
+    for i in range(120):
+        kind, mixed = rng.choice(kinds), rng.random() < 0.2
+        ranges = [(rng.choice(kinds) if mixed else kind, version(), rng.random() < 0.5, version() if rng.random() < 0.6 else "", version() if rng.random() < 0.3 else "") for _ in range(rng.randrange(4))]
+        entries.append((rng.choice("abc"), f"e{i}", ranges))
+    points = sorted({(g, v) for g in "abcd" for v in (version() for _ in range(25)) if v not in ("", "*")})
+    entries_df = spark.createDataFrame(entries, f"group string, entry string, ranges {TYPED}")
+    points_df = spark.createDataFrame(points, "group string, upstream_version string")
+    got = {tuple(r) for r in m.affected_versions(points_df, entries_df, strict).select("group", "upstream_version", "entry", "fixed_version").collect()}
+    pairs = m.match_versions(points_df.join(entries_df, "group"), honor_exclusive=strict).filter("affected")
+    assert got == {tuple(r) for r in pairs.select("group", "upstream_version", "entry", "fixed_version").collect()} and len(got) > 100
