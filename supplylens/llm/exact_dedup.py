@@ -117,13 +117,16 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def look_up(docs: DataFrame, index: ExtendibleIndex, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[str], Column] = F.xxhash64) -> DataFrame:
-    """doc_id and the entry (keep_id, group_size, sha) of every row of ``docs`` that the index knows."""
+    """doc_id and the entry (keep_id, group_size, sha) of every row of ``docs`` that the index knows: texts of colliding keys are compared byte by byte, others by SHA-256.
+
+    Null texts count as empty; rows that the index doesn't know are left out.
+    """
     base = docs.select(F.col(id_col).alias("doc_id"), normalise(F.col(text_col)).alias("norm")).withColumn("key", hash_of("norm").cast("long"))
     entry = ["keep_id", "group_size", "sha"]
-    keys = cut(base.select("doc_id", "key"))
+    keys = cut(base.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("__sha")))
     routed = _route(keys, index.directory, index.start_depth)
     single = index.entries.filter("chain_length = 1").select("bucket", "local_depth", "key", *entry)
-    found = join_groups(routed, single, ["bucket", "local_depth", "key"], "group_size", max(1, index.n_documents)).select("doc_id", *entry)
+    found = join_groups(routed, single, ["bucket", "local_depth", "key"], "group_size", max(1, index.n_documents)).filter("sha = __sha").select("doc_id", *entry)
     chains = index.entries.filter("chain_length > 1")
     if chains.isEmpty():
         return found

@@ -448,7 +448,7 @@ def write_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, "doc_id long, n_bytes long, media binary")
 
 
-PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, n_samples long, blocks array<struct<sample_offset: long, pcm: binary>>"
+PCM = "doc_id long, n_bytes long, n_samples long, blocks array<struct<sample_offset: long, pcm: binary>>"
 
 
 def pcm_blocks(media: DataFrame, blocks_per_run: int = 64) -> DataFrame:
@@ -463,10 +463,10 @@ def pcm_blocks(media: DataFrame, blocks_per_run: int = 64) -> DataFrame:
             for part in _groups([len(m) for m in batch["media"]]):
                 rows = batch.iloc[part]
                 out = [
-                    (len(m), hashlib.sha256(m).hexdigest(), len(x), [{"sample_offset": at, "pcm": x[at : at + step].tobytes()} for at in range(0, len(x), step)])
-                    for m, x in zip(rows["media"], decode(rows["media"].tolist()))
+                    (len(x), [{"sample_offset": at, "pcm": x[at : at + step].tobytes()} for at in range(0, len(x), step)])
+                    for x in decode(rows["media"].tolist())
                 ]
-                frame = pd.DataFrame(out, columns=["media_bytes", "media_sha256", "n_samples", "blocks"])
+                frame = pd.DataFrame(out, columns=["n_samples", "blocks"])
                 frame.insert(0, "doc_id", pd.array(rows["doc_id"], dtype="Int64"))
                 frame.insert(1, "n_bytes", rows["n_bytes"].to_numpy())
                 yield frame
@@ -500,9 +500,10 @@ def features(x: np.ndarray) -> str:
 
 
 def read_pcm(stored: DataFrame) -> DataFrame:
-    """Digest of each stored stream, from its PCM blocks in order of their offsets (``n_bytes`` and the media's own digest are passed through).
+    """Digest of each stored stream, from its PCM blocks in order of their offsets (``n_bytes`` is passed through).
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. ``media_*`` tell of what is stored: the signed samples of
+    all blocks. Repeated rows give repeated digests, null ids stay null, an empty table gives none; missing blocks raise :class:`CorruptStream`.
     """
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -514,11 +515,11 @@ def read_pcm(stored: DataFrame) -> DataFrame:
                 if len(x) != n:
                     raise CorruptStream("PCM blocks are missing")
                 data = (x.view(np.uint8) ^ 0x80).tobytes()
-                made.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), features(x)))
-            frame = pd.DataFrame(made, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+                media = x.tobytes()
+                made.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(x)))
+            frame = pd.DataFrame(made, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             frame.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
-            for c in ("n_bytes", "media_bytes", "media_sha256"):
-                frame[c] = batch[c].to_numpy()
+            frame["n_bytes"] = batch["n_bytes"].to_numpy()
             yield frame
 
     return stored.mapInPandas(work, out)

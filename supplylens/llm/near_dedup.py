@@ -90,8 +90,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands and the signature's low bytes for every document (bands and signature are null for empty sets)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """doc_id, a hash of the text, n_shingles, set_key, bands and the signature's low bytes for every document (bands and signature are null for empty sets)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _hashes()
@@ -104,11 +104,11 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 else:
                     rows.append((0, b"", None, None))
             columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:]))], schema=schema)
         release_memory()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(work, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(work, "doc_id long, mark long, n_shingles long, set_key binary, bands array<long>, sig binary")
 
 
 def components(links: DataFrame, most: int | None = None) -> DataFrame:
@@ -306,8 +306,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, k: int, n_nodes: int) -> DataFra
     return cut(wanted.mapInArrow(work, "node long, set binary").dropDuplicates(["node"]), n_nodes, 2_000)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", apart: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept. With ``apart`` instead (doc_id, mark), the ids and the hashes of the texts that stay, for which an id links nothing.
 
     ``threshold`` is a Jaccard similarity in percent. Further:
 
@@ -349,13 +349,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
         links.append(_centre_links(cut(spokes.join(within.select(F.col("node").alias("a")), "a", "left_semi"), BANDS * n_nodes), full, threshold))
         known = within.join(components(links[0], BANDS * n_nodes), "node", "left").withColumn("component", F.coalesce("component", "node"))
         candidates = candidates.unionByName(_candidates(known, threshold))
-    links += [_links(candidates, full, threshold), *_same_id(real, sets)]
+    links += [_links(candidates, full, threshold), *([] if apart else _same_id(real, sets))]
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
     found = components(every, BANDS * n_nodes)
 
     labelled = cut(sets.select("set_key", "doc_id", "copies", "node").join(found, "node", "left").withColumn("root", F.coalesce("component", "node")), n_nodes)
+    if apart:
+        # Of each group the smallest id stays, and of its texts the one with the smallest hash.
+        named = join_groups(real.select("doc_id", "mark", "set_key"), labelled.select("set_key", "copies", "root"), ["set_key"], "copies", max(1, n_rows))
+        first = named.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.*")
+        return first.unionByName(rows.filter("n_shingles = 0 and doc_id is not null").select("doc_id", "mark").distinct())
     roots = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
     groups = join_groups(labelled.select("set_key", "copies", "root"), cut(roots, n_nodes), ["root"], "size", max(1, n_nodes)).select("set_key", "copies", "component_id")
     full = join_groups(real.select("doc_id", "n_shingles", "set_key"), groups, ["set_key"], "copies", max(1, n_rows)).select("doc_id", "n_shingles", "component_id")
@@ -379,16 +384,17 @@ def _same_id(real: DataFrame, sets: DataFrame) -> list[DataFrame]:
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group, and every document without a group.
 
-    Rows that repeat the id and text of the one that stays are reduced to one.
+    Rows are told apart by id and text, so of an id that repeats with other texts each stays unless it is a near copy of another row. Of a group the
+    smallest id stays. Rows that repeat the id and text of one that stays are reduced to one; null and empty texts, and rows without
+    id, are copies of nothing and stay. Texts of any length are compared whole; an empty table stays empty; rows travel as one struct, so no column name can clash.
     """
-    kept = near_duplicates(docs, k, threshold, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    # Rows travel as one struct, so no column name can clash.
+    kept = near_duplicates(docs, k, threshold, id_col, text_col, apart=True).select(F.col("doc_id").alias("id"), F.col("mark").alias("hash"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
-    # Of an id that repeats with other texts, the row with the smallest hash stays.
-    first = rows.groupBy("id").agg(F.min("hash").alias("hash"), F.count("*").alias("n")).join(kept, "id")
-    named = rows.join(first, ["id", "hash"])
-    again = named.filter("n > 1").dropDuplicates(["id", "hash"])
-    return named.filter("n = 1").select("row.*").unionByName(again.select("row.*")).unionByName(rows.filter("id is null").select("row.*"))
+    named = rows.join(kept, ["id", "hash"])
+    counts = rows.groupBy("id", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("id", "hash")
+    again = named.join(counts, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    once = named.join(counts, ["id", "hash"], "left_anti")
+    return once.select("row.*").unionByName(again.select("row.*")).unionByName(rows.filter("id is null").select("row.*"))
 
 
 #: op9's contract: all pairs by their common shingles, and what can be reached by links.

@@ -12,9 +12,11 @@ pattern that occurs, of a finite set.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -175,7 +177,7 @@ def secrets(text: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of looser matches that touch no base span, non-overlapping within and between kinds (earlier, then earlier kind)."""
+    """(start, kind, end) of looser matches that touch no base span. Those of one kind don't overlap; those of several may, until :func:`settle` has chosen."""
     found = []
     taken = sorted((s, e) for s, _, e in base)
     digit = any(map(text.__contains__, "0123456789"))
@@ -183,15 +185,24 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         needs = NEEDS[kind]
         if digit if needs is None else needs.search(text) if isinstance(needs, re.Pattern) else any(n in text for n in needs):
             found += [(s, KIND_AT[kind], e) for s, e in (secrets(text, taken) if kind == "secret" else (m.span() for m in pattern.finditer(text)))]
-    if not found:
-        return []
-    out, end, b = [], 0, 0
-    for s, k, e in sorted(found):
-        while b < len(taken) and taken[b][1] <= s:
-            b += 1
-        if s >= end and not any(bs < e and be > s for bs, be in taken[b : b + 8]):
-            out.append((s, k, e))
-            end = e
+    if not found or not taken:
+        return sorted(found)
+    starts = [s for s, _ in taken]
+    # Base spans of several kinds can overlap, so the furthest end so far counts.
+    ends = list(accumulate((e for _, e in taken), max))
+    free = lambda s, e: (i := bisect_left(starts, e)) == 0 or ends[i - 1] <= s
+    return [c for c in sorted(found) if free(c[0], c[2])]
+
+
+def settle(scored: list[tuple[float, tuple[int, int, int]]]) -> list[tuple[int, int, int]]:
+    """Of accepted candidates that overlap the ones with the better score stay; ties go to the earlier start, then the earlier kind."""
+    if len(scored) < 2:
+        return [c for _, c in scored]
+    out: list[tuple[int, int, int]] = []
+    for _, (s, k, e) in sorted(scored, key=lambda x: (-x[0], x[1])):
+        i = bisect_left(out, (s, k, e))
+        if (i == 0 or out[i - 1][2] <= s) and (i == len(out) or out[i][0] >= e):
+            out.insert(i, (s, k, e))
     return out
 
 
@@ -254,8 +265,11 @@ class SpanModel:
     reliability: dict[str, dict[str, tuple[float, float]]]  # kind, labeler: P(for | span), P(against | no span), of votes cast
     weights: np.ndarray
 
+    def score(self, shape: str) -> float:
+        return round(float(design([shape])[0] @ self.weights), 9)
+
     def accepts(self, shape: str) -> bool:
-        return bool(design([shape])[0] @ self.weights > 0)
+        return self.score(shape) > 0
 
 
 def design(shapes: list[str]) -> np.ndarray:
@@ -348,19 +362,21 @@ def find(docs: DataFrame, model: SpanModel, known: Gazetteers = Gazetteers()) ->
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        seen: dict[str, bool] = {}
+        seen: dict[str, float] = {}
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 text = text or ""
                 base = base_spans(text)
                 spans = [(s, k, e, True) for s, k, e in base]
+                good = []
                 for s, k, e in candidates(text, base):
                     shape = _shape(text, s, k, e, known)
                     if shape not in seen:
-                        seen[shape] = m.accepts(shape)
-                    if seen[shape]:
-                        spans.append((s, k, e, False))
+                        seen[shape] = m.score(shape)
+                    if seen[shape] > 0:
+                        good.append((seen[shape], (s, k, e)))
+                spans += [(*c, False) for c in settle(good)]
                 out.append((doc, [{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in sorted(spans)]))
             frame = pd.DataFrame(out, columns=["doc_id", "spans"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")

@@ -49,3 +49,19 @@ def test_gazetteers_can_be_given():
     assert at("to Mr Zaphod", pii.Gazetteers()) == 0 and at("to Mr Zaphod", pii.Gazetteers(names=frozenset(["zaphod"]))) == 1
     mail = "bob [at] mail [dot] gmail [dot] com"
     assert pii.votes(mail, 0, pii.KIND_AT["email_spelled"], len(mail))[2] == 1
+
+
+def test_overlapping_candidates_are_settled_by_score():
+    text = "5 Maple Dr Martin Smith"
+    kinds = {pii.KINDS[k]: (text[s:e], (s, k, e)) for s, k, e in pii.candidates(text, [])}
+    assert kinds["name"][0] == "Dr Martin Smith" and any("5 Maple Dr" == t for t, _ in kinds.values())
+    street = next(c for t, c in kinds.values() if t == "5 Maple Dr")
+    name = kinds["name"][1]
+    assert pii.settle([(1.0, street), (2.0, name)]) == [name] and pii.settle([(3.0, street), (2.0, name)]) == [street] and pii.settle([(2.0, name)]) == [name]
+    assert pii.settle([(1.0, (0, 0, 3)), (2.0, (2, 1, 6)), (1.5, (5, 0, 9)), (1.0, (9, 0, 12))]) == [(2, 1, 6), (9, 0, 12)]
+
+
+def test_no_candidate_touches_any_of_many_base_spans():
+    base = [(i * 3, 0, i * 3 + 2) for i in range(12)] + [(40, 1, 70)]
+    text = "x" * 36 + "    Dr Martin Smith" + " " * 40 + "Mrs Anna Jones"
+    assert [text[s:e] for s, _, e in pii.candidates(text, base)] == ["Mrs Anna Jones"]

@@ -267,3 +267,17 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     packed = kept["packing"]
     assert packed.groupby("sequence_id")["length"].sum().max() <= 4096 and set(packed["doc_id"]) == set(kept["mixing"]["doc_id"])
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) == '["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]'
+
+
+def test_a_foreign_text_with_a_known_key_is_not_found(spark):
+    index = exact_dedup.build_index(table(spark, [(1, "a")]), hash_of=F.length)
+    assert exact_dedup.look_up(table(spark, [(7, "b"), (8, "a")]), index, hash_of=F.length).select("doc_id").collect() == [(8,)]
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1]), (2, words[0] + " more"), (3, words[2]), (None, words[2]), (3, None), (4, ""), (1, words[1].upper())]
+    got = sorted(((r["doc_id"], (r["text"] or "-")[:2]) for r in near_dedup.drop_near_duplicates(table(spark, rows)).collect()), key=repr)
+    upper = sum(1 for g in got if g[1] in ("b0", "B0"))
+    assert upper == 1 and sorted((g for g in got if g[1].lower() != "b0"), key=repr) == sorted([(1, "a0"), (3, "c0"), (None, "c0"), (3, "-"), (4, "-")], key=repr)
+    assert near_dedup.drop_near_duplicates(table(spark, [])).count() == 0

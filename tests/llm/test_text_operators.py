@@ -330,6 +330,8 @@ def test_media_table(spark, odd):
         p = b + b" " * (192 * max(1, -(-len(b) // 192)) - len(b))
         row = got[got["doc_id"] == doc].iloc[0] if doc is not None else got[got["doc_id"].isna()].iloc[0]
         assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        media = bytes(x ^ 0x80 for x in p)
+        assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
     row = stored.filter("doc_id = 4").first()
     assert [b["sample_offset"] for b in row["blocks"]] == list(range(0, 45120, 64 * 192)) and row["n_samples"] == 45120
     want = bytes(x ^ 0x80 for x in ODD[5][1].encode() + b" " * 120)
