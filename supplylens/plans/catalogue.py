@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplylens.functions import is_valid_transition
-from supplylens.operators import aggregates as agg, bucketed
-from supplylens.operators import cdc, joins, lookups, merge, windows
-from supplylens.plans.standins import expand, standin
-from supplylens.streaming import worklog
+from supplylens.operators import aggregates as agg
+from supplylens.operators import bucketed, cdc, joins, lookups, merge, windows
+from supplylens.plans.standins import STANDINS, expand, standin
+from supplylens.streaming import ordered, worklog
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -581,6 +581,29 @@ def replay_lifecycle(spark, sf_dir):
     return worklog.replay_lifecycle(h.withColumnRenamed("id", "event_id"))
 
 
+@query()
+def replay_lifecycle_stream(spark, sf_dir):
+    """The same as a stream over the events' file, with an event far ahead that moves the watermark past all others; the last state of each key."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = bucketed.scratch_path(spark, "stream")
+    ahead = events.agg(*[(F.max(c) + F.expr("interval 30 days") if c == "ts" else F.max(c)).alias(c) for c in events.columns])
+    events.write.parquet(f"{path}/in/events")
+    ahead.withColumn("user_id", F.lit(-1).cast(events.schema["user_id"].dataType)).write.parquet(f"{path}/in/ahead")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+    history = spark.sql(STANDINS["history"].replace("FROM events", "FROM {e}"), e=stream).withColumnRenamed("id", "event_id")
+    states = ordered.ordered_fold_stream(history.withColumns({"kind": F.lit("request"), "priority": F.lit(0), "not_before": F.col("ts")}), "lifecycle", retention_s=36_500 * 86_400)
+    # A batch that is written twice overwrites itself.
+    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/out/{n}")
+    query = states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.option("recursiveFileLookup", True).schema("queue string, key string, status string, accepted long, rejected long, batch long").parquet(f"{path}/out")
+    last = out.groupBy("queue", "key").agg(F.max_by(F.struct("status", "accepted", "rejected"), "batch").alias("s"))
+    return last.filter("key != 'k-1'").select("queue", "key", "s.*")
+
+
+ORACLES["replay_lifecycle_stream"] = ORACLES["replay_lifecycle"]
+
+
 @query("""
 SELECT queue, key, max_by(ts, (ts, id)) + INTERVAL 3600 SECOND AS expired_at FROM history GROUP BY queue, key
 HAVING max_by(to_status, (ts, id)) IN ('claimed', 'running') AND max_by(ts, (ts, id)) + INTERVAL 3600 SECOND < TIMESTAMP '2024-01-30 12:00:00'
