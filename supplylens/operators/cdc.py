@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplylens.functions import is_skipped_tag
+from supplylens.operators.lookups import page_after
 
 
 def changed_records(new: DataFrame, known: DataFrame, keys: Sequence[str] = ("vuln_id", "source"), digest: str = "raw_hash") -> DataFrame:
@@ -60,17 +61,19 @@ def tree_changes(new: DataFrame, old: DataFrame | None) -> DataFrame:
     return out.select(*new.columns, change.alias("change"))
 
 
-def changed_vulns(v: DataFrame, affected: DataFrame, since=None, cap: int | None = None) -> DataFrame:
-    """Ids updated after ``since``, oldest first; on the first run all ids with a named package.
+def changed_vulns(v: DataFrame, affected: DataFrame, since=None, cap: int | None = None, after: tuple | None = None) -> DataFrame:
+    """(id, updated_at) of what was updated after ``since``, oldest first; on the first run all ids with a named package, by id, without a time.
 
-    ``cap`` is the work list's size; 0 lifts it. A run that was capped resumes at the ``updated_at`` of its last id.
+    ``cap`` is the work list's size; 0 lifts it. A run that was capped resumes behind its last row: ``after`` is that row's (updated_at, id), so ids that share
+    its time are not lost.
     """
     if since is None:
         ids = affected.filter("package_name != ''").select(F.col("vuln_id").alias("id")).distinct()
-        out, most = ids.orderBy("id"), 10_000 if cap is None else cap
-        return out.limit(most) if most else out
-    out, most = v.filter(F.col("updated_at") > F.lit(since)).select("id", "updated_at").orderBy("updated_at", "id"), 5_000 if cap is None else cap
-    return (out.limit(most) if most else out).select("id")
+        rows, order, most = ids.withColumn("updated_at", F.lit(None).cast(v.schema["updated_at"].dataType)), [("id", "asc")], 10_000 if cap is None else cap
+        after = after and after[1:]
+    else:
+        rows, order, most = v.filter(F.col("updated_at") > F.lit(since)).select("id", "updated_at"), [("updated_at", "asc"), ("id", "asc")], 5_000 if cap is None else cap
+    return page_after(rows, order, after, most or 2**31 - 1)
 
 
 def tag_references(tags: DataFrame) -> DataFrame:

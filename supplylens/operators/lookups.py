@@ -20,6 +20,30 @@ def page(df: DataFrame, order: Sequence[Column | str], limit: int | None = None,
     return (out.offset(offset) if offset > 0 else out).limit(n)
 
 
+def page_after(df: DataFrame, order: Sequence[tuple[str, str]], after: tuple | None = None, limit: int = 100) -> DataFrame:
+    """The next ``limit`` rows behind the position ``after`` (values of the ordered columns; none: the first page).
+
+    ``order`` names columns with ``asc`` or ``desc``, nulls last, and ends in a unique column. A page is a filter and a bounded top-k, however far it lies
+    behind the first, and pages taken to the end give every row once, ties included, whatever is added before the position meanwhile.
+    """
+    rows = df
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for (name, way), value in zip(order, after, strict=True):
+            c = F.col(name)
+            if value is not None:
+                later = (c > F.lit(value)) if way == "asc" else (c < F.lit(value))
+                beyond = beyond | (same & (c.isNull() | later))
+            same = same & c.eqNullSafe(F.lit(value))
+        rows = df.filter(F.coalesce(beyond, F.lit(False)))
+    return rows.orderBy(*[F.asc_nulls_last(c) if way == "asc" else F.desc_nulls_last(c) for c, way in order]).limit(limit)
+
+
+def position(row, order: Sequence[tuple[str, str]]) -> tuple:
+    """Where a row of :func:`page_after` stands."""
+    return tuple(row[c] for c, _ in order)
+
+
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key."""
     return top_k_per_group(df, keys, order, 1)

@@ -20,6 +20,7 @@ from supplylens.functions.ordering import ORDERS, order_key, order_of
 from supplylens.functions.text import strip_version_suffix
 from supplylens.operators.intervals import interval_join
 from supplylens.operators.lookups import dedupe_first, top_k_per_group
+from supplylens.operators.ngrams import build_ngrams, substring_search
 from supplylens.sources.shared import materialize
 
 #: A range as the matchers take it; ``order`` names the order of its bounds, null where they have none. Typed ones have range_type in front.
@@ -489,8 +490,8 @@ def frequent_vuln_names(affected: DataFrame, min_cves: int = 3, k: int = 3000) -
 def unmapped_candidates(sources: DataFrame, affected: DataFrame, descriptions: DataFrame, findings: DataFrame, similar: int = 5) -> DataFrame:
     """Packages known under no name, with evidence: similar names by number of vulnerabilities, description and an example finding.
 
-    Similar names contain the part of the package's name before its first hyphen. They are found through the distinct three-letter
-    pieces of the names instead of comparing all with all; parts shorter than three letters are compared with every name's pieces of their own length.
+    Similar names contain the part of the package's name before its first hyphen. They are found by :func:`substring_search`, through the rarest
+    gram of each part.
     """
     counts = affected.withColumn("name", F.lower("package_name")).filter("name != ''").groupBy("name").agg(F.countDistinct("vuln_id").alias("cves"))
     names = sources.select("source_package", F.lower("source_package").alias("name")).distinct()
@@ -498,10 +499,10 @@ def unmapped_candidates(sources: DataFrame, affected: DataFrame, descriptions: D
     tried = names.withColumn("try", F.explode(tries)).filter("try != ''")
     known = tried.join(counts.select(F.col("name").alias("try")), "try", "left_semi").select("source_package").distinct()
     rows = names.join(known, "source_package", "left_anti").withColumn("part", F.split_part("name", F.lit("-"), F.lit(1)))
-    piece = F.substring("part", 1, 3)
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length("name")), lambda i: F.array(F.substr("name", i, F.lit(1)), F.substr("name", i, F.lit(2)), F.substr("name", i, F.lit(3))))))
-    pieces = counts.select(F.col("name").alias("similar"), "cves", F.explode(grams).alias("piece"))
-    hits = rows.withColumn("piece", piece).join(pieces, "piece").filter(F.contains("similar", "part"))
+    found = substring_search(build_ngrams(counts), rows, "part").select(F.col("needle").alias("part"), F.col("name").alias("similar"))
+    # Packages share parts, so each part is searched once and ranked before it goes back to them.
+    best = top_k_per_group(found.join(counts.withColumnRenamed("name", "similar"), "similar"), ["part"], [F.desc("cves"), "similar"], similar)
+    hits = rows.select("source_package", "part").join(best, "part")
     hits = top_k_per_group(hits.select("source_package", "similar", "cves").distinct(), ["source_package"], [F.desc("cves"), "similar"], similar)
     w = Window.partitionBy("source_package").orderBy(F.desc("cves"), "similar")
     hits = hits.withColumn("n", F.row_number().over(w)).groupBy("source_package").agg(F.sort_array(F.collect_list(F.struct("n", "similar", "cves"))).alias("s"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supplylens.functions import is_valid_transition
 from supplylens.operators import aggregates as agg
-from supplylens.operators import bucketed, cdc, joins, lookups, merge, windows
+from supplylens.operators import bucketed, cdc, joins, lookups, merge, ngrams, sketches, windows
 from supplylens.plans.standins import STANDINS, expand, standin
 from supplylens.streaming import ordered, worklog
 
@@ -425,6 +425,19 @@ def latency_quantiles(spark, sf_dir):
     return out.select("queue", "to_status", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
+@query("""
+SELECT queue, date_trunc('day', ts) AS day, count(duration) AS n, min(duration) AS least, max(duration) AS most, true AS p50_fits, true AS p99_fits FROM history WHERE duration IS NOT NULL GROUP BY queue, 2
+""")
+def daily_quantiles(spark, sf_dir):
+    """Day figures merged from hourly sketches; of the quantiles, whether their ranks are within the error that is stated."""
+    h = Tables(spark, sf_dir).history.withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    daily = sketches.sketch_quantiles(sketches.roll_up(sketches.quantile_sketches(h, ["queue"], "duration"), ["queue"], "1 day"))
+    daily = daily.withColumn("day", F.col("window_start").cast("timestamp_ntz"))
+    ranks = h.filter("duration is not null").select("queue", "day", "duration").join(daily.select("queue", "day", "p50", "p99"), ["queue", "day"]).groupBy("queue", "day")
+    near = lambda c, p: (F.avg((F.col("duration") < F.col(c)).cast("int")) - sketches.RANK_ERROR <= p) & (F.avg((F.col("duration") <= F.col(c)).cast("int")) + sketches.RANK_ERROR >= p)
+    return daily.select("queue", "day", "n", "least", "most").join(ranks.agg(near("p50", 0.5).alias("p50_fits"), near("p99", 0.99).alias("p99_fits")), ["queue", "day"])
+
+
 @query("""
 SELECT queue, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status IN ('claimed', 'running')) AS in_progress, count(*) FILTER (status = 'dead_letter') AS dead_letters,
   CAST(coalesce(epoch(TIMESTAMP '2000-01-01 00:00:00') - epoch(min(CASE WHEN status = 'pending' THEN created_at END)), 0) AS BIGINT) AS oldest_pending_s FROM items GROUP BY queue
@@ -704,12 +717,32 @@ def tree_changes(spark, sf_dir):
     return cdc.tree_changes(t.select("path", "hash"), old)
 
 
-@query("SELECT id FROM vulnerabilities WHERE updated_at > TIMESTAMP '1998-06-01 00:00:00' ORDER BY updated_at, id LIMIT 5000")
+@query("SELECT id, updated_at FROM vulnerabilities WHERE updated_at > TIMESTAMP '1998-06-01 00:00:00' ORDER BY updated_at, id LIMIT 5000")
 def changed_vulns(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return cdc.changed_vulns(vulnerabilities(t), t.affected, ts("1998-06-01 00:00:00"))
 
 
+@query("SELECT id, updated_at FROM vulnerabilities WHERE updated_at > TIMESTAMP '1994-06-01 00:00:00' ORDER BY updated_at, id LIMIT 3000 OFFSET 3000")
+def changed_vulns_resumed(spark, sf_dir):
+    """The second of two capped runs, behind the first one's last row; many ids share a time."""
+    t = Tables(spark, sf_dir)
+    v, since = vulnerabilities(t), ts("1994-06-01 00:00:00")
+    last = cdc.changed_vulns(v, t.affected, since, 3000).orderBy(F.desc("updated_at"), F.desc("id")).first()
+    return cdc.changed_vulns(v, t.affected, since, 3000, (last["updated_at"], last["id"]) if last else None)
+
+
+@query("""
+WITH needles AS (SELECT DISTINCT substr(p_name, 1 + p_partkey % 4, 2 + p_partkey % 3) || CAST(p_partkey % 50 AS STRING) AS needle FROM part), names AS (SELECT DISTINCT p_name || CAST(p_partkey % 1000 AS STRING) AS name FROM part)
+SELECT needle, name FROM needles JOIN names ON contains(name, needle)
+""")
+def substring_search(spark, sf_dir):
+    p = Tables(spark, sf_dir).part
+    k = F.col("p_partkey")
+    needles = p.select(F.concat(F.substr("p_name", (1 + k % 4).cast("int"), (2 + k % 3).cast("int")), (k % 50).cast("string")).alias("needle"))
+    return ngrams.substring_search(ngrams.build_ngrams(p.select(F.concat("p_name", (k % 1000).cast("string")).alias("name"))), needles)
+
+
 @query("""
 SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 6 <> 0 THEN c_acctbal + 1 WHEN c_custkey % 12 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer
 """)
