@@ -90,6 +90,13 @@ def apply_merge(spark: SparkSession, path: str, source: DataFrame, rule: Rule) -
     return found
 
 
+def replace_buckets(spark: SparkSession, path: str, rows: DataFrame, buckets: Sequence[int]) -> None:
+    """Put ``rows``, which must fall into these buckets, in place of what they hold."""
+    if buckets:
+        _write(open_table(spark, path), rows, spark.createDataFrame([(b,) for b in buckets], f"{BUCKET} int"), "overwrite")
+        spark.catalog.refreshByPath(f"{path}/data")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark)}/supplylens-{name}-{uuid.uuid4().hex}"

@@ -74,16 +74,28 @@ def split_rejects(df: DataFrame, schema: str, ident: str, sources: list[str], tr
     return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null")
 
 
+def _lower_trees(nodes, depth: int = S.NODE_DEPTH) -> Column:
+    """What lies below the levels that are parsed at once, as texts."""
+    if depth == 0:
+        return F.flatten(F.transform(nodes, lambda n: _list(n["children"], STRINGS)))
+    return F.flatten(F.transform(nodes, lambda n: _lower_trees(_list(n["children"], f"array<{S.cpe_node(depth - 1)}>"), depth - 1)))
+
+
+def _roots(configurations) -> Column:
+    return F.flatten(F.transform(configurations, lambda c: _list(c["nodes"], f"array<{S.cpe_node(S.NODE_DEPTH)}>")))
+
+
+def _parsed_trees(texts) -> Column:
+    return F.transform(texts, lambda t: F.from_json(t, S.cpe_node(S.NODE_DEPTH)))
+
+
 def tree_too_deep(configurations) -> Column:
-    """Whether CPE nodes lie below the ``NODE_DEPTH`` levels that are read."""
+    """Whether CPE nodes lie below the levels that are read: ``NODE_DEPTH`` + 1 in each of ``NODE_ROUNDS`` rounds."""
 
-    def deeper(node, depth: int) -> Column:
-        if depth == 0:
-            return F.size(_list(node["children"], STRINGS)) > 0
-        return F.exists(_list(node["children"], f"array<{S.cpe_node(depth - 1)}>"), lambda c: deeper(c, depth - 1))
+    def deeper(texts, rounds: int) -> Column:
+        return F.size(texts) > 0 if rounds == 0 else (F.size(texts) > 0) & deeper(_lower_trees(_parsed_trees(texts)), rounds - 1)
 
-    nodes = F.flatten(F.transform(configurations, lambda c: _list(c["nodes"], f"array<{S.cpe_node(S.NODE_DEPTH)}>")))
-    return F.coalesce(F.exists(nodes, lambda n: deeper(n, S.NODE_DEPTH)), F.lit(False))
+    return F.coalesce(deeper(_lower_trees(_roots(configurations)), S.NODE_ROUNDS - 1), F.lit(False))
 
 
 # CVE v5
@@ -209,10 +221,19 @@ def _node_matches(node, depth: int) -> Column:
     return F.concat(own, below)
 
 
+def _tree_matches(nodes, rounds: int) -> Column:
+    """All CPE matches of trees, round by round of parsed levels; a later round is only worked out where there is something left for it."""
+    own = F.flatten(F.transform(nodes, lambda n: _node_matches(n, S.NODE_DEPTH)))
+    if rounds == 1:
+        return own
+    none = F.array().cast(f"array<{S.CPE_MATCH}>")
+    lower = F.transform(F.array(_lower_trees(nodes)), lambda texts: F.when(F.size(texts) > 0, _tree_matches(_parsed_trees(texts), rounds - 1)).otherwise(none))
+    return F.concat(own, F.flatten(lower))
+
+
 def nvd_affected(rows: DataFrame, configurations, source: str) -> DataFrame:
-    """One affected row for each vulnerable CPE match of the configuration trees (to a depth of ``NODE_DEPTH`` below the root)."""
-    nodes = F.flatten(F.transform(configurations, lambda c: _list(c["nodes"], f"array<{S.cpe_node(S.NODE_DEPTH)}>")))
-    matches = F.filter(F.flatten(F.transform(nodes, lambda n: _node_matches(n, S.NODE_DEPTH))), lambda m: m["vulnerable"])
+    """One affected row for each vulnerable CPE match of the configuration trees, whose levels are read as :func:`tree_too_deep` says."""
+    matches = F.filter(_tree_matches(_roots(configurations), S.NODE_ROUNDS), lambda m: m["vulnerable"])
     out = rows.withColumn("m", F.explode(matches)).withColumn("cpe", cpe_parts("m.criteria"))
     start = F.coalesce(F.nullif(F.col("m.versionStartIncluding"), F.lit("")), F.nullif(F.col("m.versionStartExcluding"), F.lit("")))
     exclusive = (_t(F.col("m.versionStartIncluding")) == "") & (_t(F.col("m.versionStartExcluding")) != "")

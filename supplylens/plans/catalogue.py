@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supplylens.functions import is_valid_transition
 from supplylens.operators import aggregates as agg
-from supplylens.operators import bucketed, cdc, joins, lookups, merge, ngrams, sketches, windows
+from supplylens.operators import bucketed, cdc, history, joins, lookups, merge, ngrams, sketches, windows
 from supplylens.plans.standins import STANDINS, expand, standin
 from supplylens.streaming import ordered, worklog
 
@@ -482,6 +482,22 @@ def scd2_history(spark, sf_dir):
     return windows.tag_history(Tables(spark, sf_dir).events, ["user_id"], "event_type")
 
 
+@query()
+def scd2_history_on_file(spark, sf_dir):
+    """The same history from three batches: the events out of order, a part of them again, and others that are taken back before they come."""
+    events = Tables(spark, sf_dir).events.select("user_id", "event_id", "ts", "event_type")
+    h = history.History(bucketed.scratch_path(spark, "history"), ("user_id",), "event_type")
+    history.create_history(h, events.filter("event_id % 3 = 1"), buckets=8)
+    extra = events.filter("event_id % 5 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000)
+    none = [F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c in ("ts", "event_type")]
+    history.apply_events(spark, h, extra.select("user_id", "event_id", *none, F.lit(True).alias("retracted")))
+    history.apply_events(spark, h, events.filter("event_id % 3 != 1 or event_id % 7 = 0").unionByName(extra))
+    return history.read_history(spark, h)
+
+
+ORACLES["scd2_history_on_file"] = ORACLES["scd2_history"]
+
+
 @query("SELECT queue, key, id, to_status AS status, round(epoch_us(lead(created_at) OVER (PARTITION BY queue, key ORDER BY created_at, id)) / 1e6 - epoch_us(created_at) / 1e6, 3) AS seconds FROM history")
 def time_in_state(spark, sf_dir):
     h = Tables(spark, sf_dir).history.withColumn("created_at", F.col("created_at").cast("timestamp"))

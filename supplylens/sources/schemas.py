@@ -25,7 +25,8 @@ def cpe_node(depth: int) -> str:
     return f"STRUCT<operator: STRING, negate: BOOLEAN, cpeMatch: ARRAY<{CPE_MATCH}>{inner}>"
 
 
-NODE_DEPTH = 4
+#: Levels below a root that are parsed at once; what lies lower stays text, which is parsed in turn, so often.
+NODE_DEPTH, NODE_ROUNDS = 4, 12
 CONFIGURATIONS = f"ARRAY<STRUCT<nodes: ARRAY<{cpe_node(NODE_DEPTH)}>>>"
 METRIC_NVD = f"STRUCT<source: STRING, type: STRING, cvssData: {CVSS}>"
 METRIC_NVD_V2 = f"STRUCT<source: STRING, type: STRING, cvssV2: {CVSS}, cvssData: {CVSS}>"

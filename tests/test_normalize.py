@@ -153,17 +153,21 @@ def test_rejects_keep_a_reason(spark):
     assert good.count() == 1 and sorted(r["reason"] for r in bad.collect()) == ["malformed record", "malformed record", "missing id", "unknown source"]
 
 
-def test_deep_trees_are_rejected(spark):
+def test_trees_are_read_to_their_ends_and_deeper_ones_rejected(spark):
     def record(i, depth):
-        node = {"cpeMatch": [{"vulnerable": True, "criteria": "cpe:2.3:a:v:p:1:*:*:*:*:*:*:*"}]}
+        leaf = {"cpeMatch": [{"vulnerable": True, "criteria": f"cpe:2.3:a:v:p{depth}:1:*:*:*:*:*:*:*"}]}
         for _ in range(depth):
-            node = {"children": [node]}
-        return ("nvd", json.dumps({"id": i, "configurations": [{"nodes": [node]}]}))
-
-    rows = spark.createDataFrame([record("CVE-1", S.NODE_DEPTH), record("CVE-2", S.NODE_DEPTH + 1), ("nvd", '{"id": "CVE-3"}'), ("what", "{}"), (None, "{}")], "source string, content string")
-    assert n.normalize_nvd(rows.limit(1))[1].count() == 1
+            leaf = {"cpeMatch": [{"vulnerable": True, "criteria": "cpe:2.3:a:v:inner:*"}], "children": [leaf]}
+        return ("nvd", json.dumps({"id": i, "configurations": [{"nodes": [leaf]}]}))
+
+    most = (S.NODE_DEPTH + 1) * S.NODE_ROUNDS - 1
+    assert most >= 50
+    depths = [0, S.NODE_DEPTH, S.NODE_DEPTH + 1, 11, 50, most, most + 1]
+    rows = spark.createDataFrame([*[record(f"CVE-{d}", d) for d in depths], ("nvd", '{"id": "CVE-x"}'), ("what", "{}"), (None, "{}")], "source string, content string")
+    got = {(r["vuln_id"], r["package_name"]): r["n"] for r in n.normalize_nvd(rows.filter("source = 'nvd'"))[1].groupBy("vuln_id", "package_name").agg(F.count("*").alias("n")).collect()}
+    assert all(got[f"CVE-{d}", f"p{d}"] == 1 and got.get((f"CVE-{d}", "inner"), 0) == d for d in depths if d <= most)
     got = sorted((json.loads(r["content"]).get("id", ""), r["reason"]) for r in n.rejects(rows).collect())
-    assert got == [("", "unknown source"), ("", "unknown source"), ("CVE-2", "configuration tree too deep")]
+    assert got == [("", "unknown source"), ("", "unknown source"), (f"CVE-{most + 1}", "configuration tree too deep")]
 
 
 def test_debian_list(spark):
