@@ -587,7 +587,7 @@ def scan_platforms(platform_packages: DataFrame, packages: DataFrame, affected:
     group = F.when(has_purl, F.concat(F.lit("purl "), "purl")).otherwise(F.concat(F.lit("name "), F.lower("package_name")))
     whole = whole_ranges(affected).select(group.alias("group"), "vuln_id", "ranges").filter("group is not null").distinct()
     # Entries of one group with equal ranges are one entry to the search, whatever their vulnerability.
-    rows = whole.withColumn("entry", F.sha2(F.to_json(F.struct("group", "ranges")), 256))
+    rows = materialize(whole.withColumn("entry", F.sha2(F.to_json(F.struct("group", "ranges")), 256)))
     names = F.filter(F.array(F.when(has_purl, F.concat(F.lit("purl "), "purl")), F.concat(F.lit("name "), F.lower("name"))), lambda g: g.isNotNull())
     p = packages.select("package_id", "name", "version", F.explode(names).alias("group"))
     versions = p.select("group", F.col("version").alias("upstream_version")).distinct().join(rows.select("group").distinct(), "group", "left_semi")
