@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from supplylens.plans import advisories, catalogue
+from supplylens.plans import advisories, catalogue, files
 
-QUERIES = {**catalogue.QUERIES, **advisories.QUERIES}
-ORACLES = {**catalogue.ORACLES, **advisories.ORACLES}
+QUERIES = {**catalogue.QUERIES, **advisories.QUERIES, **files.QUERIES}
+ORACLES = {**catalogue.ORACLES, **advisories.ORACLES, **files.ORACLES}

@@ -1,19 +1,17 @@
-"""Readers of landed feeds and logs. Inputs are files that Spark's own readers list and split."""
+"""Readers of landed feeds and logs. Spark's own readers list and split their files, but for archives, which :mod:`supplylens.sources.archives` cuts up."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from supplylens.sources import schemas as S
+from supplylens.sources.archives import ArchiveSource
 
-#: Members of an archive beyond this size come without content, so that they are rejected and not lost: no record is that long.
-LARGEST_MEMBER = 16 * 1024 * 1024
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -45,29 +43,17 @@ def read_nvd_feed(spark: SparkSession, paths) -> DataFrame:
     return rows.select(F.lit("nvd").alias("source"), F.col("cve.id").alias("vuln_id"), F.to_json("cve").alias("content"))
 
 
-def read_osv_zip(spark: SparkSession, paths) -> DataFrame:
-    """(source, key, content, raw_hash): the JSON members of ecosystem archives.
+def read_osv_zip(spark: SparkSession, paths, stretch_bytes: int = 32 << 20, streaming: bool = False) -> DataFrame:
+    """(source, key, content, raw_hash): the JSON members of ecosystem archives, or of those right below a folder; members over 16 MiB have null as content.
 
-    An archive is read by one task (its format has its index at the end) and yields its members in small batches; they are dealt out anew afterwards.
+    Stretches of an archive's directory are tasks of their own. As a stream, only archives that are new or have changed are read.
     """
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, data in zip(batch["path"], batch["content"]):
-                rows: list[tuple[str, str]] = []
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for info in z.infolist():
-                        if info.filename.endswith(".json"):
-                            fits = info.file_size <= LARGEST_MEMBER
-                            rows.append((f"osv/{path.rsplit('/', 1)[-1].removesuffix('.zip')}/{info.filename}", z.read(info).decode("utf-8", "replace") if fits else None))
-                        if len(rows) == 500:
-                            yield pd.DataFrame(rows, columns=["key", "content"])
-                            rows = []
-                yield pd.DataFrame(rows, columns=["key", "content"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    rows = files.mapInPandas(members, "key string, content string").repartition(F.xxhash64("key"))
-    return rows.select(F.lit("osv").alias("source"), "key", "content", F.sha2("content", 256).alias("raw_hash"))
+    spark.dataSource.register(ArchiveSource)
+    named = json.dumps([paths] if isinstance(paths, str) else list(paths))
+    members = (spark.readStream if streaming else spark.read).format("zip_members").option("paths", named).option("stretch_bytes", str(stretch_bytes)).load()
+    ecosystem = F.regexp_extract("archive", r"([^/]+?)(\.zip)?$", 1)
+    key = F.concat_ws("/", F.lit("osv"), ecosystem, "member")
+    return members.select(F.lit("osv").alias("source"), key.alias("key"), "content", F.sha2("content", 256).alias("raw_hash"))
 
 
 def read_kev(spark: SparkSession, path) -> DataFrame:
@@ -133,7 +119,8 @@ def read_name_mappings(spark: SparkSession, path) -> DataFrame:
 
 
 def read_descriptions(spark: SparkSession, path) -> DataFrame:
-    return _map_file(spark, path, "map<string,string>").select(F.lower("k").alias("name"), F.col("v").alias("description"))
+    """(name, description) from ``{name: text}``; names as they are written."""
+    return _map_file(spark, path, "map<string,string>").select(F.col("k").alias("name"), F.col("v").alias("description"))
 
 
 QUEUE_HISTORY = "id LONG, queue STRING, key STRING, from_status STRING, to_status STRING, worker_id STRING, error_message STRING, priority INT, not_before TIMESTAMP, created_at TIMESTAMP"
@@ -169,8 +156,6 @@ def decode_json_or_yaml(df: DataFrame) -> DataFrame:
     except ImportError:
         return df
 
-    import json
-
     @F.pandas_udf("string")
     def to_json(texts: pd.Series) -> pd.Series:
         def one(t):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from supplylens.operators.aggregates import advisory_summary
 from supplylens.operators.lookups import feed_input
 from supplylens.operators.matching import to_osv
+from supplylens.sources.documents import write_documents
 
 
 def write_bronze(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -29,7 +30,7 @@ def package_documents(adv: DataFrame) -> DataFrame:
 
 
 def write_package_advisories(adv: DataFrame, path: str, mode: str = "overwrite", summary: str | None = None) -> None:
-    """A document for each package, and in the folder ``summary`` a line of counts for each package."""
+    """One file for each package, all in one folder, and in the folder ``summary`` a line of counts for each package."""
     if summary:
         advisory_summary(adv).write.mode(mode).json(summary)
-    package_documents(adv).write.mode(mode).partitionBy("package").json(path)
+    write_documents(package_documents(adv), path, "package", "document", mode=mode)

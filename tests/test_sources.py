@@ -62,7 +62,7 @@ def test_map_files(spark, tmp_path):
     assert [tuple(r) for r in readers.read_cpe_index(spark, str(tmp_path / "cpe.json")).collect()] == [("curl", "haxx", "curl")]
     assert [tuple(r) for r in readers.read_name_mappings(spark, str(tmp_path / "map.json")).collect()] == [("httpd", "http_server")]
     assert sorted(tuple(r) for r in readers.read_name_mappings(spark, str(tmp_path / "plain.json")).collect()) == [("a", "b"), ("a", "c")]
-    assert readers.read_source(spark, "descriptions", str(tmp_path / "desc.json")).first()["name"] == "a"
+    assert readers.read_source(spark, "descriptions", str(tmp_path / "desc.json")).first()["name"] == "A"
 
 
 def test_namespace_and_logs(spark, tmp_path):
