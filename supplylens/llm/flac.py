@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -448,47 +449,60 @@ def write_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, "doc_id long, n_bytes long, media binary")
 
 
-PCM = "doc_id long, n_bytes long, n_samples long, blocks array<struct<sample_offset: long, pcm: binary>>"
+PCM = "stream long, doc_id long, n_bytes long, n_samples long, sample_offset long, pcm binary"
+#: Blocks in a row of a PCM table.
+RUN_BLOCKS = 64
 
 
-def pcm_blocks(media: DataFrame, blocks_per_run: int = 64) -> DataFrame:
-    """Decode streams to signed 8-bit PCM: a row for each stream with its runs of blocks, each beside the sample offset that it is sought by.
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """Decode streams to signed 8-bit PCM: a row for each run of ``RUN_BLOCKS`` blocks, with the offset of its first sample.
 
-    Every frame's checksums and the MD5 of the samples are verified; a damaged stream raises :class:`CorruptStream`.
+    ``stream`` tells the streams of repeated or null ids apart. Every frame's checksums and the MD5 of the samples are verified; a damaged stream raises
+    :class:`CorruptStream`. Streams of any length are decoded whole; repeated rows give repeated streams, null ids stay null, an empty table gives no rows; only ``doc_id``,
+    ``n_bytes`` and ``media`` are read, so other columns never clash.
     """
-    step = blocks_per_run * BLOCK
+    step = RUN_BLOCKS * BLOCK
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _groups([len(m) for m in batch["media"]]):
                 rows = batch.iloc[part]
-                out = [
-                    (len(x), [{"sample_offset": at, "pcm": x[at : at + step].tobytes()} for at in range(0, len(x), step)])
-                    for x in decode(rows["media"].tolist())
-                ]
-                frame = pd.DataFrame(out, columns=["n_samples", "blocks"])
-                frame.insert(0, "doc_id", pd.array(rows["doc_id"], dtype="Int64"))
-                frame.insert(1, "n_bytes", rows["n_bytes"].to_numpy())
-                yield frame
-
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(work, PCM)
+                samples = decode(rows["media"].tolist())
+                cuts = [range(0, len(x), step) for x in samples]
+                each = np.repeat(np.arange(len(rows)), [len(c) for c in cuts])
+                yield pd.DataFrame(
+                    {
+                        "stream": rows["stream"].to_numpy()[each],
+                        "doc_id": pd.array(rows["doc_id"], dtype="Int64")[each],
+                        "n_bytes": rows["n_bytes"].to_numpy()[each],
+                        "n_samples": np.array([len(x) for x in samples])[each],
+                        "sample_offset": np.concatenate([np.asarray(c) for c in cuts]),
+                        "pcm": [x[at : at + step].tobytes() for x, c in zip(samples, cuts) for at in c],
+                    }
+                )
+
+    return media.select(F.monotonically_increasing_id().alias("stream"), "doc_id", "n_bytes", "media").mapInPandas(work, PCM)
 
 
 def store_pcm(media: DataFrame) -> DataFrame:
-    """Write :func:`pcm_blocks` as a compressed Parquet table below the shared folder and return its reader."""
+    """Write :func:`pcm_blocks` as a compressed Parquet table below the shared folder and return its reader. A stream's rows lie side by side, by their offsets."""
     return shared_table(pcm_blocks(media), "pcm", compression="zstd")
 
 
 def seek(stored: DataFrame, first: int, n: int) -> DataFrame:
-    """(doc_id, pcm) with the samples from ``first`` to ``first + n`` of each stream, from the runs at those offsets alone; fewer where it ends earlier."""
-    size = lambda b: F.octet_length(b["pcm"])
-    runs = F.filter("blocks", lambda b: (b["sample_offset"] < first + n) & (b["sample_offset"] + size(b) > first))
-
-    def cut_out(b):
-        skip = F.greatest(F.lit(0), F.lit(first) - b["sample_offset"])
-        return F.substring(b["pcm"], (skip + 1).cast("int"), F.greatest(F.lit(0), F.least(size(b).cast("long"), F.lit(first + n) - b["sample_offset"]) - skip).cast("int"))
+    """(stream, doc_id, pcm) with the samples from ``first`` to ``first + n`` of each stream that reaches so far; fewer where it ends earlier.
 
-    return stored.select("doc_id", F.aggregate(F.transform(runs, cut_out), F.lit(b""), lambda acc, x: F.concat(acc, x)).alias("pcm"))
+    Plain bounds on ``sample_offset`` go down to the Parquet reader, which skips row groups and pages by their statistics, as it does for a filter on ``doc_id`` or ``stream``
+    that was put on ``stored``; no other samples are read from those.
+    """
+    step = RUN_BLOCKS * BLOCK
+    runs = stored.filter((F.col("sample_offset") > first - step) & (F.col("sample_offset") < first + n))
+    skip = F.greatest(F.lit(0), F.lit(first) - F.col("sample_offset"))
+    size = F.least(F.octet_length("pcm").cast("long"), F.lit(first + n) - F.col("sample_offset")) - skip
+    runs = runs.filter(size > 0).select("stream", "doc_id", "sample_offset", F.substring("pcm", (skip + 1).cast("int"), size.cast("int")).alias("pcm"))
+    # No more runs a stream than n samples fill.
+    joined = runs.groupBy("stream").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("sample_offset", "pcm"))).alias("runs"))
+    return joined.select("stream", "doc_id", F.aggregate("runs", F.lit(b""), lambda acc, r: F.concat(acc, r["pcm"])).alias("pcm"))
 
 
 def features(x: np.ndarray) -> str:
@@ -500,26 +514,39 @@ def features(x: np.ndarray) -> str:
 
 
 def read_pcm(stored: DataFrame) -> DataFrame:
-    """Digest of each stored stream, from its PCM blocks in order of their offsets (``n_bytes`` is passed through).
+    """Digest of each stored stream, from its rows in order of their offsets (``n_bytes`` is passed through).
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. ``media_*`` tell of what is stored: the signed samples of
-    all blocks. Repeated rows give repeated digests, null ids stay null, an empty table gives none; missing blocks raise :class:`CorruptStream`.
+    all blocks. A stream is put together in one task, which holds one stream at a time. Repeated rows give repeated digests, null ids stay null, an empty
+    table gives none; missing blocks raise :class:`CorruptStream`.
     """
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(doc, n_bytes, n: int, runs: list[tuple[int, bytes]]) -> tuple:
+        media = b"".join(pcm for _, pcm in runs)
+        starts = np.cumsum([0] + [len(pcm) for _, pcm in runs])
+        if len(media) != n or [at for at, _ in runs] != starts[:-1].tolist():
+            raise CorruptStream("PCM blocks are missing")
+        x = np.frombuffer(media, dtype=np.int8)
+        data = (x.view(np.uint8) ^ 0x80).tobytes()
+        return doc, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), n, hashlib.sha256(media).hexdigest(), features(x)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in out.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        now, runs = None, []
         for batch in batches:
-            made = []
-            for blocks, n in zip(batch["blocks"], batch["n_samples"]):
-                x = np.frombuffer(b"".join(b["pcm"] for b in sorted(blocks, key=lambda b: b["sample_offset"])), dtype=np.int8)
-                if len(x) != n:
-                    raise CorruptStream("PCM blocks are missing")
-                data = (x.view(np.uint8) ^ 0x80).tobytes()
-                media = x.tobytes()
-                made.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(x)))
-            frame = pd.DataFrame(made, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            frame.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
-            frame["n_bytes"] = batch["n_bytes"].to_numpy()
-            yield frame
-
-    return stored.mapInPandas(work, out)
+            done = []
+            for stream, doc, n_bytes, n, at, pcm in zip(*[c.to_pylist() for c in batch.columns]):
+                if now is None or now[0] != stream:
+                    if now is not None:
+                        done.append(digest(*now[1:], runs))
+                    now, runs = (stream, doc, n_bytes, n), []
+                runs.append((at, pcm))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [()] * len(types), types)], names=names)
+        if now is not None:
+            last = digest(*now[1:], runs)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, types)], names=names)
+
+    rows = stored.select("stream", "doc_id", "n_bytes", "n_samples", "sample_offset", "pcm")
+    return rows.repartition("stream").sortWithinPartitions("stream", "sample_offset").mapInArrow(work, out)

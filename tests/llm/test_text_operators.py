@@ -332,18 +332,37 @@ def test_media_table(spark, odd):
         assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         media = bytes(x ^ 0x80 for x in p)
         assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
-    row = stored.filter("doc_id = 4").first()
-    assert [b["sample_offset"] for b in row["blocks"]] == list(range(0, 45120, 64 * 192)) and row["n_samples"] == 45120
+    rows = stored.filter("doc_id = 4").orderBy("stream", "sample_offset").collect()
+    assert [r["sample_offset"] for r in rows] == list(range(0, 45120, 64 * 192)) and {r["n_samples"] for r in rows} == {45120}
     want = bytes(x ^ 0x80 for x in ODD[5][1].encode() + b" " * 120)
-    for first, n in ((0, 10), (12_280, 20), (12_288, 1), (45_000, 500), (50_000, 5)):
-        assert bytes(flac.seek(stored, first, n).filter("doc_id = 4").first()["pcm"]) == want[first : first + n]
+    for first, n in ((0, 10), (12_280, 20), (12_288, 1), (12_287, 1), (100, 30_000), (45_000, 500), (50_000, 5)):
+        found = flac.seek(stored.filter("doc_id = 4"), first, n).collect()
+        assert [bytes(r["pcm"]) for r in found] == ([want[first : first + n]] if first < 45120 else [])
+    assert flac.seek(stored, 0, 10).count() == len(ODD)
     assert flac.read_pcm(flac.store_pcm(flac.write_media(odd.limit(0)))).count() == 0
 
 
+def test_repeated_rows_are_streams_of_their_own(spark):
+    docs = spark.createDataFrame([(None, "a" * 30_000), (None, "a" * 30_000), (5, "b"), (5, "c"), (5, "b")], "doc_id long, text string")
+    stored = flac.store_pcm(flac.write_media(docs.withColumn("stream", F.lit("clash")).withColumn("pcm", F.lit(1))))
+    assert sorted((r["n_bytes"], r["payload_bytes"]) for r in flac.read_pcm(stored).collect()) == [(1, 192)] * 3 + [(30_000, 30_144)] * 2
+    assert sorted(bytes(r["pcm"]) for r in flac.seek(stored, 12_288, 1).collect()) == [bytes([ord("a") ^ 0x80])] * 2
+
+
+def test_seek_reaches_the_scan(spark, odd):
+    stored = flac.store_pcm(flac.write_media(odd))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = flac.seek(stored.filter("doc_id = 4"), 13_000, 5)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
+    assert all(want in pushed for want in ("EqualTo(doc_id,4)", "GreaterThan(sample_offset,712)", "LessThan(sample_offset,13005)"))
+
+
 def test_digests_come_from_the_stored_blocks(spark, odd):
     stored = flac.store_pcm(flac.write_media(odd))
-    with pytest.raises(Exception, match="PCM blocks are missing"):
-        flac.read_pcm(stored.withColumn("blocks", F.slice("blocks", 2, 100))).collect()
+    for kept in ("sample_offset > 0", "sample_offset <> 12288", "sample_offset < 36864"):
+        with pytest.raises(Exception, match="PCM blocks are missing"):
+            flac.read_pcm(stored.filter(f"doc_id <> 4 or {kept}")).collect()
 
 
 # Personal data
