@@ -343,15 +343,17 @@ def pack(
 
     * a null or empty text is a document of the end token alone; very long texts are cut into full pieces and a rest;
     * a null id stays null, repeated rows are packed each on its own; an empty table gives no rows;
-    * only ``doc_id`` and ``text`` are read, so extra columns never clash;
+    * only ``doc_id`` and ``text`` are read, so extra columns never clash; pieces of one length tie by a hash of id and text;
     * ``group_tokens`` bounds what one task packs, ``release_below`` says from which fill a bin is
       final before the last round.
     """
     pieces = cut(pieces_of(docs.select("doc_id", "text"), tokenizer_path or default_tokenizer(), end_id, capacity, with_ids))
-    names = [c for c in pieces.columns if c != "row_id"]
+    # Numbers are stable over the checkpoint. Groups are chosen by them as well as by content, so copies of one row spread over all groups.
+    pieces = pieces.withColumn("number", F.monotonically_increasing_id())
+    names = [c for c in pieces.columns if c not in ("row_id", "number")]
     full = pieces.filter(F.col("length") == capacity)
-    # monotonically_increasing_id is stable over the checkpoint; negative numbers keep these apart from packed bins.
-    done = [full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    # Negative numbers keep these apart from packed bins.
+    done = [full.select(*names, (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = pieces.filter(F.col("length") < capacity)
     types = {f.name: f.dataType.simpleString() for f in pieces.schema}
     out = ", ".join(f"{c} {types[c]}" for c in pieces.columns) + ", sequence_id long, offset long, fill long"
@@ -363,7 +365,7 @@ def pack(
         groups = max(1, -(-tokens // group_tokens))
         final = groups == 1 or (last_groups is not None and groups >= last_groups)
 
-        grouped = rest.withColumn("group", F.pmod(F.xxhash64("row_id", "piece", F.lit(level)), F.lit(groups)))
+        grouped = rest.withColumn("group", F.pmod(F.xxhash64("row_id", "piece", "number", F.lit(level)), F.lit(groups)))
         placed = grouped.groupBy("group").applyInPandas(_placer(level, capacity), out)
         if not final:
             placed = cut(placed)

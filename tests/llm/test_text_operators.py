@@ -99,6 +99,17 @@ def test_pack_places_every_token(spark, odd):
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in with_ids)
 
 
+def test_copies_of_one_row_are_packed_in_many_groups(spark):
+    rows = packing.pack(spark.range(0, 6000, 1, 5).selectExpr("cast(null as long) doc_id", "'same words' text"), capacity=64, group_tokens=2000, release_below=2).toPandas()
+    assert len(rows) == 6000 and rows["doc_id"].isna().all() and (rows.groupby("sequence_id")["length"].sum() <= 64).all()
+    groups = (rows["sequence_id"] % (1 << 56)) // (1 << 32)
+    share = rows.groupby(groups)["length"].sum() / rows["length"].sum()
+    assert len(share) == -(-rows["length"].sum() // 2000) and share.max() < 2 * share.mean()
+    # Each group may leave one bin unfilled; whole bins hold as many copies as fit.
+    fit = 64 // rows["length"].iloc[0]
+    assert rows["sequence_id"].nunique() <= -(-6000 // fit) + len(share)
+
+
 def test_pack_uses_as_few_sequences_as_tokens_allow(docs):
     rows = packing.pack(docs).toPandas()
     assert rows["sequence_id"].nunique() == -(-rows["length"].sum() // 4096)
