@@ -517,7 +517,7 @@ def read_pcm(stored: DataFrame) -> DataFrame:
     """Digest of each stored stream, from its rows in order of their offsets (``n_bytes`` is passed through).
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. ``media_*`` tell of what is stored: the signed samples of
-    all blocks. A stream is put together in one task, which holds one stream at a time. Repeated rows give repeated digests, null ids stay null, an empty
+    all blocks. A stream of several rows is put together in one task, which holds one stream at a time. Repeated rows give repeated digests, null ids stay null, an empty
     table gives none; missing blocks raise :class:`CorruptStream`.
     """
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -549,4 +549,7 @@ def read_pcm(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(last, types)], names=names)
 
     rows = stored.select("stream", "doc_id", "n_bytes", "n_samples", "sample_offset", "pcm")
-    return rows.repartition("stream").sortWithinPartitions("stream", "sample_offset").mapInArrow(work, out)
+    # A stream of one row is whole where it lies; only the rows of longer ones are brought together.
+    one = F.col("n_samples") <= RUN_BLOCKS * BLOCK
+    longer = rows.filter(~one).repartition("stream").sortWithinPartitions("stream", "sample_offset")
+    return rows.filter(one).mapInArrow(work, out).unionByName(longer.mapInArrow(work, out))
