@@ -268,6 +268,23 @@ def test_normalised_records_meet_every_matcher(spark):
     assert {(f["package_name"], f["vuln_id"], f["severity"]) for f in found.collect()} == {("orb", "CVE-7", "CVSS_V3_1"), ("fir", "CVE-7", "CVSS_V3_1"), ("zen", "CVE-8", None), ("late", "CVE-9", None)}
 
 
+def test_listed_findings_are_those_of_single_rows(spark):
+    """A list holds all that the scan gives a row each: by purl and name, with several fixes, with and without severity; packages on two platforms, on none and without findings."""
+    ranges = lambda *fixes: [("", "", f, "") for f in fixes]
+    affected = [("V2", "orb", "", ranges("3.0")), ("V2", "orb", "", ranges("2.0")), ("V1", "Orb", "", ranges("4.0")), ("V3", "", "pkg:a/zen", ranges("9")), ("V4", "orb", "", ranges("0.5")), ("V5", "fir", "", ranges("9"))]
+    affected = spark.createDataFrame(affected, "vuln_id string, package_name string, purl string, ranges array<struct<range_type:string,introduced:string,fixed:string,last_affected:string>>")
+    packages = spark.createDataFrame([(1, "ORB", "1.0", None), (2, "orb", "2.5", ""), (3, "zen", "1", "pkg:a/zen"), (4, "orb", "8", ""), (5, "fir", "1", ""), (6, "orb", "1.0", "")], "package_id long, name string, version string, purl string")
+    v = spark.createDataFrame([("V1", [("CVSS_V3", "x")]), ("V2", [])], "id string, severity array<struct<type:string,score:string>>")
+    on = spark.createDataFrame([(7, 1), (7, 1), (8, 1), (7, 2), (8, 3), (8, 4), (8, 6)], "platform_id long, package_id long")
+    listed = m.list_findings(on, packages, affected, v)
+    got = {(r["platform_id"], r["package_id"]): [tuple(f) for f in r["findings"]] for r in listed.collect()}
+    both = [("V1", "4.0", "CVSS_V3"), ("V2", "2.0, 3.0", None)]
+    assert got == {(7, 1): both, (8, 1): both, (8, 6): both, (7, 2): [("V1", "4.0", "CVSS_V3"), ("V2", "3.0", None)], (8, 3): [("V3", "9", None)]}
+    single = ["platform_id", "vuln_id", "package_name", "package_version", "fixed_versions", "severity"]
+    rows = listed.select("platform_id", "package_name", "package_version", F.inline("findings")).select(*single).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, m.scan_platforms(on, packages, affected, v).select(*single).collect())) and len(rows) == 9
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_interval_search_equals_the_rule_pair_by_pair(spark, strict):
     """Random typed ranges, with and without keys, in one order and in several, with open ends: the join by ranks finds what comparing all pairs finds."""

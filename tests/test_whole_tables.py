@@ -1,6 +1,7 @@
 """Queries that ask for all keys, whole texts and all rows, held against their SQL."""
 
 import json
+from collections import defaultdict
 
 import duckdb
 import pytest
@@ -56,3 +57,27 @@ def test_all_advisories_are_sorted(spark, sf_dir):
 
 def test_frequent_names_keeps_the_default_k(spark, sf_dir):
     assert len(same_rows(spark, sf_dir, "frequent_names")) > 100
+
+
+def test_every_finding_of_every_platform_is_listed(spark, sf_dir):
+    """All packages against all entries of the name they share with others, pair by pair; nothing is counted in place of being listed."""
+    t = Tables(spark, sf_dir)
+    entries = {(r["vuln_id"], int(r["package_name"][3:])) for r in t.affected.collect() if r["package_name"] and not r["purl"]}
+    on = defaultdict(list)
+    for r in t.platform_packages.collect():
+        on[r["package_id"]].append(r["platform_id"])
+    want, names, pairs = [], defaultdict(set), set()
+    for p in t.packages.collect():
+        name, version, found = f"PKG{p['package_id'] // 16}", tuple(map(int, p["version"].split("."))), defaultdict(set)
+        for vuln, n in entries:
+            if f"PKG{n // 16}" == name and n % 9 and version < (n % 60, 5):
+                found[vuln].add(f"{n % 60}.5")
+        listed = "; ".join(f"{v} {', '.join(sorted(f))}" for v, f in sorted(found.items()))
+        want += [(i, name, p["version"], len(found), listed) for i in on[p["package_id"]] if found]
+        pairs |= {(i, p["package_id"], v) for i in on[p["package_id"]] for v in found}
+        names[name].add(p["package_id"])
+    rows = QUERIES["scan_platforms"](spark, sf_dir)
+    assert rows.columns == ["platform_id", "package_name", "package_version", "n", "findings"]
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    assert sum(w[3] for w in want) == len(pairs) > 500_000
+    assert max(map(len, names.values())) == 16 and any(", " in w[4] for w in want)
