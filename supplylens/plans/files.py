@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from supplylens.plans.catalogue import Tables
 from supplylens.plans.standins import expand
 from supplylens.sources import readers, sinks
-from supplylens.sources.documents import write_documents
+from supplylens.sources.documents import read_documents, write_documents
 from supplylens.sources.shared import shared_dir
 
 QUERIES: dict = {}
@@ -236,6 +236,6 @@ def write_package_advisories(spark, sf_dir):
     """One file for each package; what it holds is read back from the files."""
     path = folder(spark, "packages")
     sinks.write_package_advisories(Tables(spark, sf_dir).advisories.select("source_package", "vuln_id", "status"), path)
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", "package string, advisories array<struct<vuln_id: string, status: string>>").alias("d")).select("d.*")
+    docs = read_documents(spark, path).select(F.from_json("document", "package string, advisories array<struct<vuln_id: string, status: string>>").alias("d")).select("d.*")
     listed = F.array_join(F.transform("advisories", lambda a: F.concat_ws(":", a["vuln_id"], a["status"])), ",")
     return docs.select(F.col("package").alias("source_package"), F.size("advisories").cast("long").alias("n"), listed.alias("listed"))

@@ -6,8 +6,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from supplylens.sources import archives, readers
-from supplylens.sources.documents import write_documents
+from supplylens.plans import QUERIES
+from supplylens.sources import archives, documents, readers
+from supplylens.sources.documents import read_documents, write_documents
 from supplylens.sources.files import file_name
 
 
@@ -99,3 +100,42 @@ def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
     with pytest.raises(Exception, match="unique"):
         write_documents(old.union(old), f"{tmp_path}/d", "key", "doc")
     assert files(f"{tmp_path}/d") == ["old.json"]
+
+
+def test_many_files_are_read_by_a_bounded_number_of_tasks(spark, sf_dir, tmp_path):
+    """The number of tasks, and so what the driver holds, doesn't follow the number of files."""
+    rows = [(f"k{i}", f"{{}} é {i}") for i in range(300)]
+    write_documents(spark.createDataFrame(rows, "key string, doc string").repartition(5), f"{tmp_path}/d", "key", "doc")
+    (tmp_path / "d/other.md").write_text("x")
+    (tmp_path / "d/sub.json").mkdir()
+    (tmp_path / "d/odd.json").write_bytes(b"\xff")
+    got = read_documents(spark, f"{tmp_path}/d")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, got.collect())) == sorted([(k + ".json", d) for k, d in rows] + [("odd.json", "\ufffd")])
+    packages = QUERIES["write_package_advisories"](spark, sf_dir)
+    assert packages.count() > 150 and packages.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_names_stay_with_the_tasks(spark, tmp_path, monkeypatch):
+    """Of a write the driver collects a row for each task; overwriting leaves files of other kinds and folders."""
+    collected, plain = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: collected.append(plain(self)) or collected[-1])
+    (tmp_path / "d/sub").mkdir(parents=True)
+    (tmp_path / "d/note.md").write_text("x")
+    (tmp_path / "d/sub/s.json").write_text("x")
+    for n in (200, 120):
+        df = spark.range(n).select(F.col("id").cast("string").alias("key"), F.lit("x").alias("doc")).repartition(3)
+        write_documents(df, f"{tmp_path}/d", "key", "doc")
+        assert files(f"{tmp_path}/d") == sorted([f"{i}.json" for i in range(n)] + ["note.md", "sub/s.json"])
+    assert sum(map(len, collected)) <= 12
+
+
+def test_a_move_that_is_tried_again_finds_its_file_in_place(tmp_path):
+    (tmp_path / documents.STAGING / "j/a").mkdir(parents=True)
+    (tmp_path / documents.STAGING / "j/a/2.json").write_text("two")
+    (tmp_path / "1.json").write_text("one")
+    batch = lambda *names: iter(documents._batches([("a", n) for n in names], documents._texts("attempt", "name")))
+    assert [b.to_pydict() for b in documents._mover(str(tmp_path), "j")(batch("1.json", "2.json"))] == [{"n": [2]}]
+    assert (tmp_path / "1.json").read_text() == "one" and (tmp_path / "2.json").read_text() == "two"
+    with pytest.raises(OSError):
+        list(documents._mover(str(tmp_path), "j")(batch("3.json")))
